@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -
     """The same rows in batches whose texts hold about ``limit`` bytes (one text at least)."""
     for batch in batches:
         start, held = 0, 0
-        for i, n in enumerate(pa.compute.binary_length(batch.column(text)).to_pylist()):
+        for i, n in enumerate(pc.binary_length(batch.column(text)).to_pylist()):
             held += n or 0
             if held >= limit:
                 yield batch.slice(start, i + 1 - start)

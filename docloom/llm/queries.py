@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .packing import op4_pack_ffd
+from .secrets import op7_secret_links
 from .sharding import op10_fixed_slots
 
-QUERIES = {"op10_fixed_slots": op10_fixed_slots}
+QUERIES = {"op4_pack_ffd": op4_pack_ffd, "op7_secret_links": op7_secret_links, "op10_fixed_slots": op10_fixed_slots}
 ORACLE_SQL: dict[str, str] = {}
