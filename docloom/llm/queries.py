@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from .decontaminate import op9_pigeonhole_edits
 from .packing import op4_pack_ffd
 from .secrets import op7_secret_links
 from .sharding import op10_fixed_slots
+from .simhash import op3_simhash_bitsliced
 
-QUERIES = {"op4_pack_ffd": op4_pack_ffd, "op7_secret_links": op7_secret_links, "op10_fixed_slots": op10_fixed_slots}
+QUERIES = {
+    "op3_simhash_bitsliced": op3_simhash_bitsliced,
+    "op4_pack_ffd": op4_pack_ffd,
+    "op7_secret_links": op7_secret_links,
+    "op9_pigeonhole_edits": op9_pigeonhole_edits,
+    "op10_fixed_slots": op10_fixed_slots,
+}
 ORACLE_SQL: dict[str, str] = {}
