@@ -7,10 +7,12 @@ from .packing import op4_pack_ffd
 from .secrets import op7_secret_links
 from .sharding import op10_fixed_slots
 from .simhash import op3_simhash_bitsliced
+from .toxicity import op6_subsequence_svm
 
 QUERIES = {
     "op3_simhash_bitsliced": op3_simhash_bitsliced,
     "op4_pack_ffd": op4_pack_ffd,
+    "op6_subsequence_svm": op6_subsequence_svm,
     "op7_secret_links": op7_secret_links,
     "op9_pigeonhole_edits": op9_pigeonhole_edits,
     "op10_fixed_slots": op10_fixed_slots,
