@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op9_pigeonhole_edits
+from .fingerprint import op2_multiset_hash
 from .packing import op4_pack_ffd
 from .secrets import op7_secret_links
 from .sharding import op10_fixed_slots
@@ -10,6 +11,7 @@ from .simhash import op3_simhash_bitsliced
 from .toxicity import op6_subsequence_svm
 
 QUERIES = {
+    "op2_multiset_hash": op2_multiset_hash,
     "op3_simhash_bitsliced": op3_simhash_bitsliced,
     "op4_pack_ffd": op4_pack_ffd,
     "op6_subsequence_svm": op6_subsequence_svm,
