@@ -9,11 +9,13 @@ from .secrets import op7_secret_links
 from .sharding import op10_fixed_slots
 from .simhash import op3_simhash_bitsliced
 from .toxicity import op6_subsequence_svm
+from .warc import op5_warc_merge
 
 QUERIES = {
     "op2_multiset_hash": op2_multiset_hash,
     "op3_simhash_bitsliced": op3_simhash_bitsliced,
     "op4_pack_ffd": op4_pack_ffd,
+    "op5_warc_merge": op5_warc_merge,
     "op6_subsequence_svm": op6_subsequence_svm,
     "op7_secret_links": op7_secret_links,
     "op9_pigeonhole_edits": op9_pigeonhole_edits,
