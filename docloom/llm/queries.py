@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op9_pigeonhole_edits
 from .fingerprint import op2_multiset_hash
 from .packing import op4_pack_ffd
+from .quotes import OP8_SQL, op8_quote_links
 from .secrets import op7_secret_links
 from .sharding import op10_fixed_slots
 from .simhash import op3_simhash_bitsliced
@@ -18,7 +19,8 @@ QUERIES = {
     "op5_warc_merge": op5_warc_merge,
     "op6_subsequence_svm": op6_subsequence_svm,
     "op7_secret_links": op7_secret_links,
+    "op8_quote_links": op8_quote_links,
     "op9_pigeonhole_edits": op9_pigeonhole_edits,
     "op10_fixed_slots": op10_fixed_slots,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_quote_links": OP8_SQL}
