@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op9_pigeonhole_edits
 from .fingerprint import op2_multiset_hash
+from .lm import op1_log_bilinear
 from .packing import op4_pack_ffd
 from .quotes import OP8_SQL, op8_quote_links
 from .secrets import op7_secret_links
@@ -13,6 +14,7 @@ from .toxicity import op6_subsequence_svm
 from .warc import op5_warc_merge
 
 QUERIES = {
+    "op1_log_bilinear": op1_log_bilinear,
     "op2_multiset_hash": op2_multiset_hash,
     "op3_simhash_bitsliced": op3_simhash_bitsliced,
     "op4_pack_ffd": op4_pack_ffd,
