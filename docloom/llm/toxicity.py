@@ -34,8 +34,8 @@ DECAY = 0.7
 LANDMARKS = 128
 MARKS = 400
 MARKS_EACH = 3
-SAMPLE = 2000
-SAMPLE_BYTES = 24 << 20
+SAMPLE = 1500
+SAMPLE_BYTES = 8 << 20
 NEGATIVES = 6000
 VARIANTS = 4
 MINED = 1500
@@ -86,9 +86,11 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(long):
         extra = [(start[i] + at, min(WIDTH, size[i] - at), text[i]) for i in long for at in range(WIDTH // 2, size[i] - WIDTH // 2, WIDTH // 2)]
         start, size, text = (np.concatenate([x, np.array(y, x.dtype)]) for x, y in zip((start, np.minimum(size, WIDTH), text), zip(*extra, strict=True), strict=True))
-    grid = start[:, None] + np.arange(WIDTH)
-    inside = np.arange(WIDTH) < size[:, None]
-    return np.where(inside, codes[np.where(inside, grid, 0)] if len(codes) else 0, -1).astype(np.int8), size, text
+    out = np.full((len(start), WIDTH), -1, np.int8)
+    for k in range(WIDTH):
+        rows = np.flatnonzero(size > k)
+        out[rows, k] = codes[start[rows] + k]
+    return out, size, text
 
 
 def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,12 +234,19 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
     none = Model(np.zeros(LETTERS**3, np.float32), 0.0, np.array([0, 0, -30.0]))
     if not toxic.any() or toxic.all():
         return none
-    codes, size, text = words_of(texts)
-    usable = size >= 3
-    codes, size, text = codes[usable], size[usable], text[usable]
-    first, inverse = distinct(codes)
-    pairs = np.unique(inverse.astype(np.int64) * len(texts) + text)
-    word, doc = np.divmod(pairs, len(texts))
+    held = []  # the distinct words of each text, a few texts at a time
+    for at in range(0, len(texts), 100):
+        codes, size, text = words_of(texts[at : at + 100])
+        usable = size >= 3
+        codes, size, text = codes[usable], size[usable], text[usable]
+        first, inverse = distinct(codes)
+        word, doc = np.divmod(np.unique(inverse.astype(np.int64) * 100 + text), 100)
+        held.append((codes[first[word]], size[first[word]], doc + at))
+    codes, size, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+    del held
+    first, word = distinct(codes)
+    by_word = np.lexsort((doc, word))
+    word, doc = word[by_word], doc[by_word]
     in_toxic = np.bincount(word[toxic[doc] > 0], minlength=len(first))
     in_clean = np.bincount(word[toxic[doc] == 0], minlength=len(first))
     expected = toxic.sum() * (in_toxic + in_clean) / len(texts)
@@ -294,7 +303,7 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
             break
         negatives = np.concatenate([negatives, hard])
         negative = np.concatenate([negative, features(codes[first[hard]], size[first[hard]])])
-    margin = np.concatenate([raw.margins(texts[i : i + 500]) for i in range(0, len(texts), 500)])
+    margin = np.concatenate([raw.margins(texts[i : i + 100]) for i in range(0, len(texts), 100)])
     return Model(table, float(bias), curve(margin, toxic))
 
 
