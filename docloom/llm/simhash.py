@@ -9,6 +9,10 @@ a machine word; carry-save counters add up many distances at once, and words who
 radius are abandoned. A cell returns a spanning forest of its links, never all pairs; large-star/small-star
 rounds join the forests into components.
 
+``deduplicated`` finds near-copies of a given Jaccard similarity, which two of 64 bits are too few for: it compares
+1024-bit fingerprints of 5-word shingle sets in the same way, in cells of the bands of a second SimHash, of word
+pairs, which an edit changes less. Pairs at the similarity itself share a cell in about 98 of 100 cases.
+
 Nulls: a null text is an empty one (fingerprint zero), a null id takes part, and a component without any id
 has a null component_id. Repeated rows fall into one class. Empty input gives an empty result.
 """
@@ -24,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, wordhash
 
 SHINGLE = 3
 SEED = 42
@@ -33,6 +37,10 @@ BLOCK_BITS = 16
 CELL = 2048
 #: Small cells are compared together up to this many rows: a link found across cells is a link too.
 JOINT = 512
+#: The general near-dedup: shingle words, Jaccard similarity, bits and lanes of the wide fingerprint, and bands.
+WORDS, SIMILARITY = 5, 0.8
+WIDE, LANES = 1024, 4096
+BANDS, BAND_BITS = 32, 20
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -74,51 +82,80 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
-    """[64, words]: bit i of word w of plane b is bit b of fingerprint 64 w + i."""
-    padded = np.zeros(-(-len(fps) // 64) * 64, np.uint64)
+    """[bits, words] of fingerprints [n, bits / 64]: bit i of word w of plane b is bit b of fingerprint
+    64 w + i."""
+    padded = np.zeros((-(-len(fps) // 64) * 64, fps.shape[1]), np.uint64)
     padded[: len(fps)] = fps
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little").T
     return np.ascontiguousarray(np.packbits(bits, axis=1, bitorder="little")).view(np.uint64)
 
 
-def sliced_links(queries: np.ndarray, planes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """(query, position) of all fingerprints of ``planes`` within the radius; padding positions included."""
-    width = (radius + 1).bit_length()
-    query, word = np.divmod(np.arange(len(queries) * planes.shape[1]), planes.shape[1])
-    counters = [np.zeros(len(query), np.uint64) for _ in range(width)]
-    over = np.zeros(len(query), np.uint64)
-
-    def beyond() -> np.ndarray:
-        """Bits of positions whose count exceeds the radius."""
-        more, equal = over.copy(), np.full_like(over, ALL)
-        for k in reversed(range(width)):
-            if radius >> k & 1:
-                equal &= counters[k]
+class CarrySave:
+    """Bit-sliced counters of 64 distances a word. Planes are added eight at a time through a tree of
+    carry-save adders; what is carried out of it ripples into the upper counters."""
+
+    def __init__(self, n: int, radius: int) -> None:
+        self.radius, self.width = radius, max(4, (radius + 1).bit_length())
+        self.counters = [np.zeros(n, np.uint64) for _ in range(self.width)]
+        self.over = np.zeros(n, np.uint64)
+
+    def keep(self, rows: np.ndarray) -> None:
+        self.counters, self.over = [c[rows] for c in self.counters], self.over[rows]
+
+    def add(self, x: list[np.ndarray]) -> None:
+        def pair(low, a, b):
+            half = low ^ a
+            return half ^ b, low & a | half & b
+
+        ones, twos, fours = self.counters[:3]
+        ones, t0 = pair(ones, x[0], x[1])
+        ones, t1 = pair(ones, x[2], x[3])
+        twos, f0 = pair(twos, t0, t1)
+        ones, t0 = pair(ones, x[4], x[5])
+        ones, t1 = pair(ones, x[6], x[7])
+        twos, f1 = pair(twos, t0, t1)
+        fours, carry = pair(fours, f0, f1)
+        self.counters[:3] = ones, twos, fours
+        for k in range(3, self.width):
+            self.counters[k], carry = self.counters[k] ^ carry, self.counters[k] & carry
+        self.over |= carry
+
+    def beyond(self) -> np.ndarray:
+        """Bits of the distances that exceed the radius."""
+        more, equal = self.over.copy(), np.full_like(self.over, ALL)
+        for k in reversed(range(self.width)):
+            if self.radius >> k & 1:
+                equal &= self.counters[k]
             else:
-                more |= equal & counters[k]
-                equal &= ~counters[k]
+                more |= equal & self.counters[k]
+                equal &= ~self.counters[k]
         return more
 
-    for b in range(64):
-        ask = np.where(queries >> np.uint64(b) & np.uint64(1), ALL, np.uint64(0))
-        carry = planes[b][word] ^ ask[query]
-        for k in range(width):
-            counters[k], carry = counters[k] ^ carry, counters[k] & carry
-        over |= carry
-        if b % 8 == 7:
-            dead = beyond()
-            if len(alive := np.flatnonzero(dead != ALL)) < 0.75 * len(dead) or b == 63:
-                query, word, over = query[alive], word[alive], over[alive]
-                counters = [c[alive] for c in counters]
-                if b == 63:
-                    near = np.unpackbits((~dead[alive]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                    at, bit = np.nonzero(near)
-                    return query[at], 64 * word[at] + bit
-    raise AssertionError
+
+def sliced_links(queries: np.ndarray, planes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """(query, position) of all fingerprints of ``planes`` within the radius; padding positions included.
+
+    After each eight planes, words whose 64 distances all exceed the radius are abandoned.
+    """
+    query, word = np.divmod(np.arange(len(queries) * planes.shape[1]), planes.shape[1])
+    count = CarrySave(len(query), radius)
+    for b in range(0, len(planes), 8):
+        byte = queries[:, b // 64] >> np.uint64(b % 64)
+        asks = [np.where(byte >> np.uint64(k) & np.uint64(1), ALL, np.uint64(0)) for k in range(8)]
+        count.add([planes[b + k][word] ^ asks[k][query] for k in range(8)])
+        if b + 8 > radius and (b % 64 == 56 or len(planes) == 64):
+            alive = np.flatnonzero(count.beyond() != ALL)
+            if len(alive) < len(query):
+                query, word = query[alive], word[alive]
+                count.keep(alive)
+    near = np.unpackbits((~count.beyond()).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    at, bit = np.nonzero(near)
+    return query[at], 64 * word[at] + bit
 
 
 def forest(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """For each fingerprint the position of the first one it is connected with inside this array."""
+    fps = fps.reshape(len(fps), -1)
     planes, label = bit_planes(fps), np.arange(len(fps))
     for start in range(0, len(fps), JOINT):
         i, j = sliced_links(fps[start : start + JOINT], planes, radius)
@@ -136,38 +173,34 @@ def forest(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     return label
 
 
-def cells(classes: DataFrame, cell: int = CELL) -> DataFrame:
-    """(cell, b1, b2, fp): each class in its six cells; large cells as pairs of salted sub-blocks."""
-    block = [F.shiftrightunsigned("fp", i * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) for i in range(4)]
-    pairs = list(itertools.combinations(range(4), 2))
-    keys = F.array(*(F.lit(k << 32) + F.shiftleft(block[a], BLOCK_BITS) + block[b] for k, (a, b) in enumerate(pairs)))
-    rows = classes.select("fp", F.explode(keys).alias("cell"))
-    large = rows.groupBy("cell").count().filter(F.col("count") > cell)
-    large = common.stored(large.select("cell", F.ceil(F.col("count") / cell).cast("int").alias("parts")), "cells")
-    dealt = rows.join(large, "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+def dealt(rows: DataFrame, cell: int = CELL) -> DataFrame:
+    """(cell, id, b1, b2) of (cell, id): cells of one row are left out, and a cell of more than ``cell`` rows
+    is dealt out as pairs of salted sub-blocks."""
+    busy = rows.groupBy("cell").count().filter("count > 1")
+    busy = common.stored(busy.select("cell", F.ceil(F.col("count") / cell).cast("int").alias("parts")), "cells")
+    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = dealt.withColumn("own", own).select("cell", "fp", "own", other.alias("other"))
-    return dealt.select("cell", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "fp")
+    pairs = rows.join(busy, "cell").select("cell", "id", own.alias("own"), other.alias("other"))
+    return pairs.select("cell", "id", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"))
 
 
-def links(classes: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
-    """(a, b): fingerprints whose links span all components of the cells."""
+def compared(rows: DataFrame, radius: int) -> DataFrame:
+    """(a, b): ids whose links span all components of the cells of (cell, b1, b2, id, fp); fp is the
+    fingerprint's bytes. Only whole cells are held, and small ones are compared together."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(key: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-            """Over whole cells: rows alone in their cell go, the rest is compared in joint blocks."""
-            new = np.concatenate([[True], np.any(key[1:] != key[:-1], axis=1)])
-            start = np.flatnonzero(new)
-            size = np.diff(np.append(start, len(fps)))
+        def found(key: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+            start = np.flatnonzero(np.concatenate([[True], np.any(key[1:] != key[:-1], axis=1)]))
+            size = np.diff(np.append(start, len(ids)))
             a, b, held = [], [], []
 
             def flush():
-                rows = np.unique(np.concatenate(held))
-                root = forest(rows.view(np.uint64), radius)
-                own = np.flatnonzero(root != np.arange(len(rows)))
-                a.append(rows[own])
-                b.append(rows[root[own]])
+                rows = np.concatenate(held)
+                own, first = np.unique(ids[rows], return_index=True)
+                root = forest(fps[rows[first]], radius)
+                linked = np.flatnonzero(root != np.arange(len(own)))
+                a.append(own[linked])
+                b.append(own[root[linked]])
                 held.clear()
 
             n = 0
@@ -175,28 +208,42 @@ def links(classes: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFra
                 if held and n + k > JOINT:
                     flush()
                     n = 0
-                held.append(fps[s : s + k])
+                held.append(np.arange(s, s + k))
                 n += k
             if held:
                 flush()
             empty = np.zeros(0, np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *x])) for x in (a, b)], ["a", "b"])
 
-        key, fps = np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
+        key = ids = fps = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             more = np.stack([batch.column(c).cast(pa.int64()).to_numpy() for c in ("cell", "b1", "b2")], axis=1)
-            key, fps = np.concatenate([key, more]), np.concatenate([fps, batch.column("fp").to_numpy()])
-            if len(fps) and np.any(key[0] != key[-1]):
+            wide = np.frombuffer(b"".join(batch.column("fp").to_pylist()), "<u8").reshape(batch.num_rows, -1)
+            own = batch.column("id").to_numpy()
+            key, ids, fps = (more, own, wide) if key is None else (np.concatenate([key, more]), np.concatenate([ids, own]), np.concatenate([fps, wide]))
+            if np.any(key[0] != key[-1]):
                 cut = int(np.flatnonzero(np.any(key != key[-1], axis=1))[-1]) + 1  # the last cell may go on
-                yield found(key[:cut], fps[:cut])
-                key, fps = key[cut:], fps[cut:]
-        if len(fps):
-            yield found(key, fps)
+                yield found(key[:cut], ids[:cut], fps[:cut])
+                key, ids, fps = key[cut:], ids[cut:], fps[cut:]
+        if key is not None:
+            yield found(key, ids, fps)
 
-    rows = cells(classes, cell).repartition("cell", "b1", "b2").sortWithinPartitions("cell", "b1", "b2")
+    rows = rows.repartition("cell", "b1", "b2").sortWithinPartitions("cell", "b1", "b2")
     return rows.mapInArrow(compare, "a long, b long").distinct()
 
 
+def links(classes: DataFrame, cell: int = CELL) -> DataFrame:
+    """Links of 64-bit fingerprints ``fp`` within two bits, by cells of two 16-bit blocks in common."""
+    block = [F.shiftrightunsigned("fp", i * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) for i in range(4)]
+    pairs = list(itertools.combinations(range(4), 2))
+    keys = F.array(*(F.lit(k << 32) + F.shiftleft(block[a], BLOCK_BITS) + block[b] for k, (a, b) in enumerate(pairs)))
+    rows = dealt(classes.select(F.col("fp").alias("id"), F.explode(keys).alias("cell")), cell)
+    # The fingerprint is its own id; its bytes in reverse are little-endian, and a distance is the same in any order.
+    return compared(rows.withColumn("fp", F.unhex(F.lpad(F.hex("id"), 16, "0"))), RADIUS)
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(v, root): the smallest vertex that each vertex of an edge is connected with.
 
@@ -227,12 +274,12 @@ def connected(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("v"), F.col("b").alias("root")).union(e.select("b", "b")).distinct()
 
 
-def components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, component_id, keep_id, keep_hash) of each distinct fingerprint: the smallest id of its
-    component, and the one row that stands for it (smallest id, nulls last, then text_hash)."""
+def components(fps: DataFrame, links_of=links) -> DataFrame:
+    """(fp, component_id, keep_hash) of each distinct class ``fp``: the smallest id of its component (nulls
+    last), and with it the text_hash of the one row that stands for it."""
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     classes = common.stored(fps.groupBy("fp").agg(F.min(row).alias("first")), "classes")
-    roots = connected(links(classes, radius)).withColumnRenamed("v", "fp")
+    roots = connected(links_of(classes)).withColumnRenamed("v", "fp")
     rooted = common.stored(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     least = common.stored(rooted.groupBy("root").agg(F.min("first").alias("first")), "least")
     return rooted.drop("first").join(least, "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("keep_hash"))
@@ -244,11 +291,74 @@ def op3_simhash_bitsliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fps.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group: the row with the smallest id (nulls last), then text hash.
-    Of repeated rows one stays."""
-    fps = common.stored(fingerprints(docs), "fingerprints")
-    kept = components(fps).select(F.col("component_id").alias("__id"), F.col("keep_hash").alias("__hash")).distinct()
+def _signs(shingles: np.ndarray, units: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """[n, bits / 8] bytes: signs of projections of each unit's set of shingles. The set is sketched into
+    ``LANES`` lanes, and a Hadamard transform of the lanes, their signs mixed, gives the projections."""
+    if len(shingles):
+        order = np.lexsort((shingles, units))
+        shingles, units = shingles[order], units[order]
+        new = np.concatenate([[True], (shingles[1:] != shingles[:-1]) | (units[1:] != units[:-1])])
+        shingles, units = shingles[new], units[new]
+    out = []
+    edges = np.searchsorted(units, np.arange(0, n + 256, 256))
+    for start, a, b in zip(range(0, n, 256), edges, edges[1:], strict=False):
+        rows = min(256, n - start)
+        x = wordhash.sketches(shingles[a:b], units[a:b] - start, rows, LANES)
+        x *= np.where(wordhash.mixed(np.arange(LANES, dtype=np.uint64) + np.uint64(9)) & np.uint64(1), 1, -1).astype(np.float32)
+        h = 1
+        while h < LANES:
+            y = x.reshape(rows, -1, 2, h)
+            x = np.concatenate([y[:, :, :1] + y[:, :, 1:], y[:, :, :1] - y[:, :, 1:]], axis=2).reshape(rows, LANES)
+            h *= 2
+        taken = np.argsort(wordhash.mixed(np.arange(LANES, dtype=np.uint64)))[:bits]
+        out.append(np.packbits(x[:, taken] > 0, axis=1, bitorder="little"))
+    return np.concatenate(out) if out else np.zeros((0, bits // 8), np.uint8)
+
+
+def wide_fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, text_hash, fp, wide, keys): fp names the sequence of words, wide is the ``WIDE``-bit SimHash of
+    its set of ``words``-word shingles, keys are ``BANDS`` bands of the SimHash of its word pairs."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "text", 2 << 20):
+            texts = [t.lower() for t in common.as_bytes(batch, "text")]
+            n = len(texts)
+            same = [xxhash.xxh3_64_intdigest(b" ".join(t.split()), SEED) for t in texts]
+            hashed, units = wordhash.word_hashes(texts)
+            wide = _signs(*wordhash.shingle_hashes(hashed, units, words), n, WIDE)
+            pairs = np.unpackbits(_signs(*wordhash.shingle_hashes(hashed, units, 2), n, BANDS * BAND_BITS), axis=1, bitorder="little")
+            keys = pairs.reshape(n, BANDS, BAND_BITS) @ (1 << np.arange(BAND_BITS))
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(same, np.uint64).view(np.int64)), pa.array([w.tobytes() for w in wide], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(keys.astype(np.int32)), pa.list_(pa.int32()))], ["doc_id", "text_hash", "fp", "wide", "keys"])
+
+    rows = common.texts(docs).withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(each, "doc_id long, text_hash long, fp long, wide binary, keys array<int>")
+
+
+def wide_radius(similarity: float) -> int:
+    """Differing bits of two sets of that similarity (of equal size), and one standard deviation more."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(WIDE * p + np.sqrt(WIDE * p * (1 - p)))
+
+
+def deduplicated(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group: the row with the smallest id (nulls last), then
+    text hash. Of repeated rows one stays.
+
+    Groups are connected pairs of about ``similarity`` or more (Jaccard, sets of ``words``-word shingles) by their
+    wide fingerprints; texts of equal words are one class from the start.
+    """
+    wide = common.stored(wide_fingerprints(docs, words), "fingerprints")
+    one = wide.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash", "wide", "keys")).alias("x"))
+    sample = common.stored(one.select("fp", "x.wide", "x.keys"), "signatures")
+
+    def links_of(classes: DataFrame) -> DataFrame:
+        rows = sample.select(F.col("fp").alias("id"), F.posexplode("keys").alias("band", "bits"))
+        rows = dealt(rows.select("id", (F.col("band") * F.lit(1 << 32) + F.col("bits")).alias("cell")))
+        return compared(rows.join(sample.select(F.col("fp").alias("id"), F.col("wide").alias("fp")), "id"), wide_radius(similarity))
+
+    kept = components(wide.select("doc_id", "text_hash", "fp"), links_of)
+    kept = kept.select(F.col("component_id").alias("__id"), F.col("keep_hash").alias("__hash")).distinct()
     hashed = docs.withColumn("__own", F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
     match = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash"))
     return hashed.join(kept, match, "left_semi").dropDuplicates(["doc_id", "__own"]).select(*docs.columns)
