@@ -100,17 +100,19 @@ def replies(mails: DataFrame, links: DataFrame) -> DataFrame:
 def rooted(graph: DataFrame) -> DataFrame:
     """(id, root, depth) from (id, parent) by pointer doubling: as many rounds as the depth has bits.
 
-    Parents precede their children, so there are no cycles. Each round is written, so that both sides of the
-    next join are plain tables whose large keys can be split.
+    Parents precede their children, so there are no cycles. Only messages whose pointer is not yet at a root are
+    joined again. Each round is written, so that both sides of the next join are plain tables whose large keys
+    can be split.
     """
-    state = common.stored(graph.select("id", F.coalesce("parent", "id").alias("root"), F.col("parent").isNotNull().cast("int").alias("depth")), "roots")
-    while True:
-        up = state.select(F.col("id").alias("root"), F.col("root").alias("above"), F.col("depth").alias("more"))
-        new = state.join(up, "root", "left").select("id", F.coalesce("above", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).cast("int").alias("depth"), (F.coalesce("more", F.lit(0)) > 0).alias("moved"))
-        new = common.stored(new, "roots")
-        if new.filter("moved").isEmpty():
-            return new.drop("moved")
-        state = new.drop("moved")
+    none = F.col("parent").isNull()
+    state = graph.select("id", F.coalesce("parent", "id").alias("root"), (~none).cast("int").alias("depth"), none.alias("done"))
+    state = common.stored(state, "roots")
+    while not state.filter("not done").isEmpty():
+        up = state.select(F.col("id").alias("at"), F.col("root").alias("above"), F.col("depth").alias("more"), F.col("done").alias("ends"))
+        moved = state.filter("not done").join(up, F.col("root") == F.col("at"))
+        moved = moved.select("id", F.col("above").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ends").alias("done"))
+        state = common.stored(state.filter("done").unionByName(moved), "roots")
+    return state.drop("done")
 
 
 def conversations(messages: DataFrame) -> DataFrame:
