@@ -6,7 +6,7 @@ import math
 
 
 def plain(v):
-    if v is None or v != v:
+    if v is None or type(v).__name__ in ("NAType", "NaTType") or v != v:
         return "null"
     if isinstance(v, bool) or type(v).__name__ == "bool_":
         return str(bool(v))
