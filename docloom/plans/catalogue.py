@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import scalars as S
-from docloom.operators import diff, directory, ir, records, security
+from docloom.operators import diff, directory, formula, ir, records, security
 from docloom.plans import views as V
 from docloom.storage import stored
 
@@ -574,3 +574,18 @@ def formula_range_functions(spark, d):
     total = F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double")
     cells = V.table(spark, d, "lineitem").filter("l_linenumber between 1 and 4").groupBy(F.col("l_orderkey").alias("sheet"))
     return cells.agg(total.alias("sum"), (total / F.count("l_quantity")).alias("average"), F.min("l_quantity").alias("min"), F.max("l_quantity").alias("max"), F.count("l_quantity").alias("count"))
+
+
+@query(
+    "sheet_formula_evaluation",
+    """WITH cell AS (SELECT l_suppkey, l_quantity AS q, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) AS r FROM lineitem)
+    SELECT l_suppkey AS doc_id, sum(q) FILTER (WHERE r <= 4) * 2 - min(q) FILTER (WHERE r <= 2) AS value FROM cell GROUP BY l_suppkey""",
+)
+def sheet_formula_evaluation(spark, d):
+    """A sheet for each supplier, its quantities in column A, and one formula in B1 that has no value yet."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"]
+    place = F.row_number().over(W.partitionBy("l_suppkey").orderBy(*keys)) - 1
+    items = V.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.lit("s").alias("sheet"), place.alias("row"), F.lit(0).alias("col"), F.col("l_quantity").alias("value"), F.lit(None).cast("string").alias("formula"))
+    sheets = items.select("doc_id").distinct()
+    cell = sheets.select("doc_id", F.lit("s").alias("sheet"), F.lit(0).alias("row"), F.lit(1).alias("col"), F.lit(None).cast("double").alias("value"), F.lit("=SUM(A1:A4)*2-MIN(A1:A2)").alias("formula"))
+    return formula.evaluated(items.unionByName(cell)).select("doc_id", "value")
