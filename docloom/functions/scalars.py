@@ -151,3 +151,21 @@ def payload_class(head: Column) -> Column:
         F.when(h.startswith("4d5a"), "pe").when(h.startswith("d0cf11e0a1b11ae1"), "cfb").when(h.startswith("504b0304"), "zip")
         .when(h.startswith("25504446"), "pdf").otherwise("unknown")
     )
+
+
+def cell_ref(ref: Column) -> tuple[Column, Column]:
+    """0-based (row, column) of a reference such as ``$B$7``, null if it is none."""
+    pattern = r"^\$?([A-Za-z]{1,3})\$?([0-9]{1,7})$"
+    letters, digits = F.upper(F.regexp_extract(ref, pattern, 1)), F.regexp_extract(ref, pattern, 2)
+    index = F.aggregate(F.split(letters, ""), F.lit(0).cast("long"), lambda a, c: F.when(c == "", a).otherwise(a * 26 + F.ascii(c) - 64)) - 1
+    row = F.try_to_number(digits, F.lit("9999999")).cast("long") - 1
+    valid = (letters != "") & (row >= 0)
+    return F.when(valid, row), F.when(valid, index)
+
+
+def length_emu(text: Column) -> Column:
+    """A length with a unit (cm, mm, in, pt, pc, px; none is px) in English metric units, null if it is none."""
+    pattern = r"^\s*(-?[0-9.]+)\s*(cm|mm|in|pt|pc|px|)\s*$"
+    number, unit = F.regexp_extract(text, pattern, 1).try_cast("double"), F.regexp_extract(text, pattern, 2)
+    factor = F.when(unit == "cm", 360_000).when(unit == "mm", 36_000).when(unit == "in", 914_400).when(unit == "pt", 12_700).when(unit == "pc", 152_400).otherwise(9_525)
+    return number * factor

@@ -589,3 +589,182 @@ def sheet_formula_evaluation(spark, d):
     sheets = items.select("doc_id").distinct()
     cell = sheets.select("doc_id", F.lit("s").alias("sheet"), F.lit(0).alias("row"), F.lit(1).alias("col"), F.lit(None).cast("double").alias("value"), F.lit("=SUM(A1:A4)*2-MIN(A1:A2)").alias("formula"))
     return formula.evaluated(items.unionByName(cell)).select("doc_id", "value")
+
+
+# Directory and sector statistics
+
+
+@query("dangling_by_state", V.sql("SELECT f.state || ':' || p.kind AS bucket, count(*) AS n FROM pointers p JOIN slots f ON f.slot = p.source WHERE NOT EXISTS (SELECT 1 FROM slots t WHERE t.slot = p.target) GROUP BY 1", "pointers"))
+def dangling_by_state(spark, d):
+    slots = V.slots(spark, d)
+    dangling = directory.pointer_rows(slots).join(slots.select(F.col("slot").alias("target")), "target", "left_anti")
+    rows = dangling.join(slots.select(F.col("slot").alias("source"), "state"), "source")
+    return rows.groupBy(F.concat_ws(":", "state", "kind").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("self_reference_counts", V.sql("SELECT kind AS bucket, count(*) AS n FROM pointers WHERE source = target GROUP BY kind", "pointers"))
+def self_reference_counts(spark, d):
+    return directory.pointer_rows(V.slots(spark, d)).filter("source = target").groupBy(F.col("kind").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("incoming_source_type_counts", V.sql("SELECT f.entry_type AS bucket, count(*) AS n FROM pointers p JOIN slots f ON f.slot = p.source JOIN slots t ON t.slot = p.target GROUP BY 1", "pointers"))
+def incoming_source_type_counts(spark, d):
+    slots = V.slots(spark, d)
+    known = directory.pointer_rows(slots).join(slots.select(F.col("slot").alias("target")), "target", "left_semi")
+    return known.join(slots.select(F.col("slot").alias("source"), "entry_type"), "source").groupBy(F.col("entry_type").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("dead_reference_counts", V.sql("SELECT state AS bucket, count(*) AS slots, CAST(sum(refs) AS BIGINT) AS refs FROM incoming WHERE state <> 'normal' AND refs > 0 GROUP BY state", "incoming"))
+def dead_reference_counts(spark, d):
+    rows = directory.incoming(V.slots(spark, d)).filter("state <> 'normal' and refs > 0")
+    return rows.groupBy(F.col("state").alias("bucket")).agg(F.count("*").alias("slots"), F.sum("refs").alias("refs"))
+
+
+@query(
+    "reachability_counts",
+    V.sql("""+reach AS (SELECT slot FROM slots WHERE slot = 1 UNION SELECT p.target FROM reach r JOIN pointers p ON p.source = r.slot JOIN slots s ON s.slot = p.target)
+        SELECT CASE WHEN state = 'normal' THEN 'live' ELSE 'non-live' END || CASE WHEN r.slot IS NULL THEN ':unreachable' ELSE ':reachable' END AS bucket, count(*) AS n
+        FROM slots s LEFT JOIN reach r ON r.slot = s.slot GROUP BY 1""", "pointers", recursive=True),
+)
+def reachability_counts(spark, d):
+    reached = reachable_slots(spark, d).withColumn("reached", F.lit(True))
+    live = F.when(F.col("state") == "normal", "live").otherwise("non-live")
+    bucket = F.concat(live, F.when(F.col("reached").isNull(), ":unreachable").otherwise(":reachable"))
+    return V.slots(spark, d).join(reached, "slot", "left").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "directory_score",
+    V.sql("SELECT CASE WHEN bool_or(\"left\" = slot OR \"right\" = slot OR child = slot OR bad_refs > 0) THEN 'high' WHEN bool_or(state = 'orphaned' OR refs > 1) THEN 'medium' ELSE 'low' END AS score, count(*) AS entries FROM incoming WHERE state <> 'free'", "incoming"),
+)
+def directory_score(spark, d):
+    """The worst tag of the entries that are not free."""
+    rows = directory.tags(V.slots(spark, d)).filter("state <> 'free'")
+    worst = lambda level: F.bool_or(F.exists("tags", lambda t: directory.tag_severity(t) == level))
+    return rows.agg(F.when(worst("high"), "high").when(worst("medium"), "medium").otherwise("low").alias("score"), F.count("*").alias("entries"))
+
+
+@query(
+    "stream_health",
+    V.sql("""+n AS (SELECT stream, count(*) AS got, arg_min(sector, CAST(pos AS BIGINT) * 1000000000 + sector) AS start FROM chains GROUP BY stream),
+        e AS (SELECT l_orderkey AS stream, CAST(ceil(sum(l_quantity) / 20) AS BIGINT) AS expected FROM lineitem GROUP BY 1),
+        sh AS (SELECT sector FROM chains GROUP BY sector HAVING count(DISTINCT stream) > 1), st AS (SELECT start FROM n GROUP BY start HAVING count(*) > 1),
+        t AS (SELECT DISTINCT stream FROM chains WHERE sector IN (SELECT sector FROM sh))
+        SELECT n.stream, expected, got, got < expected AS truncated, t.stream IS NOT NULL AS shared, st.start IS NOT NULL AS start_reused,
+          CASE WHEN t.stream IS NOT NULL THEN 'high' WHEN st.start IS NOT NULL OR got < expected THEN 'medium' ELSE 'none' END AS risk
+        FROM n JOIN e USING (stream) LEFT JOIN t ON t.stream = n.stream LEFT JOIN st ON st.start = n.start""", "chains"),
+)
+def stream_health(spark, d):
+    """Expected and found chain length, shared sectors and reused starts, and the risk of each stream."""
+    chains = V.chains(spark, d)
+    found = chains.groupBy("stream").agg(F.count("*").alias("got"), F.min(F.struct("pos", "sector")).getField("sector").alias("start"))
+    expected = V.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("stream")).agg(F.ceil(F.sum("l_quantity") / 20).cast("long").alias("expected"))
+    shared = chains.join(records.shared_sectors(chains, "stream", "sector").select("sector"), "sector", "left_semi").select("stream", F.lit(True).alias("shared")).distinct()
+    reused = found.groupBy("start").count().filter("count > 1").select("start", F.lit(True).alias("start_reused"))
+    rows = found.join(expected, "stream").join(shared, "stream", "left").join(reused, "start", "left").na.fill(False, ["shared", "start_reused"])
+    truncated = F.col("got") < F.col("expected")
+    risk = F.when(F.col("shared"), "high").when(F.col("start_reused") | truncated, "medium").otherwise("none")
+    return rows.select("stream", "expected", "got", truncated.alias("truncated"), "shared", "start_reused", risk.alias("risk"))
+
+
+@query("depth_counts", V.sql("SELECT CAST(depth AS BIGINT) AS depth, count(*) AS n, max(depth) OVER () = depth AS deepest FROM (SELECT CASE kind WHEN 'Nation' THEN 1 WHEN 'Customer' THEN 2 ELSE 3 END AS depth FROM tree UNION ALL SELECT 0 FROM (SELECT DISTINCT parent FROM tree WHERE parent LIKE 'R%')) GROUP BY depth", "tree"))
+def depth_counts(spark, d):
+    """Nodes per depth. The result has a row per level, so the window over it is small."""
+    counted = closure_preorder(spark, d).groupBy("depth").agg(F.count("*").alias("n"))
+    return counted.select("depth", "n", (F.col("depth") == F.max("depth").over(W.partitionBy(F.lit(0)))).alias("deepest"))
+
+
+# Set operations
+
+
+@query(
+    "store_merge_last_wins",
+    """SELECT id, v FROM (SELECT id, v, row_number() OVER (PARTITION BY id ORDER BY source DESC) AS r FROM (
+    SELECT p_partkey AS id, p_name AS v, 1 AS source FROM part UNION ALL SELECT p_partkey, p_name || ' v2', 2 FROM part WHERE p_partkey % 3 = 0)) WHERE r = 1""",
+)
+def store_merge_last_wins(spark, d):
+    part = V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("v"), F.lit(1).alias("source"))
+    later = part.filter("id % 3 = 0").select("id", F.concat("v", F.lit(" v2")).alias("v"), F.lit(2).alias("source"))
+    return part.unionAll(later).groupBy("id").agg(F.max_by("v", "source").alias("v"))
+
+
+@query("style_merge_first_wins", "SELECT p_brand AS style, arg_min(p_name, p_partkey) AS definition, count(*) AS definitions FROM part GROUP BY p_brand")
+def style_merge_first_wins(spark, d):
+    return V.table(spark, d, "part").groupBy(F.col("p_brand").alias("style")).agg(F.min_by("p_name", "p_partkey").alias("definition"), F.count("*").alias("definitions"))
+
+
+@query("dedup_paths", r"SELECT DISTINCT lower(regexp_replace(url, '[?#].*$', '')) AS path FROM pages")
+def dedup_paths(spark, d):
+    return V.table(spark, d, "pages").select(F.lower(F.regexp_replace("url", "[?#].*$", "")).alias("path")).distinct()
+
+
+@query(
+    "duplicate_key_suffix",
+    """SELECT p_partkey, p_name || CASE WHEN r = 1 THEN '' ELSE '#' || r END AS key FROM (SELECT p_partkey, p_name, p_brand, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) AS r FROM part)""",
+)
+def duplicate_key_suffix(spark, d):
+    """Equal keys under one parent: the second is ``key#2`` and so on."""
+    place = F.row_number().over(W.partitionBy("p_brand", "p_name").orderBy("p_partkey"))
+    return V.table(spark, d, "part").select("p_partkey", F.concat("p_name", F.when(place == 1, "").otherwise(F.concat(F.lit("#"), place.cast("string")))).alias("key"))
+
+
+@query(
+    "worksheet_signature",
+    """SELECT l_orderkey AS sheet, left(sha256(string_agg(s, '|' ORDER BY s)), 16) AS signature FROM (
+    SELECT l_orderkey, l_linenumber || ':' || l_partkey || '=' || CAST(l_quantity AS BIGINT) AS s FROM lineitem) GROUP BY 1""",
+)
+def worksheet_signature(spark, d):
+    """Sorted cell signatures joined by ``|``, as a short hash; a sheet's cells are gathered together."""
+    cell = F.concat(F.col("l_linenumber").cast("string"), F.lit(":"), F.col("l_partkey").cast("string"), F.lit("="), F.col("l_quantity").cast("long").cast("string"))
+    rows = V.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sheet")).agg(F.array_join(F.array_sort(F.collect_list(cell)), "|").alias("s"))
+    return rows.select("sheet", S.short_hash(F.col("s")).alias("signature"))
+
+
+@query("properties_typed", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS value, CASE WHEN json_extract(props, '$.k') IS NULL THEN 'missing' ELSE 'i64' END AS vt FROM events")
+def properties_typed(spark, d):
+    value = F.get_json_object("props", "$.k").cast("long")
+    return V.table(spark, d, "events").select("event_id", value.alias("value"), F.when(value.isNull(), "missing").otherwise("i64").alias("vt"))
+
+
+@query(
+    "conversation_summary",
+    r"""SELECT conv_id AS doc_id, count(*) AS sections, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(len(regexp_extract_all(text, '[^ \t\r\n\f]+'))) AS BIGINT) AS words,
+    max(turn) AS last_turn, count(*) FILTER (WHERE role = 'user') AS user_sections FROM conversations GROUP BY conv_id""",
+)
+def conversation_summary(spark, d):
+    words = F.size(F.regexp_extract_all("text", F.lit(r"[^ \t\r\n\f]+"), F.lit(0)))
+    return V.table(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(
+        F.count("*").alias("sections"), F.sum(F.length("text")).alias("chars"), F.sum(words).cast("long").alias("words"), F.max("turn").alias("last_turn"), F.count_if(F.col("role") == "user").alias("user_sections"))
+
+
+@query(
+    "cell_references_parsed",
+    r"""WITH r AS (SELECT p_partkey, '$' || chr(CAST(65 + p_partkey % 26 AS INT)) || '$' || (p_size % 9) AS ref FROM part)
+    SELECT p_partkey, CASE WHEN CAST(regexp_extract(ref, '([0-9]+)$', 1) AS INT) >= 1 THEN CAST(ascii(regexp_extract(ref, '([A-Z])', 1)) - 65 AS BIGINT) END AS col,
+    CASE WHEN CAST(regexp_extract(ref, '([0-9]+)$', 1) AS INT) >= 1 THEN CAST(regexp_extract(ref, '([0-9]+)$', 1) AS BIGINT) - 1 END AS "row" FROM r""",
+)
+def cell_references_parsed(spark, d):
+    """``$`` is allowed, and a row below 1 makes the reference none."""
+    ref = F.concat(F.lit("$"), F.chr(F.lit(65) + F.col("p_partkey") % 26), F.lit("$"), (F.col("p_size") % 9).cast("string"))
+    row, column = S.cell_ref(ref)
+    return V.table(spark, d, "part").select("p_partkey", column.alias("col"), row.alias("row"))
+
+
+@query(
+    "lengths_to_emu",
+    "SELECT p_partkey, CAST(round(CASE p_size % 5 WHEN 0 THEN p_size * 360000.0 WHEN 1 THEN p_size * 36000.0 WHEN 2 THEN p_size * 914400.0 WHEN 3 THEN p_size * 12700.0 ELSE p_size * 9525.0 END) AS BIGINT) AS emu FROM part",
+)
+def lengths_to_emu(spark, d):
+    unit = F.element_at(F.array(*(F.lit(u) for u in ("cm", "mm", "in", "pt", "px"))), F.col("p_size") % 5 + 1)
+    return V.table(spark, d, "part").select("p_partkey", F.round(S.length_emu(F.concat(F.col("p_size").cast("string"), unit))).cast("long").alias("emu"))
+
+
+@query(
+    "analyzer_levels",
+    V.sql(f"""+f AS (SELECT doc_id, max(CASE severity WHEN 'Critical' THEN 4 WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 1 ELSE 0 END) AS rank, count(*) AS findings FROM ({_RULES}) GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(findings, 0) AS findings, list_extract(['None', 'Low', 'Medium', 'High', 'Critical'], CAST(coalesce(rank, 0) + 1 AS INT)) AS level FROM documents d LEFT JOIN f USING (doc_id)""", "macros", "formulas", "links", "slots"),
+)
+def analyzer_levels(spark, d):
+    found = _findings(spark, d).groupBy("doc_id").agg(F.max(S.severity_rank(F.col("severity"))).alias("rank"), F.count("*").alias("findings"))
+    rows = V.table(spark, d, "documents").select("doc_id").join(found, "doc_id", "left").na.fill(0)
+    return rows.select("doc_id", "findings", S.severity_label(F.col("rank")).alias("level"))
