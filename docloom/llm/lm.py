@@ -10,8 +10,8 @@ objective, against noise words drawn from the frequencies and shared by a batch;
 averaged, weighted by their tokens. All training documents take part.
 
 Scoring: with E1 = exp(q1 r') and E2 = exp(q2 r' + b), the normaliser of every context pair is an entry of the
-matrix product E1 E2', so that normalised log-probabilities are table entries. The ``HEAD`` most frequent
-words' counts reach each task; rarer words are joined to the count table by word.
+matrix product E1 E2', so that normalised log-probabilities are table entries. The counts of the most
+frequent words, ``HEAD`` at most, reach each task; rarer words are joined to the count table by word.
 
 Nulls: a null text is an empty one (its end alone); a null id counts as the empty text in the fold. Repeated rows
 are counted and scored each on its own. A corpus without training rows scores every known count as zero.
@@ -99,9 +99,21 @@ class Counts:
 
 
 def head_of(counts: DataFrame, head: int = HEAD) -> Counts:
+    """Totals, and all words of the highest counts as far as they are ``head`` words at most.
+
+    Counts are taken by classes of one percent, so that neither the class sizes nor the words that reach the
+    driver grow with the corpus or its partitions.
+    """
     total = counts.agg(F.sum("c").alias("tokens"), F.count("*").alias("kinds"), F.sum(F.when(F.col("word").isNull(), F.col("c"))).alias("ends")).first()
-    top = counts.filter("word is not null").orderBy(F.desc("c"), "word").limit(head).collect()
-    return Counts(total["tokens"] or 0, total["kinds"], total["ends"] or 0, [r["word"].encode() for r in top], np.array([r["c"] for r in top], np.int64))
+    words = counts.filter("word is not null").withColumn("level", F.floor(F.ln("c") * 100).cast("int"))
+    held, cut = 0, None
+    for level, n in sorted(((r["level"], r["count"]) for r in words.groupBy("level").count().collect()), reverse=True):
+        if held + n > head:
+            break
+        held, cut = held + n, level
+    top = [] if cut is None else words.filter(F.col("level") >= cut).select("word", "c").collect()
+    top = sorted((-r["c"], r["word"].encode()) for r in top)
+    return Counts(total["tokens"] or 0, total["kinds"], total["ends"] or 0, [w for _, w in top], np.array([-c for c, _ in top], np.int64))
 
 
 @dataclass
