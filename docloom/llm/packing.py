@@ -60,12 +60,17 @@ def encoder(name: str):
     plain = _plain_bytes()
     ranks = {bytes(plain[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
     fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
+
+    @functools.cache
+    def whole() -> Tokenizer:
+        """Loaded for the first very long text only, as it takes much memory."""
+        found = Tokenizer.from_file(path)
+        found.encode_special_tokens = True
+        return found
 
     def encode(text: str) -> np.ndarray:
         if len(text) > FAST_CHARS:
-            return np.array(whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            return np.array(whole().encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return fast.encode_to_numpy(text, disallowed_special=())
 
     return encode
