@@ -226,11 +226,16 @@ def train(docs: DataFrame, counts: Counts) -> Parameters:
 def _tables(flat: bytes, outputs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """log10 scores by first and second context word, and log10 normalisers by both."""
     p = Parameters.of(np.frombuffer(flat, np.float32), outputs)
-    one, two = p.q1 @ p.r.T, p.q2 @ p.r.T + p.b
+    one, two = p.q1 @ p.r.T, p.q2 @ p.r.T
+    two += p.b
     top1, top2 = one.max(axis=1, keepdims=True), two.max(axis=1, keepdims=True)
-    z = np.log(np.maximum(np.exp(one - top1) @ np.exp(two - top2).T, 1e-30)) + top1 + top2.T
-    ten = np.float32(np.log(10))
-    return one / ten, two / ten, z / ten
+    z = np.exp(one - top1) @ np.exp(two - top2).T
+    np.log(np.maximum(z, 1e-30, out=z), out=z)
+    z += top1
+    z += top2.T
+    for x in (one, two, z):  # in place: a worker holds three tables of outputs x outputs
+        x /= np.float32(np.log(10))
+    return one, two, z
 
 
 def scored(docs: DataFrame, counts: Counts, table: DataFrame, p: Parameters) -> DataFrame:
