@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,22 @@ def cycles_of_three(slots: DataFrame) -> DataFrame:
     return ab.join(bc, "b").join(ca, ["c", "a"]).filter("a < b and a < c and b <> c").select("a", "b", "c")
 
 
+def reached(start: DataFrame, hops: DataFrame, store, stride: int = 4) -> DataFrame:
+    """(slot) of all slots reached from ``start`` over ``hops`` (source, target). A round goes ``stride`` hops
+    on from the slots found last, and ``store`` writes it before the next."""
+    seen = new = store(start.distinct())
+    while True:
+        step, steps = new, []
+        for _ in range(stride):
+            step = step.join(hops, F.col("slot") == F.col("source")).select(F.col("target").alias("slot")).distinct()
+            steps.append(step)
+        found = reduce(DataFrame.unionAll, steps).distinct()
+        new = store(found.join(seen, "slot", "left_anti"))
+        if new.isEmpty():
+            return seen
+        seen = seen.unionByName(new)
+
+
 def tags(slots: DataFrame) -> DataFrame:
     """Each slot with its anomaly tags."""
     when = lambda cond, tag: F.when(cond, F.lit(tag))

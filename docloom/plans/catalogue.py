@@ -325,14 +325,8 @@ def pointer_three_cycles(spark, d):
 @query("reachable_slots", V.sql("+reach AS (SELECT slot FROM slots WHERE slot = 1 UNION SELECT p.target FROM reach r JOIN pointers p ON p.source = r.slot JOIN slots s ON s.slot = p.target) SELECT slot FROM reach", "pointers", recursive=True))
 def reachable_slots(spark, d):
     slots = V.slots(spark, d)
-    hops = stored(directory.pointer_rows(slots).join(slots.select(F.col("slot").alias("target")), "target", "left_semi").select("source", "target").distinct())
-    seen = stored(slots.filter("slot = 1").select("slot"))
-    new = seen
-    while not new.isEmpty():
-        step = new.join(hops, F.col("slot") == F.col("source")).select(F.col("target").alias("slot")).distinct()
-        new = stored(step.join(seen, "slot", "left_anti"))
-        seen = seen.unionByName(new)
-    return seen
+    hops = directory.pointer_rows(slots).join(slots.select(F.col("slot").alias("target")), "target", "left_semi")
+    return directory.reached(slots.filter("slot = 1").select("slot"), stored(hops.select("source", "target").distinct()), stored)
 
 
 @query(
