@@ -3,9 +3,9 @@
 Base finds are regular expressions over whole texts. Beside them each text yields weak parts: possible
 secrets (long mixed tokens), possible identifiers (``client_id = ...``) and endpoints (URLs). Parts are
 rows (uid, role, start, end); an interval join on (uid, window) finds the parts within ``SCOPE`` code
-points of each weak one, and a weak part is reported only if its complement is there: a secret needs an
-identifier, an identifier a secret, an endpoint both. Rows with a weak part meet a bounded number of
-others, as one window holds few parts.
+points of each weak one, as every part is in all windows that it reaches into, and a weak part is reported
+only if its complement is there: a secret needs an identifier, an identifier a secret, an endpoint both.
+Rows with a weak part meet a bounded number of others, as one window holds few parts.
 
 Nulls: a null text is an empty one without finds, a null id stays null. Repeated rows are scanned each on
 its own. Offsets are code points, the end exclusive. Empty input gives an empty result.
@@ -88,8 +88,8 @@ def linked(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(uid, weak): the weak parts of each row that have their complement within ``scope`` code points."""
     role = F.element_at(F.array(*(F.lit(ROLES[k]) for k in KINDS)), F.col("kind") + 1)
     parts = scanned.select("uid", F.inline("parts")).withColumn("role", role)
-    weak = parts.filter(F.col("kind") >= BASE).select("uid", "start", "kind", "end", F.explode(F.sequence(F.floor((F.col("start") - scope) / scope) - 1, F.floor((F.col("end") + scope) / scope))).alias("window"))
-    near = parts.select("uid", F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.col("role").alias("o_role"), F.floor(F.col("start") / scope).alias("window"))
+    weak = parts.filter(F.col("kind") >= BASE).select("uid", "start", "kind", "end", F.explode(F.sequence(F.floor((F.col("start") - scope) / scope), F.floor((F.col("end") + scope) / scope))).alias("window"))
+    near = parts.select("uid", F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.col("role").alias("o_role"), F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope))).alias("window"))
     pairs = weak.join(near, ["uid", "window"]).filter((F.col("o_start") <= F.col("end") + scope) & (F.col("start") <= F.col("o_end") + scope))
     has = pairs.groupBy("uid", "start", "kind", "end").agg(F.bool_or(F.col("o_role") == "id").alias("has_id"), F.bool_or(F.col("o_role") == "secret").alias("has_secret"))
     kept = has.filter(

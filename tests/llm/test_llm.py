@@ -342,6 +342,16 @@ def test_secret_spans(spark):
     assert shown[10] == [("assign", "toKen=123456")]
 
 
+@pytest.mark.parametrize("long", ["0123456789abcdef" * 188, "aB3+" * 750, "password=" + "q1W" * 1000])
+def test_long_secrets_link_from_their_end(spark, long):
+    ident, url = 'client_id = "someone"', "https://example.org/a"
+    docs = [f"{long} {ident}", f"{ident} {long}", f"{long} {ident} {url}", f"{long}{' .' * 190} {ident}", f"{long}{' .' * 250} {ident}"]
+    for found in secrets.spans(frame(spark, docs)).collect():
+        kinds = [secrets.KINDS[s["kind"]] for s in found["all"]]
+        assert ("weak_id" in kinds) == (found["doc_id"] != 4)
+        assert ("endpoint" in kinds) == (found["doc_id"] == 2)
+
+
 def test_redaction(spark, none):
     docs = frame(spark, SECRET_TEXTS)
     kept = {r["doc_id"]: r for r in secrets.redacted(docs).collect()}
