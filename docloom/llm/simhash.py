@@ -10,8 +10,9 @@ radius are abandoned. A cell returns a spanning forest of its links, never all p
 rounds join the forests into components.
 
 ``deduplicated`` finds near-copies of a given Jaccard similarity, which two of 64 bits are too few for: it compares
-1024-bit fingerprints of 5-word shingle sets in the same way, in cells of the bands of a second SimHash, of word
-pairs, which an edit changes less. Of pairs at the similarity itself, about 97 of 100 share a cell and 93 of 100 are within the radius.
+1024-bit fingerprints of 5-word shingle sets in the same way, in cells of equal bands of minimum hashes of those sets.
+A pair shares a band with a chance that depends on its Jaccard similarity alone, wherever the change lies: at 0.8 with
+1 - (1 - 0.8^5)^16, 99.8 of 100. Pairs within a wide radius are then held against the similarity by their whole sets.
 
 Nulls: a null text is an empty one (fingerprint zero), a null id takes part, and a component without any id
 has a null component_id. Repeated rows fall into one class. Empty input gives an empty result.
@@ -37,10 +38,10 @@ BLOCK_BITS = 16
 CELL = 2048
 #: Small cells are compared together up to this many rows: a link found across cells is a link too.
 JOINT = 512
-#: The general near-dedup: shingle words, Jaccard similarity, bits and lanes of the wide fingerprint, and bands.
+#: The general near-dedup: shingle words, Jaccard similarity, bits and lanes of the wide fingerprint, and bands of minima.
 WORDS, SIMILARITY = 5, 0.8
 WIDE, LANES = 1024, 8192
-BANDS, BAND_BITS = 48, 24
+BANDS, BAND_ROWS = 16, 5
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -153,23 +154,54 @@ def sliced_links(queries: np.ndarray, planes: np.ndarray, radius: int = RADIUS)
     return query[at], 64 * word[at] + bit
 
 
-def forest(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For each fingerprint the position of the first one it is connected with inside this array."""
+def _joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``label`` after the links (i, j): the first position of each component."""
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, label[i], low)
+        np.minimum.at(new, label[j], low)
+        while not np.array_equal(new, hop := new[new]):
+            new = hop
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have at least that Jaccard similarity."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    shared = np.count_nonzero(both[1:] == both[:-1])
+    return shared >= similarity * (len(both) - shared)
+
+
+def forest(fps: np.ndarray, radius: int = RADIUS, sets: list[np.ndarray] | None = None, similarity: float = 0) -> np.ndarray:
+    """For each fingerprint the position of the first one it is connected with inside this array.
+
+    With ``sets``, only pairs of at least ``similarity`` are links. Each round takes one open pair of each row; pairs
+    that are connected already need no look at their sets, so a group of copies costs about one look a row.
+    """
     fps = fps.reshape(len(fps), -1)
     planes, label = bit_planes(fps), np.arange(len(fps))
     for start in range(0, len(fps), JOINT):
         i, j = sliced_links(fps[start : start + JOINT], planes, radius)
         i, j = (i + start)[j < len(fps)], j[j < len(fps)]
+        if sets is None:
+            label = _joined(label, i, j)
+            continue
+        i, j = i[i > j], j[i > j]
         while True:
-            low = np.minimum(label[i], label[j])
-            new = label.copy()
-            np.minimum.at(new, label[i], low)
-            np.minimum.at(new, label[j], low)
-            while not np.array_equal(new, hop := new[new]):
-                new = hop
-            if np.array_equal(new, label):
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+            if not len(i):
                 break
-            label = new
+            taken = np.unique(i, return_index=True)[1]
+            links = np.array([alike(sets[a], sets[b], similarity) for a, b in zip(i[taken].tolist(), j[taken].tolist(), strict=True)])
+            label = _joined(label, i[taken[links]], j[taken[links]])
+            i, j = np.delete(i, taken), np.delete(j, taken)
     return label
 
 
@@ -184,12 +216,13 @@ def dealt(rows: DataFrame, cell: int = CELL) -> DataFrame:
     return pairs.select("cell", "id", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"))
 
 
-def compared(rows: DataFrame, radius: int) -> DataFrame:
+def compared(rows: DataFrame, radius: int, similarity: float = 0) -> DataFrame:
     """(a, b): ids whose links span all components of the cells of (cell, b1, b2, id, fp); fp is the
-    fingerprint's bytes. Only whole cells are held, and small ones are compared together."""
+    fingerprint's bytes. Only whole cells are held, and small ones are compared together. With a similarity
+    there is a further column ``shingles``, and only pairs whose sets have it are links."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(key: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        def found(key: np.ndarray, ids: np.ndarray, fps: np.ndarray, sets: np.ndarray) -> pa.RecordBatch:
             start = np.flatnonzero(np.concatenate([[True], np.any(key[1:] != key[:-1], axis=1)]))
             size = np.diff(np.append(start, len(ids)))
             a, b, held = [], [], []
@@ -197,7 +230,8 @@ def compared(rows: DataFrame, radius: int) -> DataFrame:
             def flush():
                 rows = np.concatenate(held)
                 own, first = np.unique(ids[rows], return_index=True)
-                root = forest(fps[rows[first]], radius)
+                own_sets = [np.frombuffer(sets[r], "<u4") for r in rows[first].tolist()] if similarity else None
+                root = forest(fps[rows[first]], radius, own_sets, similarity)
                 linked = np.flatnonzero(root != np.arange(len(own)))
                 a.append(own[linked])
                 b.append(own[root[linked]])
@@ -215,20 +249,24 @@ def compared(rows: DataFrame, radius: int) -> DataFrame:
             empty = np.zeros(0, np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *x])) for x in (a, b)], ["a", "b"])
 
-        key = ids = fps = None
+        key = ids = fps = sets = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             more = np.stack([batch.column(c).cast(pa.int64()).to_numpy() for c in ("cell", "b1", "b2")], axis=1)
             wide = np.frombuffer(b"".join(batch.column("fp").to_pylist()), "<u8").reshape(batch.num_rows, -1)
             own = batch.column("id").to_numpy()
-            key, ids, fps = (more, own, wide) if key is None else (np.concatenate([key, more]), np.concatenate([ids, own]), np.concatenate([fps, wide]))
+            bag = np.empty(batch.num_rows, object)
+            if similarity:
+                bag[:] = batch.column("shingles").to_pylist()
+            held = (more, own, wide, bag)
+            key, ids, fps, sets = held if key is None else (np.concatenate(x) for x in zip((key, ids, fps, sets), held, strict=True))
             if np.any(key[0] != key[-1]):
                 cut = int(np.flatnonzero(np.any(key != key[-1], axis=1))[-1]) + 1  # the last cell may go on
-                yield found(key[:cut], ids[:cut], fps[:cut])
-                key, ids, fps = key[cut:], ids[cut:], fps[cut:]
+                yield found(key[:cut], ids[:cut], fps[:cut], sets[:cut])
+                key, ids, fps, sets = key[cut:], ids[cut:], fps[cut:], sets[cut:]
         if key is not None:
-            yield found(key, ids, fps)
+            yield found(key, ids, fps, sets)
 
     rows = rows.repartition("cell", "b1", "b2").sortWithinPartitions("cell", "b1", "b2")
     return rows.mapInArrow(compare, "a long, b long").distinct()
@@ -315,50 +353,84 @@ def _signs(shingles: np.ndarray, units: np.ndarray, n: int, bits: int) -> np.nda
     return np.concatenate(out) if out else np.zeros((0, bits // 8), np.uint8)
 
 
-def wide_fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, text_hash, fp, wide, keys): fp names the sequence of words, wide is the ``WIDE``-bit SimHash of
-    its set of ``words``-word shingles, keys are ``BANDS`` bands of the SimHash of its word pairs."""
+def _bands(shingles: np.ndarray, units: np.ndarray, n: int) -> list[np.ndarray]:
+    """The ``BANDS`` band keys of each unit: hashes of ``BAND_ROWS`` minima each; a unit without shingles has none."""
+    out = [np.zeros(0, np.int64)] * n
+    if not len(shingles):
+        return out
+    order = np.argsort(units, kind="stable")
+    shingles, units = shingles[order], units[order]
+    start = np.flatnonzero(np.concatenate([[True], units[1:] != units[:-1]]))
+    factors = wordhash.mixed(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+    keys, each = np.empty((len(start), BANDS), np.uint64), np.empty_like(shingles)
+    for band in range(BANDS):
+        key = np.full(len(start), band + 1, np.uint64)
+        for factor in factors[band * BAND_ROWS : (band + 1) * BAND_ROWS]:
+            np.multiply(shingles, factor, out=each)
+            key = wordhash.mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(each, start))
+        keys[:, band] = key
+    for unit, own in zip(units[start].tolist(), keys.view(np.int64), strict=True):
+        out[unit] = own
+    return out
+
+
+def banded(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, text_hash, fp, keys): fp names the sequence of words, keys are the bands of its ``words``-word shingles."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text", 2 << 20):
             texts = [t.lower() for t in common.as_bytes(batch, "text")]
-            n = len(texts)
             same = [xxhash.xxh3_64_intdigest(b" ".join(t.split()), SEED) for t in texts]
-            hashed, units = wordhash.word_hashes(texts)
-            wide = _signs(*wordhash.shingle_hashes(hashed, units, words), n, WIDE)
-            pairs = np.unpackbits(_signs(*wordhash.shingle_hashes(hashed, units, 2), n, BANDS * BAND_BITS), axis=1, bitorder="little")
-            keys = pairs.reshape(n, BANDS, BAND_BITS) @ (1 << np.arange(BAND_BITS))
-            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(same, np.uint64).view(np.int64)), pa.array([w.tobytes() for w in wide], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(keys.astype(np.int32)), pa.list_(pa.int32()))], ["doc_id", "text_hash", "fp", "wide", "keys"])
+            keys = _bands(*wordhash.shingle_hashes(*wordhash.word_hashes(texts), words), len(texts))
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(same, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp", "keys"])
 
     rows = common.texts(docs).withColumn("text_hash", F.xxhash64("text"))
-    return rows.mapInArrow(each, "doc_id long, text_hash long, fp long, wide binary, keys array<int>")
+    return rows.mapInArrow(each, "doc_id long, text_hash long, fp long, keys array<long>")
+
+
+def shingled(rows: DataFrame, words: int = WORDS) -> DataFrame:
+    """(id, fp, shingles) of (id, text): the ``WIDE``-bit SimHash of the set of ``words``-word shingles, and the set as
+    sorted 32-bit hashes."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "text", 2 << 20):
+            hashed, units = wordhash.shingle_hashes(*wordhash.word_hashes([t.lower() for t in common.as_bytes(batch, "text")]), words)
+            wide = _signs(hashed, units, batch.num_rows, WIDE)
+            order = np.argsort(units, kind="stable")
+            edges = np.searchsorted(units[order], np.arange(batch.num_rows + 1))
+            sets = [np.unique((hashed[order[a:b]] >> np.uint64(32)).astype("<u4")).tobytes() for a, b in zip(edges, edges[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([w.tobytes() for w in wide], pa.binary()), pa.array(sets, pa.binary())], ["id", "fp", "shingles"])
+
+    return rows.select("id", "text").mapInArrow(each, "id long, fp binary, shingles binary")
 
 
 def wide_radius(similarity: float) -> int:
-    """Differing bits of two sets of that similarity (of equal size), and 1.5 standard deviations more."""
+    """Differing bits of two sets of that similarity (of equal size, the farthest), and four standard deviations more."""
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(WIDE * p + 1.5 * np.sqrt(WIDE * p * (1 - p)))
+    return int(WIDE * p + 4 * np.sqrt(WIDE * p * (1 - p)))
 
 
 def deduplicated(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the row with the smallest id (nulls last), then
     text hash. Of repeated rows one stays.
 
-    Groups are connected pairs of about ``similarity`` or more (Jaccard, sets of ``words``-word shingles) by their
-    wide fingerprints; texts of equal words are one class from the start.
+    Groups are connected pairs of ``similarity`` or more (Jaccard, sets of ``words``-word shingles, by their 32-bit
+    hashes); texts of equal words are one class from the start. Only texts that share a band are shingled again.
     """
-    wide = common.stored(wide_fingerprints(docs, words), "fingerprints")
-    one = wide.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash", "wide", "keys")).alias("x"))
-    sample = common.stored(one.select("fp", "x.wide", "x.keys"), "signatures")
+    hashed = docs.withColumn("__own", F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
+    found = common.stored(banded(docs, words), "fingerprints")
+    one = found.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash", "keys")).alias("x"))
+    sample = common.stored(one.select("fp", "x.text_hash", "x.keys"), "signatures")
 
     def links_of(classes: DataFrame) -> DataFrame:
-        rows = sample.select(F.col("fp").alias("id"), F.posexplode("keys").alias("band", "bits"))
-        rows = dealt(rows.select("id", (F.col("band") * F.lit(1 << 32) + F.col("bits")).alias("cell")))
-        return compared(rows.join(sample.select(F.col("fp").alias("id"), F.col("wide").alias("fp")), "id"), wide_radius(similarity))
+        rows = common.stored(dealt(sample.select(F.col("fp").alias("id"), F.explode("keys").alias("cell"))), "dealt")
+        near = rows.select(F.col("id").alias("fp")).distinct().join(sample, "fp").select(F.col("fp").alias("id"), F.col("text_hash").alias("__own"))
+        near = common.stored(near, "near")
+        texts = hashed.select("__own", F.coalesce(hashed["text"], F.lit("")).alias("text")).join(near, "__own").dropDuplicates(["id"])
+        return compared(rows.join(common.stored(shingled(texts, words), "shingled"), "id"), wide_radius(similarity), similarity)
 
-    kept = components(wide.select("doc_id", "text_hash", "fp"), links_of)
+    kept = components(found.select("doc_id", "text_hash", "fp"), links_of)
     kept = kept.select(F.col("component_id").alias("__id"), F.col("keep_hash").alias("__hash")).distinct()
-    hashed = docs.withColumn("__own", F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
     match = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash"))
     return hashed.join(kept, match, "left_semi").dropDuplicates(["doc_id", "__own"]).select(*docs.columns)

@@ -201,6 +201,35 @@ def test_near_copies_go(spark, none):
     assert simhash.deduplicated(none).count() == 0
 
 
+def _block_pair(r, kind, similarity, at):
+    """Two texts whose sets of 5-word shingles have just that similarity or a little more: one contiguous block differs."""
+    n, say = 400, lambda k: [f"w{r.randrange(10**6)}" for _ in range(k)]
+    text = say(n)
+    if kind == "cut":
+        return text, text[: n - int((n - 4) * (1 - similarity))]
+    if kind == "added":
+        return text, text + say(int((n - 4) * (1 / similarity - 1)))
+    k = int((n - 4) * (1 - similarity) / (1 + similarity)) - 4
+    return text, [*text[:at], *say(k), *text[at + k :]]
+
+
+@pytest.mark.parametrize("kind", ["cut", "added", "replaced"])
+def test_copies_with_a_changed_block_go(spark, kind):
+    r = random.Random(kind)
+    pairs = [_block_pair(r, kind, s, 40 + 5 * i) for s in (0.8, 0.82, 0.85, 0.9) for i in range(30)]
+    sets = [[{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in p] for p in pairs]
+    assert all(0.8 <= len(a & b) / len(a | b) < 0.91 for a, b in sets)
+    kept = {x["doc_id"] for x in simhash.deduplicated(frame(spark, [" ".join(t) for p in pairs for t in p])).select("doc_id").collect()}
+    assert {i for i in range(0, 2 * len(pairs), 2)} <= kept
+    assert sum(2 * i + 1 in kept for i in range(len(pairs))) <= 2
+
+
+def test_pairs_below_the_similarity_stay(spark):
+    r = random.Random(4)
+    pairs = [_block_pair(r, kind, s, 60) for kind in ("cut", "added", "replaced") for s in (0.7, 0.75, 0.78) for _ in range(8)]
+    assert simhash.deduplicated(frame(spark, [" ".join(t) for p in pairs for t in p])).count() == 2 * len(pairs)
+
+
 # 4: packing
 
 
