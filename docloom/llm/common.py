@@ -56,6 +56,32 @@ def stored(df: DataFrame, kind: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def row_hash(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Column:
+    """Names a row by its id and text: repeated rows share it."""
+    return F.xxhash64(df[doc_id].cast("long"), F.coalesce(df[text], F.lit("")))
+
+
+def unrepeated(keyed: DataFrame, key: str, repeated: DataFrame) -> DataFrame:
+    """``keyed`` with one row of each ``key`` in ``repeated`` (key): of rows that differ elsewhere, the one with the
+    smallest hash of all columns. Other rows pass without a shuffle as long as ``repeated`` is small enough for Spark
+    to broadcast, and with none at all if it is empty."""
+    if repeated.isEmpty():
+        return keyed
+    row = F.struct(*(F.col(f"`{c}`") for c in keyed.columns))
+    flat = [F.col(f"`{f.name}`") for f in keyed.schema.fields if "map" not in f.dataType.simpleString()]
+    picked = unused(keyed, "picked")
+    one = keyed.join(repeated, key, "left_semi").groupBy(key).agg(F.min_by(row, F.xxhash64(*flat)).alias(picked)).select(f"{picked}.*")
+    return keyed.join(repeated, key, "left_anti").unionByName(one)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts hold about ``limit`` bytes (one text at least)."""
     for batch in batches:

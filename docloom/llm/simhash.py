@@ -13,9 +13,12 @@ rounds join the forests into components.
 1024-bit fingerprints of 5-word shingle sets in the same way, in cells of equal bands of minimum hashes of those sets.
 A pair shares a band with a chance that depends on its Jaccard similarity alone, wherever the change lies: at 0.8 with
 1 - (1 - 0.8^5)^16, 99.8 of 100. Pairs within a wide radius are then held against the similarity by their whole sets.
+Cells with the same members are one cell, so a pair that shares many bands is compared once. A cell of n classes beyond
+``CELL`` takes n / ``CELL`` copies of each: its tasks are bounded, their number grows with the square of the cell.
 
 Nulls: a null text is an empty one (fingerprint zero), a null id takes part, and a component without any id
-has a null component_id. Repeated rows fall into one class. Empty input gives an empty result.
+has a null component_id. Repeated rows fall into one class. Texts of any length are read whole. Further columns are
+not looked at, whatever their names. Empty input gives an empty result.
 """
 
 from __future__ import annotations
@@ -71,15 +74,15 @@ def fingerprints_of(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, fp): the fingerprint as a signed long; text_hash tells rows of one id apart."""
+    """(doc_id, row, fp): the fingerprint as a signed long; row tells rows of one id apart."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
             fp = fingerprints_of(common.as_bytes(batch, "text")).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(fp)], ["doc_id", "text_hash", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(fp)], ["doc_id", "row", "fp"])
 
-    rows = common.texts(docs).withColumn("text_hash", F.xxhash64("text"))
-    return rows.mapInArrow(each, "doc_id long, text_hash long, fp long")
+    rows = common.texts(docs)
+    return rows.withColumn("row", common.row_hash(rows)).mapInArrow(each, "doc_id long, row long, fp long")
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
@@ -206,9 +209,11 @@ def forest(fps: np.ndarray, radius: int = RADIUS, sets: list[np.ndarray] | None
 
 
 def dealt(rows: DataFrame, cell: int = CELL) -> DataFrame:
-    """(cell, id, b1, b2) of (cell, id): cells of one row are left out, and a cell of more than ``cell`` rows
-    is dealt out as pairs of salted sub-blocks."""
-    busy = rows.groupBy("cell").count().filter("count > 1")
+    """(cell, id, b1, b2) of (cell, id): cells of one row are left out, of cells with the same members (by 128 bits of
+    their ids' hashes) one stays, and a cell of more than ``cell`` rows is dealt out as pairs of salted sub-blocks."""
+    members = [F.bit_xor(F.xxhash64("id", F.lit(seed))).alias(f"m{seed}") for seed in (1, 2)]
+    busy = rows.groupBy("cell").agg(F.count("*").alias("count"), *members).filter("count > 1")
+    busy = busy.groupBy("count", "m1", "m2").agg(F.min("cell").alias("cell"))
     busy = common.stored(busy.select("cell", F.ceil(F.col("count") / cell).cast("int").alias("parts")), "cells")
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
@@ -313,14 +318,14 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def components(fps: DataFrame, links_of=links) -> DataFrame:
-    """(fp, component_id, keep_hash) of each distinct class ``fp``: the smallest id of its component (nulls
-    last), and with it the text_hash of the one row that stands for it."""
-    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    """(fp, component_id, keep) of each distinct class ``fp``: the smallest id of its component (nulls
+    last), and with it the one row that stands for it."""
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     classes = common.stored(fps.groupBy("fp").agg(F.min(row).alias("first")), "classes")
     roots = connected(links_of(classes)).withColumnRenamed("v", "fp")
     rooted = common.stored(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     least = common.stored(rooted.groupBy("root").agg(F.min("first").alias("first")), "least")
-    return rooted.drop("first").join(least, "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("keep_hash"))
+    return rooted.drop("first").join(least, "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("keep"))
 
 
 def op3_simhash_bitsliced(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,19 +379,19 @@ def _bands(shingles: np.ndarray, units: np.ndarray, n: int) -> list[np.ndarray]:
     return out
 
 
-def banded(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, text_hash, fp, keys): fp names the sequence of words, keys are the bands of its ``words``-word shingles."""
+def banded(rows: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, row, fp, keys) of (doc_id, text, row): fp names the sequence of words, keys are the bands of its
+    ``words``-word shingles."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text", 2 << 20):
             texts = [t.lower() for t in common.as_bytes(batch, "text")]
             same = [xxhash.xxh3_64_intdigest(b" ".join(t.split()), SEED) for t in texts]
             keys = _bands(*wordhash.shingle_hashes(*wordhash.word_hashes(texts), words), len(texts))
-            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(same, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp", "keys"])
+            columns = [batch.column("doc_id"), batch.column("row"), pa.array(np.array(same, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "fp", "keys"])
 
-    rows = common.texts(docs).withColumn("text_hash", F.xxhash64("text"))
-    return rows.mapInArrow(each, "doc_id long, text_hash long, fp long, keys array<long>")
+    return rows.mapInArrow(each, "doc_id long, row long, fp long, keys array<long>")
 
 
 def shingled(rows: DataFrame, words: int = WORDS) -> DataFrame:
@@ -413,24 +418,28 @@ def wide_radius(similarity: float) -> int:
 
 def deduplicated(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the row with the smallest id (nulls last), then
-    text hash. Of repeated rows one stays.
+    the smallest hash of id and text. Of repeated rows one stays, of those that differ in further columns the one with
+    the smallest hash of all columns.
 
     Groups are connected pairs of ``similarity`` or more (Jaccard, sets of ``words``-word shingles, by their 32-bit
-    hashes); texts of equal words are one class from the start. Only texts that share a band are shingled again.
+    hashes); texts of equal words are one class from the start. Only texts that share a band are shingled again, and
+    whole rows are shuffled once.
     """
-    hashed = docs.withColumn("__own", F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
-    found = common.stored(banded(docs, words), "fingerprints")
-    one = found.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash", "keys")).alias("x"))
-    sample = common.stored(one.select("fp", "x.text_hash", "x.keys"), "signatures")
+    key = common.unused(docs, "row")
+    keyed = docs.withColumn(key, common.row_hash(docs))
+    found = common.texts(docs)
+    found = common.stored(banded(found.withColumn("row", common.row_hash(found)), words), "fingerprints")
+    one = found.groupBy("fp").agg(F.min(F.struct("doc_id", "row", "keys")).alias("x"))
+    sample = common.stored(one.select("fp", "x.row", "x.keys"), "signatures")
+    repeated = common.stored(found.groupBy("row").count().filter("count > 1").select(F.col("row").alias(key)), "repeated")
+    rows = common.unrepeated(keyed, key, repeated)
 
     def links_of(classes: DataFrame) -> DataFrame:
-        rows = common.stored(dealt(sample.select(F.col("fp").alias("id"), F.explode("keys").alias("cell"))), "dealt")
-        near = rows.select(F.col("id").alias("fp")).distinct().join(sample, "fp").select(F.col("fp").alias("id"), F.col("text_hash").alias("__own"))
+        cells = common.stored(dealt(sample.select(F.col("fp").alias("id"), F.explode("keys").alias("cell"))), "dealt")
+        near = cells.select(F.col("id").alias("fp")).distinct().join(sample, "fp").select(F.col("fp").alias("id"), "row")
         near = common.stored(near, "near")
-        texts = hashed.select("__own", F.coalesce(hashed["text"], F.lit("")).alias("text")).join(near, "__own").dropDuplicates(["id"])
-        return compared(rows.join(common.stored(shingled(texts, words), "shingled"), "id"), wide_radius(similarity), similarity)
+        texts = rows.select(F.col(key).alias("row"), F.coalesce(rows["text"], F.lit("")).alias("text")).join(near, "row")
+        return compared(cells.join(common.stored(shingled(texts, words), "shingled"), "id"), wide_radius(similarity), similarity)
 
-    kept = components(found.select("doc_id", "text_hash", "fp"), links_of)
-    kept = kept.select(F.col("component_id").alias("__id"), F.col("keep_hash").alias("__hash")).distinct()
-    match = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash"))
-    return hashed.join(kept, match, "left_semi").dropDuplicates(["doc_id", "__own"]).select(*docs.columns)
+    kept = common.stored(components(found.select("doc_id", "row", "fp"), links_of).select(F.col("keep").alias(key)).distinct(), "kept")
+    return rows.join(kept.hint("merge"), key, "left_semi").drop(key)
