@@ -1,26 +1,29 @@
 """Language-model scores by a log-bilinear model trained with noise-contrastive estimation.
 
-Counting: the counts of all training words, over the whole corpus, are a table. The ``VOCABULARY`` most
-frequent words, a text end and a class for all rarer words are the model's outputs; a word of the rare class
-has its share of the class by its smoothed count, so that texts get whole probabilities.
+Counting: the counts of all training words, over the whole corpus, are a table. The model's outputs are a text end, the
+``VOCABULARY`` most frequent words and ``TAILS`` classes, by their last bytes, of all other words. A word of a class
+has the class's probability after its context, times its share of the class by smoothed counts, so that every
+word has a score of its own and texts get whole probabilities.
 
-Training: a word's score after two others is (q1[w1] + q2[w2]) . r[w] + b[w], b starting as the log frequency.
-Each shard of the training documents makes one pass of stochastic gradient steps on the noise-contrastive
+Training: an output's score after two others is (q1[w1] + q2[w2]) . r[w] + b[w], b starting as the log frequency.
+Each shard, of about ``SHARD_TOKENS`` tokens, makes one pass of stochastic gradient steps on the noise-contrastive
 objective, against noise words drawn from the frequencies and shared by a batch; the shards' parameters are
 averaged, weighted by their tokens. All training documents take part.
 
 Scoring: with E1 = exp(q1 r') and E2 = exp(q2 r' + b), the normaliser of every context pair is an entry of the
-matrix product E1 E2', so that normalised log-probabilities are table entries. The counts of the most
-frequent words, ``HEAD`` at most, reach each task; rarer words are joined to the count table by word.
+matrix product E1 E2', made once a worker, so that log-probabilities are normalised. The counts of the most
+frequent words, ``HEAD`` or so, reach each task; rarer words are joined to the count table by word.
 
 Nulls: a null text is an empty one (its end alone); a null id counts as the empty text in the fold. Repeated rows
-are counted and scored each on its own. A corpus without training rows scores every known count as zero.
-Empty input gives an empty result.
+are counted and scored each on its own. Texts of any length are read whole. Further columns are not looked at,
+whatever their names. A corpus without training rows scores every known count as zero. Empty input gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import functools
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,12 +38,15 @@ from . import common
 FOLDS, HELD_OUT = 7, 2
 HEAD = 32768
 VOCABULARY = 2046
+TAILS, SUFFIX = 1024, 3
+SHARD_TOKENS = 8_000_000
 DIMENSIONS = 24
 NOISE = 32
 BATCH = 4096
 RATE = 0.1
 FLUSH = 300_000
-END, RARE = 0, 1
+#: Outputs: the text end, the classes from 1 on, the words from FIRST on.
+END, FIRST = 0, 1 + TAILS
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -71,49 +77,78 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(each, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def tail_of(word: bytes) -> int:
+    """The class of a word that is no output of its own."""
+    return 1 + zlib.crc32(word[-SUFFIX:]) % TAILS
+
+
 @dataclass(frozen=True)
 class Counts:
-    """What the driver keeps of the count table: totals, and the words of the head with their counts."""
+    """What the driver keeps of the count table: totals, the words of the head with their counts, and for each class
+    the tokens and distinct words of those that are no outputs."""
 
     tokens: int
     kinds: int
     ends: int
     words: list[bytes]
     counts: np.ndarray
+    tail_tokens: np.ndarray
+    tail_kinds: np.ndarray
+
+    @property
+    def known(self) -> int:
+        return min(VOCABULARY, len(self.words))
 
     @property
     def outputs(self) -> int:
-        return 2 + min(VOCABULARY, len(self.words))
+        return FIRST + self.known
 
     @property
-    def rare_mass(self) -> int:
-        """Smoothed counts of all words outside the outputs, and one for any unseen word."""
-        n = self.outputs - 2
-        return self.tokens - self.ends - int(self.counts[:n].sum()) + self.kinds - (self.ends > 0) - n + 1
+    def tail_mass(self) -> np.ndarray:
+        """Smoothed counts of the words of each class, and one for any unseen word."""
+        return self.tail_tokens + self.tail_kinds + 1
 
     @property
     def frequency(self) -> np.ndarray:
-        n = self.outputs - 2
-        c = np.concatenate([[self.ends, self.tokens - self.ends - self.counts[:n].sum()], self.counts[:n]]) + 1.0
+        c = np.concatenate([[self.ends], self.tail_tokens, self.counts[: self.known]]) + 1.0
         return c / c.sum()
 
 
 def head_of(counts: DataFrame, head: int = HEAD) -> Counts:
-    """Totals, and all words of the highest counts as far as they are ``head`` words at most.
+    """Totals, classes, and about ``head`` words of the highest counts.
 
     Counts are taken by classes of one percent, so that neither the class sizes nor the words that reach the
-    driver grow with the corpus or its partitions.
+    driver grow with the corpus or its partitions; of the class that exceeds ``head``, as many words as are missing
+    are taken by their hashes.
     """
     total = counts.agg(F.sum("c").alias("tokens"), F.count("*").alias("kinds"), F.sum(F.when(F.col("word").isNull(), F.col("c"))).alias("ends")).first()
     words = counts.filter("word is not null").withColumn("level", F.floor(F.ln("c") * 100).cast("int"))
-    held, cut = 0, None
+    held, whole, part = 0, F.lit(False), F.lit(False)
     for level, n in sorted(((r["level"], r["count"]) for r in words.groupBy("level").count().collect()), reverse=True):
         if held + n > head:
+            part = (F.col("level") == level) & (F.pmod(F.xxhash64("word"), F.lit(n)) < head - held)
             break
-        held, cut = held + n, level
-    top = [] if cut is None else words.filter(F.col("level") >= cut).select("word", "c").collect()
+        held, whole = held + n, F.col("level") >= level
+    top = words.filter(whole | part).select("word", "c").collect()
     top = sorted((-r["c"], r["word"].encode()) for r in top)
-    return Counts(total["tokens"] or 0, total["kinds"], total["ends"] or 0, [w for _, w in top], np.array([-c for c, _ in top], np.int64))
+    suffix = F.substring(F.col("word").cast("binary"), -SUFFIX, SUFFIX)
+    tails = words.groupBy((F.crc32(suffix) % TAILS).alias("tail")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()  # TAILS rows
+    tail_tokens, tail_kinds = np.zeros(TAILS, np.int64), np.zeros(TAILS, np.int64)
+    for r in tails:
+        tail_tokens[r["tail"]], tail_kinds[r["tail"]] = r["c"], r["n"]
+    for c, w in top[:VOCABULARY]:  # outputs of their own
+        tail_tokens[tail_of(w) - 1] += c
+        tail_kinds[tail_of(w) - 1] -= 1
+    return Counts(total["tokens"] or 0, total["kinds"], total["ends"] or 0, [w for _, w in top], np.array([-c for c, _ in top], np.int64), tail_tokens, tail_kinds)
+
+
+def outputs_of(words: list[list[bytes]], place: np.ndarray, known: int) -> np.ndarray:
+    """The output of each word; ``place`` is its place in the head or -1, and the first ``known`` are outputs."""
+    out = place + FIRST
+    tail = np.flatnonzero((place < 0) | (place >= known))
+    flat = [w for ws in words for w in ws] if len(tail) else []
+    out[tail] = [tail_of(flat[i]) for i in tail.tolist()]
+    return out
 
 
 @dataclass
@@ -194,17 +229,17 @@ def contexts(index: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def train(docs: DataFrame, counts: Counts) -> Parameters:
     """Parameters averaged over shards of (text); each shard sends its parameters once."""
-    spark, frequency, outputs = docs.sparkSession, counts.frequency, counts.outputs
+    frequency, outputs, known = counts.frequency, counts.outputs, counts.known
     start = Parameters.start(frequency)
-    known = {w: i + 2 for i, w in enumerate(counts.words[: outputs - 2])}
+    places = {w: i for i, w in enumerate(counts.words[:known])}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, get, seen = Trainer(start, frequency), known.get, 0
+        trainer, get, seen = Trainer(start, frequency), places.get, 0
         for batch in common.slices(batches, "text", 1 << 20):
             words = [words_of(t) for t in common.as_bytes(batch, "text")]
             lengths = np.array([len(w) for w in words])
-            index = np.fromiter((get(w, RARE) for ws in words for w in ws), np.int64, int(lengths.sum()))
-            w1, w2, w, _ = contexts(index, lengths)
+            place = np.fromiter((get(w, -1) for ws in words for w in ws), np.int64, int(lengths.sum()))
+            w1, w2, w, _ = contexts(outputs_of(words, place, known), lengths)
             for at in range(0, len(w), BATCH):
                 trainer.step(w1[at : at + BATCH], w2[at : at + BATCH], w[at : at + BATCH])
             seen += len(w)
@@ -212,7 +247,7 @@ def train(docs: DataFrame, counts: Counts) -> Parameters:
             flat = trainer.p.flat().astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), float(seen)))], ["i", "v", "n"])
 
-    shards = docs.select("text").coalesce(2 * spark.sparkContext.defaultParallelism)
+    shards = docs.select("text").coalesce(max(1, -(-counts.tokens // SHARD_TOKENS)))
     mean = shards.mapInArrow(each, "i long, v double, n double").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v"))
     found = mean.toArrow()  # as many rows as the model has parameters
     if not found.num_rows:
@@ -223,30 +258,41 @@ def train(docs: DataFrame, counts: Counts) -> Parameters:
 
 
 @functools.lru_cache(maxsize=1)
-def _tables(flat: bytes, outputs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """log10 scores by first and second context word, and log10 normalisers by both."""
+def _normalisers(flat: bytes, outputs: int) -> np.ndarray:
+    """The natural logarithm of the normaliser of each pair of first and second context, by blocks of the product."""
     p = Parameters.of(np.frombuffer(flat, np.float32), outputs)
-    one, two = p.q1 @ p.r.T, p.q2 @ p.r.T
+    two = p.q2 @ p.r.T
     two += p.b
-    top1, top2 = one.max(axis=1, keepdims=True), two.max(axis=1, keepdims=True)
-    z = np.exp(one - top1) @ np.exp(two - top2).T
-    np.log(np.maximum(z, 1e-30, out=z), out=z)
-    z += top1
-    z += top2.T
-    for x in (one, two, z):  # in place: a worker holds three tables of outputs x outputs
-        x /= np.float32(np.log(10))
-    return one, two, z
+    top2 = two.max(axis=1, keepdims=True)
+    np.exp(np.subtract(two, top2, out=two), out=two)
+    z = np.empty((outputs, outputs), np.float32)
+    for at in range(0, outputs, 512):
+        one = p.q1[at : at + 512] @ p.r.T
+        top1 = one.max(axis=1, keepdims=True)
+        block = np.exp(one - top1) @ two.T
+        z[at : at + 512] = np.log(np.maximum(block, 1e-30)) + top1 + top2.T
+    return z
+
+
+def log_probabilities(p: Parameters, z: np.ndarray, w1: np.ndarray, w2: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """log10 of each output's probability after its two contexts."""
+    out = np.empty(len(w))
+    for at in range(0, len(w), 1 << 16):
+        a, b, c = (x[at : at + (1 << 16)] for x in (w1, w2, w))
+        out[at : at + (1 << 16)] = np.einsum("ij,ij->i", p.q1[a] + p.q2[b], p.r[c]) + p.b[c] - z[a, b]
+    return out / np.log(10)
 
 
 def scored(docs: DataFrame, counts: Counts, table: DataFrame, p: Parameters) -> DataFrame:
     """(uid, doc_id, held_out, n_tokens, n_known, base_score, score) of (doc_id, text, held_out)."""
-    flat, outputs = p.flat().astype(np.float32).tobytes(), counts.outputs
+    flat, outputs, own = p.flat().astype(np.float32).tobytes(), counts.outputs, counts.known
     known = {w: i for i, w in enumerate(counts.words)}
     log_count = np.log10(counts.counts + 1.0)
-    total, rare = np.log10(counts.tokens + counts.kinds + 1.0), np.log10(counts.rare_mass)
+    total, mass = np.log10(counts.tokens + counts.kinds + 1.0), np.log10(counts.tail_mass)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (one, two, z), get = _tables(flat, outputs), known.get
+        z, get = _normalisers(flat, outputs), known.get
+        model = Parameters.of(np.frombuffer(flat, np.float32), outputs)
         logs = np.append(log_count, 0.0)  # the last for words outside the head, whose counts are joined later
         for batch in common.slices(batches, "text", 2 << 20):
             words = [words_of(t) for t in common.as_bytes(batch, "text")]
@@ -255,16 +301,16 @@ def scored(docs: DataFrame, counts: Counts, table: DataFrame, p: Parameters) ->
             owner = np.repeat(np.arange(n), lengths)
             outside = place < 0
             base = np.bincount(owner, logs[place], n) + np.log10(counts.ends + 1.0) - (lengths + 1) * total
-            w1, w2, w, text = contexts(np.where(outside | (place >= outputs - 2), RARE, place + 2), lengths)
-            value = one[w1, w].astype(np.float64) + two[w2, w] - z[w1, w2]
-            score = np.bincount(text, value, n)
-            in_rare = place >= outputs - 2
-            score += np.bincount(owner[in_rare], logs[place[in_rare]], n) - rare * np.bincount(owner[outside | in_rare], minlength=n)
+            index = outputs_of(words, place, own)
+            w1, w2, w, text = contexts(index, lengths)
+            score = np.bincount(text, log_probabilities(model, z, w1, w2, w), n)
+            in_tail = index < FIRST
+            score += np.bincount(owner[in_tail], logs[place[in_tail]] - mass[index[in_tail] - 1], n)
             tails = [[] for _ in range(n)]
             ends = np.cumsum(lengths)
             for i in np.unique(owner[outside]).tolist():
-                own = outside[ends[i] - lengths[i] : ends[i]]
-                tails[i] = [{"word": k.decode(), "n": v} for k, v in Counter([words[i][j] for j in np.flatnonzero(own).tolist()]).items()]
+                rest = outside[ends[i] - lengths[i] : ends[i]]
+                tails[i] = [{"word": k.decode(), "n": v} for k, v in Counter([words[i][j] for j in np.flatnonzero(rest).tolist()]).items()]
             kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
             n_known = np.bincount(owner[~outside], minlength=n) + (counts.ends > 0)
             columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(lengths + 1), pa.array(n_known), pa.array(base), pa.array(score), pa.array(tails, kind)]
