@@ -8,8 +8,10 @@ in which each 3-word shingle of the paragraph adds +1 or -1 to one lane, so that
 estimate how much their texts share.
 
 Nulls: a null text is an empty one (one empty paragraph); rows with a null id come first in the order of ids.
-Rows of equal id follow one another by text. Texts without a word are alike 1 if equal, else 0. An only
-document is its own next one. Empty input gives an empty result.
+Rows of equal id follow one another by their texts' hashes, so that a hot id is divided too. Repeated rows follow one
+another: each but the last has its own text as the next one. Texts of any length are read whole. Texts without a word
+are alike 1 if equal, else 0. An only document is its own next one. Further columns are not looked at. Empty input gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -76,32 +78,38 @@ def fingerprints(texts: list[bytes]) -> list[Fingerprint]:
 
 
 def in_order_with_next(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Rows (bucket, ahead, key, doc_id, text), a partition per bucket of the order of ids, each bucket
-    followed by the first rows of the next one (``ahead``; of the first one after the last).
+    """Rows (bucket, ahead, key, hash, copies, doc_id, text), a partition per bucket of the order of (id, text hash),
+    each bucket followed by the first row of the next one (``ahead``; of the first one after the last).
 
-    Bucket borders come from a range partitioning of the ids alone: a border per shuffle partition. Each text
-    is shuffled once.
+    Bucket borders come from a range partitioning of the ids and hashes alone: a border per shuffle partition. Each
+    text is shuffled once. Repeated rows are one row with their number as ``copies``.
     """
     spark = docs.sparkSession
-    rows = common.texts(docs).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    ranged = rows.select("key").repartitionByRange(common.partitions(spark), "key")
-    mins = ranged.groupBy(F.spark_partition_id().alias("part")).agg(F.min("key").alias("key")).collect()
-    borders = np.array(sorted(r["key"] for r in mins), np.int64)
+    rows = common.texts(docs).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("hash", F.xxhash64("text"))
+    named = rows.withColumn("row", F.xxhash64("key", "hash"))
+    repeated = common.stored(named.groupBy("row").agg(F.count("*").alias("copies")).filter("copies > 1"), "repeated")
+    rows = common.unrepeated(named, "row", repeated.select("row")).join(repeated, "row", "left").fillna(1, ["copies"]).drop("row")
+    ranged = rows.select("key", "hash").repartitionByRange(common.partitions(spark), "key", "hash")
+    mins = ranged.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("key", "hash")).alias("x")).select("x.*").collect()
+    borders = sorted((r["key"], r["hash"]) for r in mins)
     n = len(borders)
     if not n:
-        return rows.select(F.lit(0).alias("bucket"), F.lit(False).alias("ahead"), "key", "doc_id", "text"), 0
+        return rows.select(F.lit(0).alias("bucket"), F.lit(False).alias("ahead"), "key", "hash", "copies", "doc_id", "text"), 0
+    border = np.array(borders, [("key", np.int64), ("hash", np.int64)])
 
     @F.pandas_udf("bucket int, first boolean")
-    def bucket(key: pd.Series) -> pd.DataFrame:
-        at = np.searchsorted(borders, key.to_numpy(), "right") - 1
-        return pd.DataFrame({"bucket": at.astype(np.int32), "first": borders[at] == key.to_numpy()})
+    def bucket(key: pd.Series, hashed: pd.Series) -> pd.DataFrame:
+        own = np.empty(len(key), border.dtype)
+        own["key"], own["hash"] = key.to_numpy(), hashed.to_numpy()
+        at = np.searchsorted(border, own, "right") - 1
+        return pd.DataFrame({"bucket": at.astype(np.int32), "first": border[at] == own})
 
-    place = rows.withColumn("at", bucket("key"))
+    place = rows.withColumn("at", bucket("key", "hash"))
     own = F.struct(F.col("at.bucket").alias("bucket"), F.lit(False).alias("ahead"))
     before = F.struct(F.pmod(F.col("at.bucket") - 1, F.lit(n)).cast("int").alias("bucket"), F.lit(True).alias("ahead"))
-    dealt = place.select("key", "doc_id", "text", F.explode(F.when(F.col("at.first"), F.array(own, before)).otherwise(F.array(own))).alias("to"))
-    dealt = dealt.select("to.bucket", "to.ahead", "key", "doc_id", "text")
-    return dealt.repartitionById(n, "bucket").sortWithinPartitions("bucket", "ahead", "key", "text"), n
+    dealt = place.select("key", "hash", "copies", "doc_id", "text", F.explode(F.when(F.col("at.first"), F.array(own, before)).otherwise(F.array(own))).alias("to"))
+    dealt = dealt.select("to.bucket", "to.ahead", "key", "hash", "copies", "doc_id", "text")
+    return dealt.repartitionById(n, "bucket").sortWithinPartitions("bucket", "ahead", "key", "hash"), n
 
 
 def compare_next(docs: DataFrame) -> DataFrame:
@@ -110,31 +118,37 @@ def compare_next(docs: DataFrame) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the document whose next one has not come yet
         for batch in common.slices(batches, "text", 2 << 20):
-            ahead = batch.column("ahead").to_pylist()
+            ahead, copies = batch.column("ahead").to_pylist(), batch.column("copies").to_pylist()
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             prints = fingerprints([t.encode() for t in texts])
-            todo = []
+            todo = []  # (copies, id, text, fingerprint, edited text, the next one's fingerprint)
             for i, text in enumerate(texts):
                 if held is not None:
                     half = len(held[1]) // 2
-                    todo.append((*held, held[1][: len(held[1]) - half] + text[:half], prints[i]))
+                    todo.append((1, *held, held[1][: len(held[1]) - half] + text[:half], prints[i]))
                 held = None if ahead[i] else (ids[i], text, prints[i])
+                if not ahead[i] and copies[i] > 1:
+                    half = len(text) // 2
+                    todo.append((copies[i] - 1, *held, text[: len(text) - half] + text[:half], prints[i]))
             if not todo:
                 continue
-            edited = [t[3].encode() for t in todo]
+            edited = [t[4].encode() for t in todo]
             changed = fingerprints(edited)
             yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array([t[0] for t in todo], pa.int64()),
-                "n_chars": pa.array([len(t[1]) for t in todo], pa.int64()),
+                "doc_id": pa.array([t[1] for t in todo], pa.int64()),
+                "n_chars": pa.array([len(t[2]) for t in todo], pa.int64()),
                 "edited_sha256": [hashlib.sha256(e).hexdigest() for e in edited],
-                "fingerprint": [t[2].hexdigest() for t in todo],
+                "fingerprint": [t[3].hexdigest() for t in todo],
                 "edited_fingerprint": [c.hexdigest() for c in changed],
-                "near_edited": [t[2].likeness(c) for t, c in zip(todo, changed, strict=True)],
-                "near_next": [t[2].likeness(t[4]) for t in todo],
+                "near_edited": [t[3].likeness(c) for t, c in zip(todo, changed, strict=True)],
+                "near_next": [t[3].likeness(t[5]) for t in todo],
+                "copies": pa.array([t[0] for t in todo], pa.int64()),
             })
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return in_order_with_next(docs)[0].mapInArrow(each, schema)
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, copies long"
+    found = in_order_with_next(docs)[0].mapInArrow(each, schema)
+    return found.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("col")
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
