@@ -3,16 +3,19 @@
 Writing: a page's payload is its html in UTF-8. Of pages with equal payloads of ``LEAST`` bytes or more, the
 one with the smallest id is a ``response``, the others are ``revisit`` records that refer to it. Records are
 text, written by Spark's text writer with the record end as line separator (gzip), so that files are committed
-as any Spark output is. Each file is a run sorted by URL key and timestamp, of about ``RUN_BYTES``.
+as any Spark output is. Each file is a run sorted by URL key and timestamp, cut where its records' bytes would exceed
+``RUN_BYTES`` (a longer record is a run of its own).
 
 Reading: each file is parsed by the records' lengths; payload digests of responses are computed anew. The index
-rows of the runs are cut into ranges of (URL key, timestamp, id); each range's task merges its slices of the
-sorted runs with a loser tree, and (range, place) orders all captures of all URLs. A range holds index rows
-alone, and a URL with very many captures spans several ranges.
+rows of the runs are cut into ranges of (URL key, timestamp, id, run, offset) of about ``RANGE_ROWS`` rows; each range's
+task merges its slices of the sorted runs with a loser tree, and (range, place) orders all captures of all URLs. A range
+holds index rows alone, and a URL, even a repeated row, with very many captures spans several ranges: a task holds as
+much however large the table is.
 
 A page without a capture time gets one from its id. Nulls: a null html is an empty payload, a null url an empty
 URL; a null id is the smallest of its group only if no row has one. Repeated rows each get a record; those with
-the id of the response are responses. Empty input gives an empty archive.
+the id of the response are responses. A payload of any length is one record. Further columns are not looked at,
+whatever their names. Empty input gives an empty archive.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from . import common
 
 LEAST = 100
 RUN_BYTES = 16 << 20
+RANGE_ROWS = 1 << 16
 END = "\r\n\r\n"
 INDEX = "urlkey string, ts string, page_id long, run string, offset long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -45,18 +49,16 @@ def _header(*fields: tuple[str, Column]) -> Column:
     return F.concat_ws("\r\n", F.lit("WARC/1.1"), *(F.concat(F.lit(f"{k}: "), v) for k, v in fields))
 
 
-def records(pages: DataFrame) -> tuple[DataFrame, float]:
-    """(urlkey, ts, page_id, record), the record without its end, and the mean payload size."""
+def records(pages: DataFrame) -> DataFrame:
+    """(urlkey, ts, page_id, record), the record without its end."""
     payload = F.coalesce(pages["html"], F.lit(""))
     rows = pages.select(
         pages["page_id"].cast("long").alias("page_id"),
         F.regexp_replace(F.coalesce(pages["url"], F.lit("")), r"[\r\n]", "").alias("url"),
         payload.alias("payload"), F.octet_length(payload).cast("long").alias("bytes"), F.sha2(payload.cast("binary"), 256).alias("digest"),
     )
-    found = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"), F.sum("bytes").alias("sum"))
-    found = common.stored(found, "digests")
-    mean = found.agg((F.sum("sum") / F.sum("n")).alias("mean")).first()["mean"] or 0.0
-    rows = rows.join(found.filter((F.col("n") > 1) & (F.col("sum") >= LEAST * F.col("n"))).select("digest", "first"), "digest", "left")
+    found = rows.filter(F.col("bytes") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    rows = rows.join(common.stored(found.filter("n > 1").select("digest", "first"), "digests"), "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.col(c).cast("string"), F.lit(">"))
     day = F.date_format(F.timestamp_seconds(F.lit(1_600_000_000) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(1 << 30))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -70,15 +72,27 @@ def records(pages: DataFrame) -> tuple[DataFrame, float]:
         ("Content-Type", F.lit("application/http; msgtype=response")), ("Content-Length", F.octet_length(block).cast("string")),
     )
     rows = rows.withColumn("ts", day).withColumn("urlkey", url_key("url"))
-    return rows.select("urlkey", "ts", "page_id", F.concat(header, F.lit(END), block).alias("record")), mean
+    return rows.select("urlkey", "ts", "page_id", F.concat(header, F.lit(END), block).alias("record"))
 
 
-def write(pages: DataFrame, path: str) -> None:
-    """Write ``pages`` as sorted runs under ``path``."""
-    rows, mean = records(pages)
-    most = max(1, int(RUN_BYTES / max(1.0, mean + 500)))
-    runs = rows.sortWithinPartitions("urlkey", "ts", "page_id").select("record")
-    runs.write.options(lineSep=END, compression="gzip", maxRecordsPerFile=most).text(path)
+def write(pages: DataFrame, path: str, run_bytes: int = RUN_BYTES) -> None:
+    """Write ``pages`` as sorted runs under ``path``: a row for each run, its records joined by their ends, and a file
+    for each row."""
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in common.slices(batches, "record"):
+            for record in batch.column("record").cast(pa.binary()).to_pylist():
+                if held and size + len(record) > run_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([END.encode().join(held)]).cast(pa.string())], ["value"])
+                    held, size = [], 0
+                held.append(record)
+                size += len(record) + len(END)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([END.encode().join(held)]).cast(pa.string())], ["value"])
+
+    runs = records(pages).sortWithinPartitions("urlkey", "ts", "page_id").select("record").mapInArrow(joined, "value string")
+    runs.write.options(lineSep=END, compression="gzip", maxRecordsPerFile=1).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -158,7 +172,7 @@ class LoserTree:
             self.winner = w
 
 
-def merged(index: DataFrame) -> DataFrame:
+def merged(index: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The index in global order: ``range`` and ``place`` sort all rows by URL key, timestamp and id."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +189,8 @@ def merged(index: DataFrame) -> DataFrame:
         out = table.take(pa.array(order)).append_column("place", pa.array(range(len(order)), pa.int64()))
         yield from out.combine_chunks().to_batches()
 
-    ranged = index.repartitionByRange(common.partitions(index.sparkSession), F.col("urlkey"), F.col("ts"), F.col("page_id").asc_nulls_first())
+    ranges = max(1, -(-index.count() // range_rows))
+    ranged = index.repartitionByRange(ranges, F.col("urlkey"), F.col("ts"), F.col("page_id").asc_nulls_first(), F.col("run"), F.col("offset"))
     ranged = ranged.withColumn("range", F.spark_partition_id()).sortWithinPartitions("run", "offset")
     return ranged.mapInArrow(each, INDEX + ", range int, place long")
 
