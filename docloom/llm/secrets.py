@@ -8,7 +8,8 @@ only if its complement is there: a secret needs an identifier, an identifier a s
 Rows with a weak part meet a bounded number of others, as one window holds few parts.
 
 Nulls: a null text is an empty one without finds, a null id stays null. Repeated rows are scanned each on
-its own. Offsets are code points, the end exclusive. Empty input gives an empty result.
+its own. Texts of any length are scanned whole. Further columns are not looked at, whatever their names. Offsets are
+code points, the end exclusive. Empty input gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common
 
@@ -70,17 +72,23 @@ def find(data: bytes) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+_PARTS = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
+PARTS = "array<struct<start:long,kind:int,end:long>>"
+
+
+def _parts(texts: list[bytes]) -> pa.Array:
+    return pa.array([[{"start": s, "kind": k, "end": e} for s, k, e in find(x)] for x in texts], _PARTS)
+
+
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(uid, doc_id, text_hash, parts): each row's finds, stored. uid names the row, not the document."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
         for batch in common.slices(batches, "text"):
-            parts = [[{"start": s, "kind": k, "end": e} for s, k, e in find(x)] for x in common.as_bytes(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(parts, kind)], ["doc_id", "text_hash", "parts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), _parts(common.as_bytes(batch, "text"))], ["doc_id", "text_hash", "parts"])
 
     rows = common.texts(docs, doc_id, text).withColumn("text_hash", F.xxhash64("text"))
-    found = rows.mapInArrow(each, "doc_id long, text_hash long, parts array<struct<start:long,kind:int,end:long>>")
+    found = rows.mapInArrow(each, f"doc_id long, text_hash long, parts {PARTS}")
     return common.stored(found.withColumn("uid", F.monotonically_increasing_id()), "secrets")
 
 
@@ -105,7 +113,7 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: in
     scanned = scan(docs, doc_id, text)
     base = F.filter("parts", lambda p: p["kind"] < BASE)
     rows = scanned.select("uid", "doc_id", "text_hash", base.alias("base")).join(linked(scanned, scope), "uid", "left")
-    return rows.select("doc_id", "text_hash", "base", F.array_sort(F.concat("base", F.coalesce("weak", F.array().cast("array<struct<start:long,kind:int,end:long>>")))).alias("all"))
+    return rows.select("doc_id", "text_hash", "base", F.array_sort(F.concat("base", F.coalesce("weak", F.array().cast(PARTS)))).alias("all"))
 
 
 def joined(column: str):
@@ -120,22 +128,49 @@ def op7_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0), count(1), count(2), F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("all").alias("spans"))
 
 
+def masked(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """``text`` with each run of overlapping spans, given in the order of their starts, replaced by ``mark``."""
+    out, at, end = [], 0, -1
+    for s, e in spans:
+        if s >= end:
+            out += [text[at:s], mark]
+        at = end = max(end, e)
+    return "".join([*out, text[at:]])
+
+
 def redacted(docs: DataFrame, mark: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
     """``docs`` (columns of documents) with every found span replaced by ``mark``; n_chars follows the text.
 
-    Rows without a find keep their text, nulls included. Overlapping spans count as one.
+    Rows without a find keep their text, nulls included. Overlapping spans count as one. Rows are stored with their
+    parts; only those with a weak part, which may or may not stay, meet the links by a shuffle.
     """
-    found = spans(docs, scope=scope).filter(F.size("all") > 0).dropDuplicates(["doc_id", "text_hash"])
-    # From the last span to the first, as (start, end) of runs of overlapping spans.
-    run = F.expr(
-        "aggregate(`all`, cast(array() as array<struct<start:long,end:long>>), (done, s) -> "
-        "case when size(done) > 0 and done[0].end > s.start "
-        "then concat(array(named_struct('start', done[0].start, 'end', greatest(done[0].end, s.end))), slice(done, 2, greatest(size(done) - 1, 0))) "
-        "else concat(array(named_struct('start', s.start, 'end', s.end)), done) end)"
-    )
-    cuts = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), run.alias("__cuts"))
-    text = F.expr(f"aggregate(__cuts, text, (t, s) -> concat(substring(t, 1, int(s.start)), '{mark}', substring(t, int(s.end) + 1)))")
-    kept = docs.join(cuts, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__hash")), "left")
-    changed = F.col("__cuts").isNotNull()
-    columns = {"text": F.when(changed, text).otherwise(F.col("text")), "n_chars": F.when(changed, F.length(text).cast("long")).otherwise(F.col("n_chars"))}
-    return kept.select(*(columns[c].alias(c) if c in columns else docs[c] for c in docs.columns))
+    parts, uid, weak = (common.unused(docs, name) for name in ("parts", "uid", "weak"))
+    at, lengths = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    schema = docs.schema
+
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([*batch.columns, _parts(common.as_bytes(batch, "text"))], [*batch.schema.names, parts])
+
+    def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "text"):
+            columns, spans = list(batch.columns), batch.column(batch.num_columns - 1).to_pylist()
+            texts, n = columns[at].to_pylist(), columns[lengths].to_pylist() if lengths is not None else []
+            for i, own in enumerate(spans):
+                if own:
+                    texts[i] = masked(texts[i], [(x["start"], x["end"]) for x in own], mark)
+                    if n:
+                        n[i] = len(texts[i])
+            columns[at] = pa.array(texts, columns[at].type)
+            if lengths is not None:
+                columns[lengths] = pa.array(n, columns[lengths].type)
+            yield pa.RecordBatch.from_arrays(columns[:-1], batch.schema.names[:-1])
+
+    wide = StructType([*schema.fields, *StructType.fromDDL(f"`{parts}` {PARTS}").fields])
+    rows = common.stored(docs.mapInArrow(scanned, wide).withColumn(uid, F.monotonically_increasing_id()), "secrets")
+    base, doubtful = F.filter(parts, lambda p: p["kind"] < BASE), F.exists(parts, lambda p: p["kind"] >= BASE)
+    links = linked(rows.filter(doubtful).select(F.col(uid).alias("uid"), F.col(parts).alias("parts")), scope)
+    links = links.select(F.col("uid").alias(uid), F.col("weak").alias(weak))
+    sure = rows.filter(~doubtful).drop(uid)
+    asked = rows.filter(doubtful).join(links, uid, "left").withColumn(parts, F.array_sort(F.concat(base, F.coalesce(weak, F.array().cast(PARTS))))).drop(uid, weak)
+    return sure.unionByName(asked).mapInArrow(mask, schema)
