@@ -2,49 +2,56 @@
 
 Texts and items are normalised (A-Z lower-cased, ASCII punctuation and white space runs as one space). An
 item of n bytes allows ``RATE`` * n edits; it is split into one piece more than that, so that any passage
-within the budget holds a piece unchanged. An Aho-Corasick automaton finds all pieces in one pass over a
-text, and Myers' bit-parallel distance verifies the passage around a hit.
-
-Items reach the tasks in blocks of ``BLOCK_BYTES`` at most, one pass over the documents for each block.
-
-Nulls: a null text is an empty one; items without a word are left out; null ids stay null. Items too short to
-be split (under two pieces of ``PIECE`` bytes) match unchanged only, as whole words. Repeated rows each give
-their matches. Empty input gives an empty result.
+within the budget holds a piece unchanged. A piece's first ``GRAM`` bytes are looked up at every place of a text, a
+batch of texts at a time: by a bit table, then in the sorted grams, then by the piece's last bytes. Myers'
+bit-parallel distance verifies the passage around each piece found.
+
+The index of pieces takes a few bytes for each byte of the items; one pass over the documents serves
+``BLOCK_BYTES`` of distinct items, a larger benchmark takes a pass for each block. Items of equal normalised text are
+one, their ids are joined to the matches.
+
+Nulls: a null text is an empty one; items without a word are left out; null ids stay null. Items under 1 / ``RATE``
+bytes have a budget of no edit: they match unchanged, as whole words. Repeated rows each give their matches, of
+documents and of items. Texts and items of any length are read whole. Further columns are not looked at, whatever
+their names. Empty input gives an empty result.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, wordhash
 
 RATE = 0.05
-PIECE = 12
-BLOCK_BYTES = 2 << 20
+GRAM = 10
+BITS = 22
+BLOCK_BYTES = 32 << 20
 
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
-def normalised(text: bytes) -> str:
-    """Words and one space around each, a character per byte."""
+def normalised(text: bytes) -> bytes:
+    """Words and one space around each."""
     words = text.translate(_PLAIN).split()
-    return " ".join(["", *(w.decode("latin-1") for w in words), ""]) if words else ""
+    return b" ".join([b"", *words, b""]) if words else b""
 
 
 def budget(n: int) -> int:
-    return max(0, min(int(RATE * n), n // PIECE - 1))
+    """Edits that an item of ``n`` bytes allows. Its pieces then have ``GRAM`` bytes at least, or are the whole item."""
+    return int(RATE * n)
 
 
-def edit_distance_within(pattern: str, text: str, most: int) -> int | None:
+def edit_distance_within(pattern: bytes, text: bytes, most: int) -> int | None:
     """The least edit distance of ``pattern`` to any part of ``text``, if at most ``most``: Myers' bit
-    vectors, a Python integer of as many bits as the pattern has characters."""
+    vectors, a Python integer of as many bits as the pattern has bytes."""
     m = len(pattern)
-    eq: dict[str, int] = {}
+    eq: dict[int, int] = {}
     for i, c in enumerate(pattern):
         eq[c] = eq.get(c, 0) | 1 << i
     full, top = (1 << m) - 1, 1 << (m - 1)
@@ -65,83 +72,161 @@ def edit_distance_within(pattern: str, text: str, most: int) -> int | None:
     return best if best <= most else None
 
 
-@functools.lru_cache(maxsize=2)
-def _pieces(items: tuple[str, ...]):
-    import ahocorasick
-
-    automaton = ahocorasick.Automaton()
-    held: dict[str, list[tuple[int, int]]] = {}
-    for i, item in enumerate(items):
-        k = budget(len(item))
-        cuts = [len(item) * j // (k + 1) for j in range(k + 2)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            held.setdefault(item[a:b], []).append((i, b))
-    for piece, places in held.items():
-        automaton.add_word(piece, places)
-    automaton.make_automaton()
-    return automaton
-
-
-def matches(text: str, items: tuple[str, ...]) -> dict[int, int]:
-    """The least edits by which each item was found, of those within their budget."""
-    found: dict[int, int] = {}
-    failed: set[tuple[int, int]] = set()
-    for at, places in _pieces(items).iter(text):
-        for i, end in places:
-            if found.get(i) == 0:
-                continue
-            item, start = items[i], at + 1 - end
-            k, key = budget(len(items[i])), (i, at + 1 - end)
-            if key in failed:
-                continue
-            if text.startswith(item, max(0, start)) and start >= 0:
-                found[i] = 0
-                continue
-            failed.add(key)  # each alignment is verified once
-            if k and (d := edit_distance_within(item, text[max(0, start - k) : start + len(item) + k], k)) is not None:
-                found[i] = min(d, found.get(i, d))
-    return found
-
-
-def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[tuple[tuple[str, ...], list[list[int | None]]]]:
-    """Blocks of distinct normalised items and the ids that share each."""
-    rows = benchmark.select(benchmark[item_id].cast("long").alias("id"), benchmark[text].alias("text")).filter("text is not null")
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    n = max(1, -(-size // BLOCK_BYTES))
+def _eights(buffer: bytes) -> np.ndarray:
+    """The eight bytes from each place on, as one number; what is beyond the end is zero."""
+    padded = np.frombuffer(buffer + bytes(16), np.uint8)
+    return np.ndarray((len(buffer) + 8,), "<u8", padded, strides=(1,)).copy()
+
+
+def _grams(eights: np.ndarray, at: np.ndarray | slice, size: int) -> np.ndarray:
+    """A hash of the ``size`` (8 to 16) bytes, or of fewer than 8, at each place."""
+    first = eights[at]
+    if size < 8:
+        return wordhash.mixed((first & np.uint64((1 << 8 * size) - 1)) + np.uint64(size))
+    last = eights[size - 8 :][at]
+    return wordhash.mixed(first * np.uint64(0x9E3779B97F4A7C15) + last)
+
+
+@dataclass(frozen=True)
+class Table:
+    """The pieces that are looked up by ``size`` bytes, in the order of their grams."""
+
+    size: int
+    bits: np.ndarray
+    grams: np.ndarray
+    item: np.ndarray
+    start: np.ndarray  # of the piece in its item
+    length: np.ndarray
+    tail: np.ndarray  # the last bytes of the piece, eight or as many as the gram has
+
+
+@dataclass(frozen=True)
+class Index:
+    """Normalised items and the tables of their pieces."""
+
+    items: list[bytes]
+    keys: list[int]
+    tables: list[Table]
+
+    @staticmethod
+    def of(items: list[bytes], keys: list[int]) -> Index:
+        item, start, length = [], [], []
+        for i, text in enumerate(items):
+            k = budget(len(text)) + 1
+            cuts = np.arange(k + 1) * len(text) // k
+            item.append(np.full(k, i))
+            start.append(cuts[:-1])
+            length.append(np.diff(cuts))
+        item, start, length = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (item, start, length))
+        where = np.cumsum([0, *(len(t) for t in items)])
+        eights, gram = _eights(b"".join(items)), np.minimum(length, GRAM)
+        tables = []
+        for size in np.unique(gram).tolist():
+            own = np.flatnonzero(gram == size)
+            at = where[item[own]] + start[own]
+            grams = _grams(eights, at, size)
+            order = np.argsort(grams, kind="stable")
+            own, grams = own[order], grams[order]
+            wide = min(8, size)
+            tail = eights[where[item[own]] + start[own] + length[own] - wide] & np.uint64((1 << 8 * wide) - 1)
+            bits = np.zeros(1 << BITS, bool)
+            bits[grams >> np.uint64(64 - BITS)] = True
+            tables.append(Table(size, bits, grams, item[own].astype(np.int32), start[own].astype(np.int32), length[own].astype(np.int32), tail))
+        return Index(items, keys, tables)
+
+    def found(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(place, item, start, length) of all pieces found in normalised texts, which stand one after another, each with a
+        zero byte after it. A piece longer than its gram and last bytes may differ between them."""
+        eights = _eights(b"\x00".join([*texts, b""]))
+        for table in self.tables:
+            hashed = _grams(eights, slice(0, len(eights) - 8), table.size)
+            place = np.flatnonzero(table.bits[hashed >> np.uint64(64 - BITS)])
+            own = hashed[place]
+            low, high = np.searchsorted(table.grams, own, "left"), np.searchsorted(table.grams, own, "right")
+            count = high - low
+            row = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            place = np.repeat(place, count)
+            wide = min(8, table.size)
+            last = place + table.length[row] - wide
+            inside = last < len(eights)
+            row, place, last = row[inside], place[inside], last[inside]
+            same = eights[last] & np.uint64((1 << 8 * wide) - 1) == table.tail[row]
+            row, place = row[same], place[same]
+            yield place, table.item[row], table.start[row], table.length[row]
+
+    def matches(self, texts: list[bytes]) -> list[dict[int, int]]:
+        """For each normalised text the least edits by which each item was found, of those within their budget."""
+        out: list[dict[int, int]] = [{} for _ in texts]
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        failed: set[tuple[int, int]] = set()
+        for places, items, starts, lengths in self.found(texts):
+            owners = np.searchsorted(begin, places, "right") - 1
+            for at, i, start, n, owner in zip((places - begin[owners]).tolist(), items.tolist(), starts.tolist(), lengths.tolist(), owners.tolist(), strict=True):
+                found, text, item = out[owner], texts[owner], self.items[i]
+                if found.get(i) == 0 or text[at : at + n] != item[start : start + n]:
+                    continue
+                first, k = at - start, budget(len(item))
+                if (key := (i, first + int(begin[owner]))) in failed:
+                    continue
+                if first >= 0 and text.startswith(item, first):
+                    found[i] = 0
+                    continue
+                failed.add(key)  # each alignment is verified once
+                if k and (d := edit_distance_within(item, text[max(0, first - k) : first + len(item) + k], k)) is not None:
+                    found[i] = min(d, found.get(i, d))
+        return out
+
+
+def items_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """(item_id, key, item): each item's normalised text and its hash; items without a word are left out."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array([normalised(t) for t in common.as_bytes(batch, "text")], pa.binary())], ["item_id", "item"])
+
+    rows = common.texts(benchmark, item_id, text).select(F.col("doc_id").alias("item_id"), "text").mapInArrow(each, "item_id long, item binary")
+    rows = rows.filter(F.length("item") > 0)
+    return common.stored(rows.select("item_id", F.xxhash64("item").alias("key"), "item"), "items")
+
+
+def indexes(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Index]:
+    """An index for each block of about ``block_bytes`` of distinct items."""
+    distinct = common.stored(items.groupBy("key").agg(F.first("item").alias("item")), "distinct")
+    size = distinct.agg(F.coalesce(F.sum(F.length("item")), F.lit(0)).alias("b")).first()["b"]
+    n = -(-size // block_bytes)
     for block in range(n):
-        held: dict[str, list[int | None]] = {}
-        for row in rows.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == block).collect():  # about BLOCK_BYTES
-            if key := normalised(row["text"].encode()):
-                held.setdefault(key, []).append(row["id"])
-        if held:
-            yield tuple(held), list(held.values())
+        rows = sorted((r["key"], bytes(r["item"])) for r in distinct.filter(F.pmod("key", F.lit(n)) == block).collect())
+        yield Index.of([t for _, t in rows], [k for k, _ in rows])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, edits): each document and item that share a passage within the item's budget."""
-    rows, out = common.texts(docs), None
-    for items, ids in blocks(benchmark):
+    rows, items = common.texts(docs), items_of(benchmark)
+    out = rows.select("doc_id", F.lit(0).cast("long").alias("key"), F.lit(0).alias("edits")).filter("false")
+    for index in indexes(items, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(index)  # a few times block_bytes
 
-        def find(batches: Iterator[pa.RecordBatch], items=items, ids=ids) -> Iterator[pa.RecordBatch]:
+        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own = shared.value
             for batch in common.slices(batches, "text"):
-                hits = []
-                for doc, text in zip(batch.column("doc_id").to_pylist(), common.as_bytes(batch, "text"), strict=True):
-                    hits += [(doc, x, d) for i, d in matches(normalised(text), items).items() for x in ids[i]]
+                found = own.matches([normalised(t) for t in common.as_bytes(batch, "text")])
+                hits = [(doc, own.keys[i], d) for doc, each in zip(batch.column("doc_id").to_pylist(), found, strict=True) for i, d in each.items()]
                 columns = list(zip(*hits, strict=True)) if hits else ([], [], [])
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["doc_id", "item_id", "edits"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["doc_id", "key", "edits"])
 
-        part = rows.mapInArrow(find, "doc_id long, item_id long, edits int")
-        out = part if out is None else out.unionByName(part)
-    return rows.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("edits")).filter("false") if out is None else out
+        out = out.unionByName(rows.mapInArrow(find, "doc_id long, key long, edits int"))
+    return out.join(items.select("key", "item_id"), "key").select("doc_id", "item_id", "edits")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the rows that hold an item; all columns stay as they are."""
-    for items, _ in blocks(benchmark):
+    for index in indexes(items_of(benchmark), block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def clean(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own = shared.value
             for batch in common.slices(batches, "text"):
-                yield batch.filter(pa.array([not matches(normalised(x), items) for x in common.as_bytes(batch, "text")]))
+                yield batch.filter(pa.array([not x for x in own.matches([normalised(t) for t in common.as_bytes(batch, "text")])], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs
