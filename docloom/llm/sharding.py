@@ -1,10 +1,13 @@
 """Fixed virtual slots: records hash into thousands of slots, a versioned map assigns slots to shards.
 
-A record's slot depends on its id alone and never changes. Only the slot-to-shard map is edited:
-``rebalanced`` moves the fewest slots it can to even out bytes, ``grown`` moves slots into a new shard
-alone. Every edit gives a new version; ``save`` keeps all versions as one table.
-
-Nulls: rows with a null id share one fixed slot; a null text has no bytes. Repeated rows each get a place of their own. Empty input gives an empty result.
+A record's slot depends on its id, its text and, of repeated rows, on which copy it is; it never changes. Only the
+slot-to-shard map is edited: ``rebalanced`` moves the fewest slots it can to even out bytes, ``grown`` moves slots
+into a new shard alone. Every edit gives a new version; ``save`` keeps all versions as one table.
+
+The law is ``bytes``: sizes alone decide, so documents of equal text may lie in different shards, and a hot id or text
+is spread over all slots. Nulls: a null id is an id like any other, a null text has no bytes. Repeated rows each get a
+place of their own: they are counted first and dealt to slots by their number. Texts of any length count whole. Further
+columns are not looked at, whatever their names. Empty input gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from . import common
 
 SLOTS = 4096
 ROW_BYTES = 16
+#: Copies of a repeated row are numbered in runs of this many.
+COPIES = 4096
 
 
 @dataclass(frozen=True)
@@ -107,13 +112,28 @@ def load_map(spark: SparkSession, path: str) -> SlotMap:
 
 
 def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, vslot): a row's bytes and its fixed virtual slot."""
-    return common.texts(docs).select(
+    """(doc_id, size, text_crc32, copy, vslot): a row's bytes and its fixed virtual slot; copy numbers repeated rows."""
+    rows = common.texts(docs).select(
         "doc_id",
         (F.octet_length("text") + ROW_BYTES).cast("long").alias("size"),
         F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int").alias("vslot"),
+        F.xxhash64("text").alias("text_hash"),
     )
+    counted = rows.groupBy("doc_id", "size", "text_crc32", "text_hash").agg(F.count("*").alias("n"))
+    zero, most = F.lit(0).cast("long"), F.lit(COPIES - 1).cast("long")
+    few = counted.filter(F.col("n") <= COPIES).withColumn("start", zero)
+    # Of rows that occur more often, runs of COPIES numbers are dealt out before they are numbered one by one.
+    many = counted.filter(F.col("n") > COPIES)
+    last = F.col("n") - 1
+    many = many.withColumn("start", F.explode(F.sequence(zero, last, F.lit(COPIES**3))))
+    for step in (COPIES**2, COPIES):
+        end = F.least(last, F.col("start") + (COPIES - 1) * step)
+        many = many.withColumn("start", F.explode(F.sequence("start", end, F.lit(step).cast("long"))))
+    many = many.repartition(common.partitions(docs.sparkSession), "doc_id", "text_hash", "start")
+    copy = F.explode(F.sequence("start", F.least(last, F.col("start") + most)))
+    copies = few.unionByName(many).withColumn("copy", copy)
+    slot = F.pmod(F.xxhash64("doc_id", "text_hash", "copy"), F.lit(slots)).cast("int")
+    return copies.select("doc_id", "size", "text_crc32", "copy", slot.alias("vslot"))
 
 
 def slot_sizes(rows: DataFrame) -> dict[int, tuple[int, int]]:
@@ -134,7 +154,7 @@ def place(rows: DataFrame, slot_map: SlotMap, counts: dict[int, int]) -> DataFra
         seen[shard] += counts.get(slot, 0)
     spark = rows.sparkSession
     where = F.broadcast(spark.createDataFrame(before, "vslot int, shard int, before long"))  # one row per slot
-    rank = F.row_number().over(W.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size"))
+    rank = F.row_number().over(W.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size", "copy"))
     return rows.withColumn("rank", rank).join(where, "vslot").withColumn("slot", F.col("before") + F.col("rank") - 1).drop("before", "rank")
 
 
