@@ -438,7 +438,7 @@ def deduplicated(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
         cells = common.stored(dealt(sample.select(F.col("fp").alias("id"), F.explode("keys").alias("cell"))), "dealt")
         near = cells.select(F.col("id").alias("fp")).distinct().join(sample, "fp").select(F.col("fp").alias("id"), "row")
         near = common.stored(near, "near")
-        texts = rows.select(F.col(key).alias("row"), F.coalesce(rows["text"], F.lit("")).alias("text")).join(near, "row")
+        texts = rows.select(F.col(key).alias("row"), F.coalesce(rows["text"], F.lit("")).alias("text")).join(near.hint("merge"), "row")
         return compared(cells.join(common.stored(shingled(texts, words), "shingled"), "id"), wide_radius(similarity), similarity)
 
     kept = common.stored(components(found.select("doc_id", "row", "fp"), links_of).select(F.col("keep").alias(key)).distinct(), "kept")
