@@ -26,6 +26,17 @@ SUSPICIOUS_CALLS = {
 }
 SUSPICIOUS_FUNCTIONS = ("WEBSERVICE", "HYPERLINK", "URL", "EXEC", "CALL", "SHELL", "DDE", "DDEAUTO")
 SUSPICIOUS_TLDS = ("ru", "cn", "tk", "ml", "ga", "cf")
+SUSPICIOUS_DOMAINS = ("pastebin.com", "bit.ly", "tinyurl.com", "raw.githubusercontent.com", "ngrok.io", "serveo.net")
+MEDIA_TYPES = {
+    "Image": ("jpg", "jpeg", "png", "gif", "bmp", "tif", "tiff", "webp"), "Audio": ("mp3", "wav", "m4a", "aac", "ogg"),
+    "Video": ("mp4", "mov", "avi", "mkv", "webm"),
+}
+MEDIA_CLASSES = {
+    "png": ("image", "image/png"), "jpg": ("image", "image/jpeg"), "jpeg": ("image", "image/jpeg"), "gif": ("image", "image/gif"),
+    "bmp": ("image", "image/bmp"), "tif": ("image", "image/tiff"), "tiff": ("image", "image/tiff"), "webp": ("image", "image/webp"),
+    "wav": ("audio", "audio/wav"), "mp3": ("audio", "audio/mpeg"), "mp4": ("video", "video/mp4"),
+}
+OFFICE_EXTENSIONS = ("docx", "docm", "xlsx", "xlsm", "pptx", "pptm")
 SEVERITIES = ("None", "Low", "Medium", "High", "Critical")
 
 
@@ -63,13 +74,32 @@ def format_float(x: Column) -> Column:
     return F.when(x == F.round(x), F.format_string("%.0f", x)).otherwise(F.format_string("%.6f", x))
 
 
+def percent_decoded(url: Column) -> Column:
+    """Lower-cased, with each %XX as the character of that code."""
+    parts = F.split(F.lower(url), "%")
+    rest = F.transform(F.slice(parts, 2, F.size(parts)), lambda p: F.when(p.rlike("^[0-9a-f]{2}"), F.concat(F.lower(F.chr(F.conv(F.substring(p, 1, 2), 16, 10).cast("int"))), p.substr(F.lit(3), F.length(p)))).otherwise(F.concat(F.lit("%"), p)))
+    return F.array_join(F.concat(F.slice(parts, 1, 1), rest), "")
+
+
 def url_host(url: Column) -> Column:
-    """Lower-case host: no scheme, user part, port, path, query, fragment or trailing dots."""
-    rest = F.regexp_replace(F.lower(url), "^[a-z][a-z0-9+.-]*://", "")
-    rest = F.regexp_replace(rest, "^.*@", "")
-    rest = F.regexp_replace(rest, r"[/?#\\].*$", "")
-    rest = F.regexp_replace(rest, r"^\[(.*)\]", "$1")
-    return F.regexp_replace(F.regexp_replace(rest, ":[0-9]*$", ""), r"\.+$", "")
+    """Lower-case host: no known scheme, user part (up to the last @), path, query, fragment, brackets, port or trailing dots."""
+    rest = F.regexp_replace(F.lower(url), "^(https?|ftp|smb|sftp|file|ldaps?)://", "")
+    rest = F.regexp_replace(rest, "(?s)^.*@", "")
+    rest = F.regexp_replace(F.regexp_replace(rest, r"(?s)[/?#\\].*$", ""), r"\.+$", "")
+    host = F.when(rest.startswith("["), F.regexp_extract(rest, r"^\[([^\]]*)", 1)).otherwise(F.regexp_replace(rest, "(?s):.*$", ""))
+    return F.regexp_replace(host, r"\.+$", "")
+
+
+def is_ip_address(host: Column) -> Column:
+    """A dotted quad of numbers to 255, an IPv6 literal, or a 0x number of 32 bits."""
+    octet, group = "0*(25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})", "[0-9a-fA-F]{1,4}"
+    some = f"({group}(:{group})*)?"
+    short = host.rlike(f"^{some}::{some}$") & (F.size(F.regexp_extract_all(host, F.lit(group), F.lit(0))) <= 7)
+    return host.rlike(rf"^({octet}\.){{3}}{octet}$") | host.rlike(f"^({group}:){{7}}{group}$") | short | host.rlike("^0[xX]0*[0-9a-fA-F]{1,8}$")
+
+
+def host_matches(host: Column, domain: str) -> Column:
+    return (host == domain) | host.endswith(f".{domain}")
 
 
 def is_remote(target: Column) -> Column:
@@ -77,9 +107,21 @@ def is_remote(target: Column) -> Column:
 
 
 def is_suspicious_url(url: Column) -> Column:
-    host = url_host(url)
-    tld = host.rlike(r"\.(" + "|".join(SUSPICIOUS_TLDS) + ")$")
-    return tld | host.rlike(r"^([0-9]{1,3}\.){3}[0-9]{1,3}$") | host.rlike("^0x[0-9a-f]+$") | F.lower(url).rlike(r"^(\\\\|//)")
+    """By the host of the decoded URL: a listed top level, an IP address or a listed domain; or a UNC path."""
+    decoded = percent_decoded(url)
+    host = url_host(decoded)
+    listed = reduce(lambda a, b: a | b, (host_matches(host, d) for d in SUSPICIOUS_DOMAINS))
+    return host.rlike(r"\.(" + "|".join(SUSPICIOUS_TLDS) + ")$") | is_ip_address(host) | listed | decoded.rlike(r"^(\\\\|//)")
+
+
+def is_external_target(target: Column) -> Column:
+    """A target of a link that leaves the document: any scheme with ``://``, or one of four without."""
+    return target.contains("://") | F.lower(target).rlike("^(file|smb|ftp|mailto):")
+
+
+def looks_external(target: Column) -> Column:
+    """A relationship target that leaves the package: ``//``, a UNC path, or a scheme before the first colon."""
+    return target.rlike(r"^(//|\\\\|[A-Za-z][A-Za-z0-9+.-]*:)")
 
 
 def extract_urls(text: Column) -> Column:
@@ -127,12 +169,29 @@ def is_auto_exec(name: Column) -> Column:
     return F.lower(name).isin(*[n.lower() for n in AUTO_EXEC])
 
 
+def quoted_parts(text: Column) -> Column:
+    """The texts between double quotes, two quotes in a row being one inside; an unclosed one goes to the end, unless it
+    is empty."""
+    parts = F.regexp_extract_all(text, F.lit(r'"((?:[^"]|"")*)(?:"|$)'), 1)
+    plain = F.transform(parts, lambda p: F.replace(p, F.lit('""'), F.lit('"')))
+    unclosed = F.length(F.regexp_replace(text, '[^"]', "")) % 2 == 1
+    return F.when(unclosed & (F.element_at(plain, -1) == ""), F.slice(plain, 1, F.size(plain) - 1)).otherwise(plain)
+
+
 def dde(instruction: Column) -> tuple[Column, Column, Column, Column]:
-    """(field type, application, topic, item) of a DDE or DDEAUTO instruction with quoted parts."""
-    kind = F.upper(F.regexp_extract(instruction, r"(?i)^\s*(DDEAUTO|DDE)(?=\s)", 1))
-    parts = F.regexp_extract_all(instruction, F.lit('"([^"]*)"'), 1)
-    part = lambda i: F.try_element_at(parts, F.lit(i))
-    return kind, F.when(F.coalesce(part(1), F.lit("")) == "", F.lit("unknown")).otherwise(part(1)), part(2), part(3)
+    """(field type, application, topic, item) of a DDE or DDEAUTO instruction with quoted parts. Without an
+    application it is "unknown" and the others are null, as empty ones are."""
+    kind = F.upper(F.regexp_extract(instruction, r"(?i)^\s*(DDEAUTO|DDE)(?=\s|$)", 1))
+    parts = quoted_parts(instruction)
+    part = lambda i: F.coalesce(F.get(parts, F.lit(i - 1)), F.lit(""))
+    none = part(1) == ""
+    more = lambda i: F.when(~none & (part(i) != ""), part(i))
+    return kind, F.when(none, F.lit("unknown")).otherwise(part(1)), more(2), more(3)
+
+
+def normalized_dde(kind: Column, application: Column, topic: Column, item: Column) -> Column:
+    shown = lambda c, none: F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.lit(none)).otherwise(c)
+    return F.concat(kind, F.lit(" app="), shown(application, "<unknown>"), F.lit(" topic="), F.coalesce(topic, F.lit("<none>")), F.lit(" item="), F.coalesce(item, F.lit("<none>")))
 
 
 def severity_rank(label: Column) -> Column:
@@ -144,15 +203,99 @@ def severity_label(rank: Column) -> Column:
     return F.element_at(F.array(*(F.lit(s) for s in SEVERITIES)), rank + 1)
 
 
-def payload_class(head: Column) -> Column:
-    """Class of a payload by the first hex digits of its bytes."""
-    h = F.lower(head)
+def looks_like_text(data: Column) -> Column:
+    """Whether a payload is not empty and its first 256 bytes are printable ASCII or white space."""
+    return F.hex(F.substring(data, 1, 256)).rlike("^(09|0A|0C|0D|[2-6][0-9A-F]|7[0-9A-E])+$")
+
+
+def payload_class(data: Column, name: Column | None = None) -> Column:
+    """Class of a payload by its first bytes, of a ZIP by its file name too."""
+    head = F.hex(F.substring(data, 1, 8))
+    office = F.lit(False) if name is None else F.coalesce(F.lower(name).rlike(r"\.(" + "|".join(OFFICE_EXTENSIONS) + ")$"), F.lit(False))
     return (
-        F.when(h.startswith("4d5a"), "pe").when(h.startswith("d0cf11e0a1b11ae1"), "cfb").when(h.startswith("504b0304"), "zip")
-        .when(h.startswith("25504446"), "pdf").otherwise("unknown")
+        F.when(head.startswith("4D5A"), "pe").when(head.startswith("D0CF11E0"), "office").when(head.startswith("504B0304") & office, "office")
+        .when(head.startswith("504B0304"), "zip").when(head.startswith("255044462D"), "pdf").when(looks_like_text(data), "script").otherwise("unknown")
     )
 
 
+def extension(path: Column) -> Column:
+    """What follows the last dot, the whole path without one, in lower case."""
+    return F.lower(F.substring_index(path, ".", -1))
+
+
+def media_type(path: Column) -> Column:
+    chosen = F.when(F.lit(False), "")
+    for kind, names in MEDIA_TYPES.items():
+        chosen = chosen.when(extension(path).isin(*names), kind)
+    return chosen.otherwise("Other")
+
+
+def media_class(path: Column, data: Column) -> Column:
+    """By the extension, else by the payload."""
+    names = {}
+    for name, (kind, _) in MEDIA_CLASSES.items():
+        names.setdefault(kind, []).append(name)
+    by_name = F.when(F.lit(False), "")
+    for kind, own in names.items():
+        by_name = by_name.when(F.lower(path).rlike(r"\.(" + "|".join(own) + ")$"), kind)
+    return by_name.otherwise(payload_class(data, path))
+
+
+def file_name(path: Column) -> Column:
+    return F.substring_index(path, "/", -1)
+
+
+def logical_root(path: Column) -> Column:
+    return F.split_part(path, F.lit("/"), F.lit(1))
+
+
+def decoded_hex(text: Column) -> Column:
+    """The bytes of a text of hex digits, null for an odd number of them or any other character."""
+    return F.when(text.rlike("^([0-9A-Fa-f]{2})*$"), F.unhex(text))
+
+
+def cfb_entry_class(path: Column, entry_type: Column) -> Column:
+    """Class of a compound-file entry by its type and path."""
+    up = F.upper(path)
+    storage = F.when((up == "OBJECTPOOL") | up.startswith("OBJECTPOOL/"), "embedded-object-storage").when((up == "VBA") | up.endswith("/VBA"), "vba-storage").otherwise("storage")
+    stream = (
+        F.when(up == "WORDDOCUMENT", "word-main-stream").when(up.isin("WORKBOOK", "BOOK"), "excel-main-stream")
+        .when(up == "POWERPOINT DOCUMENT", "powerpoint-main-stream").when((up == "PROJECT") | up.endswith("/PROJECT"), "vba-project-metadata")
+        .when(up.contains("/VBA/") | up.startswith("VBA/"), "vba-module-stream").when(up.endswith("OLE10NATIVE"), "ole-native-payload")
+        .when((up == "PACKAGE") | up.endswith("/PACKAGE"), "package-payload").when(up.endswith("/CONTENTS"), "embedded-contents").otherwise("stream")
+    )
+    return F.when(entry_type == "root-storage", "root-storage").when(entry_type == "storage", storage).otherwise(stream)
+
+
+def artifact_kind(path: Column, format: str) -> Column:
+    """What a package part or stream is extracted as, null if it is not: by path alone."""
+    if format == "ooxml":
+        inside = lambda folder: path.rlike(f"^(word|xl|ppt)/{folder}/")
+        return F.when(inside("embeddings") & path.rlike(r"\.(bin|ole)$"), "OleObject").when(inside("media"), "MediaAsset").when(inside("activeX") & path.rlike(r"\.(bin|dat)$"), "ActiveXControl")
+    if format == "odf":
+        return F.when(path.startswith("ObjectReplacements/") | (path.startswith("Object ") & ~path.endswith("/")), "OleObject").when(path.startswith("Pictures/"), "MediaAsset")
+    if format == "hwpx":
+        return F.when(path.startswith("BinData/"), "MediaAsset")
+    up = F.upper(path)
+    return F.when(up.contains("OBJECTPOOL/") | up.startswith("BINDATA/") | up.endswith("OLE10NATIVE") | (up == "PACKAGE") | up.endswith("/PACKAGE") | up.endswith("/CONTENTS"), "OleObject")
+
+
+def node_id(text: Column) -> Column:
+    """``node_<hex>`` or a decimal number, null if it is neither."""
+    digits = F.regexp_extract(text, "^node_([0-9A-Fa-f]{1,15})$", 1)
+    return F.when(digits != "", F.conv(digits, 16, 10).cast("long")).when(text.rlike("^[0-9]{1,18}$"), text.try_cast("long"))
+
+
+def within_sheet(row: Column, column: Column) -> Column:
+    """Whether a 0-based cell lies in a worksheet's 1,048,576 rows and 16,384 columns."""
+    return (row >= 0) & (row < 1_048_576) & (column >= 0) & (column < 16_384)
+
+
+def quoted_strings(text: Column) -> Column:
+    """Texts between single or double quotes."""
+    return F.transform(F.regexp_extract_all(text, F.lit("""("[^"]*"|'[^']*')"""), 1), lambda q: q.substr(F.lit(2), F.length(q) - 2))
+
+
 def cell_ref(ref: Column) -> tuple[Column, Column]:
     """0-based (row, column) of a reference such as ``$B$7``, null if it is none."""
     pattern = r"^\$?([A-Za-z]{1,3})\$?([0-9]{1,7})$"

@@ -44,31 +44,70 @@ def cycles_of_three(slots: DataFrame) -> DataFrame:
 
 
 def reached(start: DataFrame, hops: DataFrame, store, stride: int = 4) -> DataFrame:
-    """(slot) of all slots reached from ``start`` over ``hops`` (source, target). A round goes ``stride`` hops
-    on from the slots found last, and ``store`` writes it before the next."""
+    """(slot) of all slots reached from ``start`` over ``hops`` (source, target). A round is a chain of ``stride`` joins,
+    each of which keeps the slots it starts from beside those they point at, and leaves out what earlier rounds saw;
+    ``store`` writes it before the next."""
     seen = new = store(start.distinct())
     while True:
-        step, steps = new, []
+        step = new
         for _ in range(stride):
-            step = step.join(hops, F.col("slot") == F.col("source")).select(F.col("target").alias("slot")).distinct()
-            steps.append(step)
-        found = reduce(DataFrame.unionAll, steps).distinct()
-        new = store(found.join(seen, "slot", "left_anti"))
+            both = F.explode(F.array_compact(F.array("slot", "target")))
+            step = step.join(hops, F.col("slot") == F.col("source"), "left").select(both.alias("slot")).distinct()
+        new = store(step.join(seen, "slot", "left_anti"))
         if new.isEmpty():
             return seen
         seen = seen.unionByName(new)
 
 
-def tags(slots: DataFrame) -> DataFrame:
-    """Each slot with its anomaly tags."""
+def cycle_tags(slots: DataFrame) -> DataFrame:
+    """(slot, tag): ``sibling-``, ``child-`` or ``mixed-2-cycle`` and ``-3-cycle`` of each slot that lies on one.
+
+    A cycle is of the first pointer's kind if a pointer that closes it is of that kind (any pointer closes a child's
+    3-cycle), and mixed if kinds differ.
+    """
+    p = pointer_rows(slots).select("source", "target", F.when(F.col("kind") == "child", "child").otherwise("sibling").alias("bucket"), "kind")
+    q = p.select(F.col("source").alias("target"), F.col("target").alias("next"), F.col("kind").alias("k2"), F.col("bucket").alias("b2"))
+    two = p.join(q, "target").filter("next = source")
+    r = q.select(F.col("target").alias("next"), F.col("next").alias("source"), F.col("k2").alias("k3"), F.col("b2").alias("b3"))
+    three = p.join(q, "target").join(r, ["next", "source"])
+    same = lambda rows, cond, n: rows.filter(cond).select(F.col("source").alias("slot"), F.concat("bucket", F.lit(f"-{n}-cycle")).alias("tag"))
+    mixed = lambda rows, cond, n: rows.filter(cond).select(F.col("source").alias("slot"), F.lit(f"mixed-{n}-cycle").alias("tag"))
+    found = [
+        same(two, "bucket = b2", 2), mixed(two, "kind <> k2", 2),
+        same(three, "bucket = 'child' or b3 = 'sibling'", 3), mixed(three, "kind <> k2 or kind <> k3", 3),
+    ]
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+SEVERITY = {
+    "high": (
+        "sibling-2-cycle", "child-2-cycle", "sibling-3-cycle", "child-3-cycle", "mixed-2-cycle", "mixed-3-cycle", "incoming-from-anomalous-entry",
+        "dangling-left-sibling", "dangling-right-sibling", "dangling-child", "self-left-sibling", "self-right-sibling", "self-child", "invalid-start-sector",
+    ),
+    "low": ("free-slot", "zero-name-length", "unreferenced-live-entry"),
+}
+NAMES = {"left": "left-sibling", "right": "right-sibling", "child": "child"}
+NO_SECTOR, END_SECTOR = 0xFFFFFFFF, 0xFFFFFFFE
+
+
+def tags(slots: DataFrame, reachable: DataFrame, sectors: int) -> DataFrame:
+    """(slot, tag) of all entry, reference and cycle anomalies. ``slots`` has name_length, size and start too, and
+    ``reachable`` (slot) are those that the root leads to; the number of slots is one more than the largest."""
+    count = F.broadcast(slots.agg((F.max("slot") + 1).alias("slot_count")))  # one row
+    rows = incoming(slots).join(reachable.select("slot", F.lit(True).alias("reached")), "slot", "left").crossJoin(count)
     when = lambda cond, tag: F.when(cond, F.lit(tag))
-    return incoming(slots).withColumn("tags", F.array_compact(F.array(
-        when(F.col("state") == "free", "free-entry"), when(F.col("state") == "orphaned", "orphaned-entry"),
-        *(when(F.col(k) == F.col("slot"), f"self-{k}") for k in POINTERS),
-        when((F.col("refs") == 0) & (F.col("slot") != 0), "unreferenced"), when(F.col("refs") > 1, "multi-referenced"),
-        when(F.col("bad_refs") > 0, "incoming-from-anomalous"),
-    )))
-
-
-def tag_severity(tag) -> object:
-    return F.when(tag.isin("self-left", "self-right", "self-child", "incoming-from-anomalous"), "high").when(tag.isin("orphaned-entry", "multi-referenced"), "medium").otherwise("low")
+    live = (F.col("state") == "normal") & (F.col("entry_type") != "root-storage")
+    known = (F.col("state") != "free") & (F.col("entry_type") != "unknown")
+    found = F.array_compact(F.array(
+        when(F.col("state") == "free", "free-slot"), when(F.col("state") == "orphaned", "orphaned-entry"), when(F.col("entry_type") == "unknown", "unknown-entry-type"),
+        when((F.col("state") != "free") & (F.col("name_length") == 0), "zero-name-length"),
+        when(known & (F.col("size") > 0) & ~F.col("start").isin(NO_SECTOR, END_SECTOR) & (F.col("start") >= sectors), "invalid-start-sector"),
+        *(when(F.col(k) >= F.col("slot_count"), f"dangling-{NAMES[k]}") for k in POINTERS), *(when(F.col(k) == F.col("slot"), f"self-{NAMES[k]}") for k in POINTERS),
+        when(live & (F.col("refs") == 0), "unreferenced-live-entry"), when(F.col("refs") > 1, "multi-referenced-entry"),
+        when(live & F.col("reached").isNull(), "unreachable-live-entry"), when(F.col("bad_refs") > 0, "incoming-from-anomalous-entry"),
+    ))
+    return rows.select("slot", F.explode(found).alias("tag")).unionByName(cycle_tags(slots))
+
+
+def tag_severity(tag):
+    return F.when(tag.isin(*SEVERITY["high"]), "high").when(tag.isin(*SEVERITY["low"]), "low").otherwise("medium")

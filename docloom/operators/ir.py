@@ -44,16 +44,22 @@ def select_nodes(nodes: DataFrame, types: tuple[str, ...] = (), contains: str |
     return nodes
 
 
-def closure(edges: DataFrame, roots: DataFrame, store, most: int = 100) -> DataFrame:
-    """(root, node, depth, path) of all nodes reached from ``roots`` (root), one join per level.
+def closure(edges: DataFrame, roots: DataFrame, store, most: int = 100, skip: Column | None = None) -> DataFrame:
+    """(root, node, depth, place) of all nodes reached from ``roots`` (root), each once; ``place`` sorts a root's nodes in
+    pre-order. One join per level, without the nodes seen before: a node with several parents stands at its first
+    place of the highest level.
 
-    ``edges`` is (parent, child). The path guards against cycles; ``store`` writes a level before the next.
+    ``edges`` is (parent, child, ord), siblings in the order of ord. Below nodes that meet ``skip`` (of ``node``) the walk
+    does not go on. ``store`` writes a level before the next.
     """
-    level = store(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.array("root").alias("path")))
+    level = store(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.array(F.lit(0).cast("long")).alias("place")).distinct())
     out = level
     for depth in range(1, most + 1):
-        step = level.join(edges, F.col("node") == F.col("parent")).filter(~F.array_contains("path", F.col("child")))
-        level = store(step.select("root", F.col("child").alias("node"), F.lit(depth).alias("depth"), F.concat("path", F.array("child")).alias("path")))
+        open_ = level if skip is None else level.filter(~skip)
+        step = open_.join(edges, F.col("node") == F.col("parent"))
+        step = step.select("root", F.col("child").alias("node"), F.concat("place", F.array(F.col("ord").cast("long"))).alias("place"))
+        step = step.groupBy("root", "node").agg(F.min("place").alias("place")).join(out.select("root", "node"), ["root", "node"], "left_anti")
+        level = store(step.select("root", "node", F.lit(depth).alias("depth"), "place"))
         if level.isEmpty():
             return out
         out = out.unionByName(level)

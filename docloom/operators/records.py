@@ -35,9 +35,8 @@ def offsets(records: DataFrame, stream: str, size: str) -> DataFrame:
 def chain_steps(sectors: DataFrame, stream: str, sector: str, order: list) -> DataFrame:
     """``step``, ``next`` (``END_OF_CHAIN`` after the last) and ``is_terminal`` of each sector of a chain."""
     w = W.partitionBy(stream).orderBy(*order)
-    following = F.lead(sector, 1, END_OF_CHAIN).over(w)
-    rows = sectors.withColumn("step", F.row_number().over(w) - 1).withColumn("next", following)
-    return rows.withColumn("is_terminal", F.row_number().over(W.partitionBy(stream).orderBy(F.desc("step"))) == 1)
+    rows = sectors.withColumn("step", F.row_number().over(w) - 1).withColumn("next", F.lead(sector, 1).over(w))
+    return rows.withColumn("is_terminal", F.col("next").isNull()).withColumn("next", F.coalesce("next", F.lit(END_OF_CHAIN)))
 
 
 def shared_sectors(chains: DataFrame, stream: str, sector: str) -> DataFrame:

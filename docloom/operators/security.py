@@ -42,7 +42,7 @@ def finding(rows: DataFrame, rule: str, message: Column, node: Column | None = N
 def burst(rows: DataFrame, rule: str, label: str, most: int) -> DataFrame:
     """One finding for each document with more than ``most`` rows."""
     counted = rows.groupBy("doc_id").count().filter(F.col("count") > most)
-    return finding(counted, rule, F.concat(F.lit(label + ": "), F.col("count").cast("string")))
+    return finding(counted, rule, F.concat(F.lit(label + ": "), F.col("count").cast("string"), F.lit(f" (threshold {most})")))
 
 
 def with_profile(findings: DataFrame, enabled: tuple[str, ...] = (), disabled: tuple[str, ...] = (), severities: dict[str, str] | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import scalars as S
-from docloom.operators import diff, directory, formula, ir, records, security
+from docloom.operators import diff, directory, formula, ir, objects, records, security
 from docloom.plans import views as V
 from docloom.storage import stored
 
@@ -70,7 +70,8 @@ def extract_by_id_or_type(spark, d):
 def closure_preorder(spark, d):
     edges = V.tree(spark, d)
     roots = edges.filter("parent like 'R%'").select(F.col("parent").alias("root")).distinct()
-    return ir.closure(edges.select("parent", "child"), roots, stored).select("root", "node", long("depth", "depth"))
+    edges = edges.select("parent", "child", F.substring("child", 2, 20).cast("long").alias("ord"))
+    return ir.closure(edges, roots, stored).select("root", "node", long("depth", "depth"))
 
 
 @query("text_collector", V.sql("SELECT doc_id, sha256(string_agg(text, chr(10) ORDER BY ord)) AS digest, CAST(length(string_agg(text, chr(10) ORDER BY ord)) AS BIGINT) AS chars FROM paragraphs GROUP BY doc_id", "paragraphs"))
@@ -126,11 +127,11 @@ def reference_bucket_counts(spark, d):
 @query(
     "incoming_source_counts_zero_kept",
     V.sql("""SELECT unnest(['anomalous', 'free', 'normal']) AS bucket, unnest([a, f, n]) AS n FROM (SELECT CAST(sum(bad_refs) AS BIGINT) AS a,
-        CAST(coalesce(sum(refs) FILTER (WHERE state = 'free' AND entry_type = 'root' AND slot > 0), 0) AS BIGINT) AS f, CAST(sum(refs - bad_refs) AS BIGINT) AS n FROM incoming)""", "incoming"),
+        CAST(coalesce(sum(refs) FILTER (WHERE state = 'free' AND entry_type = 'root-storage' AND slot > 0), 0) AS BIGINT) AS f, CAST(sum(refs - bad_refs) AS BIGINT) AS n FROM incoming)""", "incoming"),
 )
 def incoming_source_counts_zero_kept(spark, d):
     rows = directory.incoming(V.slots(spark, d))
-    none = F.when((F.col("state") == "free") & (F.col("entry_type") == "root") & (F.col("slot") > 0), F.col("refs"))
+    none = F.when((F.col("state") == "free") & (F.col("entry_type") == "root-storage") & (F.col("slot") > 0), F.col("refs"))
     sums = rows.agg(F.sum("bad_refs").alias("anomalous"), F.coalesce(F.sum(none), F.lit(0)).alias("free"), F.sum(F.col("refs") - F.col("bad_refs")).alias("normal"))
     return sums.unpivot([], ["anomalous", "free", "normal"], "bucket", "n")
 
@@ -329,21 +330,9 @@ def reachable_slots(spark, d):
     return directory.reached(slots.filter("slot = 1").select("slot"), stored(hops.select("source", "target").distinct()), stored)
 
 
-@query(
-    "directory_tag_counts",
-    V.sql("""SELECT tag, CASE WHEN tag IN ('self-left', 'self-right', 'self-child', 'incoming-from-anomalous') THEN 'high' WHEN tag IN ('orphaned-entry', 'multi-referenced') THEN 'medium' ELSE 'low' END AS severity, count(*) AS n
-        FROM (SELECT unnest([CASE WHEN state = 'free' THEN 'free-entry' END, CASE WHEN state = 'orphaned' THEN 'orphaned-entry' END, CASE WHEN "left" = slot THEN 'self-left' END, CASE WHEN "right" = slot THEN 'self-right' END,
-          CASE WHEN child = slot THEN 'self-child' END, CASE WHEN refs = 0 AND slot <> 0 THEN 'unreferenced' END, CASE WHEN refs > 1 THEN 'multi-referenced' END, CASE WHEN bad_refs > 0 THEN 'incoming-from-anomalous' END]) AS tag FROM incoming)
-        WHERE tag IS NOT NULL GROUP BY ALL""", "incoming"),
-)
-def directory_tag_counts(spark, d):
-    rows = directory.tags(V.slots(spark, d)).select(F.explode("tags").alias("tag"))
-    return rows.groupBy("tag", directory.tag_severity(F.col("tag")).alias("severity")).agg(F.count("*").alias("n"))
-
-
 # Scalar functions
 
-_HOST = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(url), '^[a-z][a-z0-9+.-]*://', ''), '^.*@', ''), '[/?#\\].*$', ''), ':[0-9]*$', ''), '\.+$', '')"
+_HOST = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(url), '^(https?|ftp|smb|sftp|file|ldaps?)://', ''), '^.*@', ''), '[/?#\\].*$', ''), ':.*$', ''), '\.+$', '')"""
 
 
 @query("url_host", f"SELECT page_id, {_HOST} AS host FROM pages")
@@ -431,8 +420,9 @@ def formula_function_counts(spark, d):
 
 @query(
     "dde_instruction",
-    V.sql(r"""+p AS (SELECT doc_id, upper(regexp_extract(formula, '(?i)^\s*(DDEAUTO|DDE)\s', 1)) AS field_type, regexp_extract_all(formula, '"([^"]*)"', 1) AS parts FROM formulas)
-        SELECT doc_id, field_type, CASE WHEN coalesce(parts[1], '') = '' THEN 'unknown' ELSE parts[1] END AS application, parts[2] AS topic, parts[3] AS item FROM p WHERE field_type <> ''""", "formulas"),
+    V.sql(r"""+p AS (SELECT doc_id, upper(regexp_extract(formula, '(?i)^\s*(DDEAUTO|DDE)(\s|$)', 1)) AS field_type, list_transform(regexp_extract_all(formula, '"((?:[^"]|"")*)(?:"|$)', 1), lambda x: replace(x, '""', '"')) AS parts FROM formulas),
+        q AS (SELECT doc_id, field_type, nullif(parts[1], '') AS a, nullif(parts[2], '') AS t, nullif(parts[3], '') AS i FROM p WHERE field_type <> '')
+        SELECT doc_id, field_type, coalesce(a, 'unknown') AS application, CASE WHEN a IS NOT NULL THEN t END AS topic, CASE WHEN a IS NOT NULL THEN i END AS item FROM q""", "formulas"),
 )
 def dde_instruction(spark, d):
     names = ("field_type", "application", "topic", "item")
@@ -451,13 +441,15 @@ def external_ref_findings(spark, d):
     return links.withColumn("severity", security.external_reference_finding(F.col("kind"), F.col("target"))).filter("severity is not null")
 
 
+_XLM_HITS = rf"(SELECT doc_id, count(*) AS n FROM formulas WHERE EXISTS (SELECT 1 FROM ({_XLM}) x WHERE regexp_matches(upper(formula), '(^|[=(,;\s+*/&-])' || replace(x.name, '.', '\.') || '($|[(,;)\s.!])')) GROUP BY doc_id)"
+
 _SCORE = rf"""+m AS (SELECT doc_id, count(*) AS macros, count(*) FILTER (WHERE lower({_PROCEDURE}) IN {_AUTO}) AS auto_exec FROM macros GROUP BY doc_id),
-f AS (SELECT doc_id, count(*) FILTER (WHERE regexp_matches(formula, '(?i)^\s*(DDEAUTO|DDE)\s')) AS dde, count(*) FILTER (WHERE {_SUSPICIOUS}) AS formulas FROM formulas GROUP BY doc_id),
+f AS (SELECT doc_id, count(*) FILTER (WHERE regexp_matches(formula, '(?i)^\s*(DDEAUTO|DDE)(\s|$)')) AS dde, count(*) FILTER (WHERE {_SUSPICIOUS}) AS formulas FROM formulas GROUP BY doc_id), x AS {_XLM_HITS},
 r AS (SELECT doc_id, count(*) AS refs FROM links GROUP BY doc_id),
 c AS (SELECT doc_id, count(*) AS runs, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(len(regexp_extract_all(text, '[^ \t\r\n\f]+'))) AS BIGINT) AS words FROM paragraphs GROUP BY doc_id),
-s AS (SELECT c.*, coalesce(macros, 0) AS macros, coalesce(auto_exec, 0) AS auto_exec, coalesce(dde, 0) AS dde, coalesce(formulas, 0) AS formulas, coalesce(refs, 0) AS refs
-  FROM c LEFT JOIN m USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN r USING (doc_id))
-SELECT *, CASE WHEN macros > 0 THEN 'Critical' WHEN dde > 0 OR formulas > 0 THEN 'High' WHEN refs > 0 THEN 'Medium' ELSE 'None' END AS threat_level FROM s"""
+s AS (SELECT c.*, coalesce(macros, 0) AS macros, coalesce(auto_exec, 0) AS auto_exec, coalesce(dde, 0) AS dde, coalesce(formulas, 0) AS formulas, coalesce(x.n, 0) AS xlm, coalesce(refs, 0) AS refs
+  FROM c LEFT JOIN m USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN x USING (doc_id) LEFT JOIN r USING (doc_id))
+SELECT *, CASE WHEN macros > 0 OR xlm > 0 THEN 'Critical' WHEN dde > 0 OR formulas > 0 THEN 'High' WHEN refs > 0 THEN 'Medium' ELSE 'None' END AS threat_level FROM s"""
 
 
 @query("corpus_scorecard", V.sql(_SCORE, "paragraphs", "macros", "formulas", "links"))
@@ -465,51 +457,67 @@ def corpus_scorecard(spark, d):
     """One row per document: text statistics, indicator counts and threat level. Each input is aggregated
     by document before the joins, so that all of them share one partitioning."""
     macros = V.macros(spark, d).groupBy("doc_id").agg(F.count("*").alias("macros"), F.count_if(S.is_auto_exec(S.vba_procedure(F.col("line")))).alias("auto_exec"))
-    formulas = V.formulas(spark, d).groupBy("doc_id").agg(F.count_if(S.dde(F.col("formula"))[0] != "").alias("dde"), F.count_if(S.is_suspicious_formula(F.col("formula"))).alias("formulas"))
+    formulas = V.formulas(spark, d).groupBy("doc_id").agg(F.count_if(S.dde(F.col("formula"))[0] != "").alias("dde"), F.count_if(S.is_suspicious_formula(F.col("formula"))).alias("formulas"), F.count_if(F.size(S.dangerous_xlm(F.col("formula"))) > 0).alias("xlm"))
     refs = V.links(spark, d).groupBy("doc_id").agg(F.count("*").alias("refs"))
     rows = reduce(lambda a, b: a.join(b, "doc_id", "left"), (macros, formulas, refs), ir.text_stats(V.paragraphs(spark, d))).na.fill(0)
     none = F.lit(0)
-    rank = security.threat_rank(F.col("macros"), none, F.col("dde"), none, none, F.col("refs"), F.when(F.col("formulas") > 0, F.lit(3)).otherwise(none))
+    rank = security.threat_rank(F.col("macros"), F.col("xlm"), F.col("dde"), none, none, F.col("refs"), F.when(F.col("formulas") > 0, F.lit(3)).otherwise(none))
     return rows.withColumn("threat_level", S.severity_label(rank))
 
 
 _RULES = rf"""
-SELECT doc_id, 'SEC-001' AS rule_id, 'Critical' AS severity, 'Macro project present' AS message, CAST(NULL AS BIGINT) AS node_id FROM (SELECT DISTINCT doc_id FROM macros)
-UNION ALL SELECT doc_id, 'SEC-002', 'Critical', 'Macro auto-exec: ' || {_PROCEDURE}, line_no FROM macros WHERE lower({_PROCEDURE}) IN {_AUTO}
+SELECT doc_id, 'SEC-001' AS rule_id, 'Critical' AS severity, 'VBA macro project detected' AS message, CAST(NULL AS BIGINT) AS node_id FROM (SELECT DISTINCT doc_id FROM macros)
+UNION ALL SELECT doc_id, 'SEC-002', 'Critical', 'Auto-exec macros: ["' || string_agg(DISTINCT {_PROCEDURE}, '", "' ORDER BY {_PROCEDURE}) || '"]', NULL FROM macros WHERE lower({_PROCEDURE}) IN {_AUTO} GROUP BY doc_id
 UNION ALL SELECT doc_id, 'SEC-003', 'High', 'Suspicious VBA call: ' || name, line_no FROM macros JOIN ({_CALLS}) ON {_NO_COMMENT} AND regexp_matches(line, '(?i)(^|[^A-Za-z0-9_])' || replace(name, '.', '\.') || '([^A-Za-z0-9_]|$)')
-UNION ALL SELECT doc_id, 'SEC-009', 'High', 'DDE field', NULL FROM formulas WHERE regexp_matches(formula, '(?i)^\s*(DDEAUTO|DDE)\s')
-UNION ALL SELECT doc_id, 'SEC-012', 'Medium', 'External links: ' || count(*), NULL FROM links WHERE kind = 'Hyperlink' GROUP BY doc_id HAVING count(*) > 5
-UNION ALL SELECT doc_id, 'SEC-013', 'High', 'Suspicious formula: ' || formula, NULL FROM formulas WHERE {_SUSPICIOUS}
-UNION ALL SELECT slot, 'STR-001', 'Medium', 'Hidden worksheet', slot FROM slots WHERE state <> 'normal'"""
+UNION ALL SELECT doc_id, 'SEC-004', 'High', 'XLM macros detected: ' || n, NULL FROM {_XLM_HITS}
+UNION ALL SELECT doc_id, 'SEC-009', 'High', 'DDE field: ' || formula, NULL FROM formulas WHERE regexp_matches(formula, '(?i)^\s*(DDEAUTO|DDE)(\s|$)')
+UNION ALL SELECT doc_id, 'SEC-012', 'Medium', 'External links: ' || count(*) || ' (threshold 5)', NULL FROM links WHERE kind = 'Hyperlink' GROUP BY doc_id HAVING count(*) > 5
+UNION ALL SELECT doc_id, 'SEC-013', 'High', 'Suspicious formula in A1: ' || formula, NULL FROM formulas WHERE {_SUSPICIOUS}"""
 
 
 def _findings(spark, d):
+    """All rules: macros, formulas and objects are each read in one pass, but for the list of the documents with macros."""
     macros, formulas = V.macros(spark, d), V.formulas(spark, d)
-    name = S.vba_procedure(F.col("line"))
-    call = macros.select("doc_id", "line_no", F.inline(S.suspicious_calls(F.col("line"))))
+    text, formula, name = F.lit, F.col("formula"), S.vba_procedure(F.col("line"))
+    row = lambda rule, message, node: F.struct(F.lit(rule).alias("rule_id"), F.lit(security.RULES[rule]).alias("severity"), message.alias("message"), node.cast("long").alias("node_id"))
+    none = F.lit(None)
+    calls = F.transform(S.suspicious_calls(F.col("line")), lambda c: row("SEC-003", F.concat(text("Suspicious VBA call: "), c["name"]), F.col("line_no")))
+    auto = macros.filter(S.is_auto_exec(name)).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set(name)), '", "').alias("names"))  # of a list of fixed names
+    cases = F.array_compact(F.array(
+        F.when(S.dde(formula)[0] != "", row("SEC-009", F.concat(text("DDE field: "), formula), none)),
+        F.when(S.is_suspicious_formula(formula), row("SEC-013", F.concat(text("Suspicious formula in A1: "), formula), none)),
+        F.when(F.size(S.dangerous_xlm(formula)) > 0, row("SEC-004", text(""), none)),
+    ))
+    cells = formulas.select("doc_id", F.inline(cases))
+    xlm = cells.filter("rule_id = 'SEC-004'").groupBy("doc_id").count()
     rows = [
-        security.finding(macros.select("doc_id").distinct(), "SEC-001", F.lit("Macro project present")),
-        security.finding(macros.filter(S.is_auto_exec(name)), "SEC-002", F.concat(F.lit("Macro auto-exec: "), name), F.col("line_no")),
-        security.finding(call, "SEC-003", F.concat(F.lit("Suspicious VBA call: "), "name"), F.col("line_no")),
-        security.finding(formulas.filter(S.dde(F.col("formula"))[0] != ""), "SEC-009", F.lit("DDE field")),
+        security.finding(macros.select("doc_id").distinct(), "SEC-001", text("VBA macro project detected")),
+        security.finding(auto, "SEC-002", F.concat(text('Auto-exec macros: ["'), "names", text('"]'))),
+        macros.select("doc_id", F.inline(calls)),
+        cells.filter("rule_id <> 'SEC-004'"),
+        security.finding(xlm, "SEC-004", F.concat(text("XLM macros detected: "), F.col("count").cast("string"))),
         security.burst(V.links(spark, d).filter("kind = 'Hyperlink'"), "SEC-012", "External links", 5),
-        security.finding(formulas.filter(S.is_suspicious_formula(F.col("formula"))), "SEC-013", F.concat(F.lit("Suspicious formula: "), "formula")),
-        security.finding(V.slots(spark, d).filter("state <> 'normal'").withColumnRenamed("slot", "doc_id"), "STR-001", F.lit("Hidden worksheet"), F.col("doc_id")),
+        objects.rule_findings(V.objects(spark, d)),
+        objects.bursts(V.objects(spark, d), 2, 2),
     ]
     return reduce(lambda a, b: a.unionByName(b), rows)
 
 
-@query("rules_all_findings", V.sql(_RULES, "macros", "formulas", "links", "slots"))
+_RULES += "\nUNION ALL " + V.OBJECT_RULES
+_ALL = ("macros", "formulas", "links", "objects")
+
+
+@query("rules_all_findings", V.sql(_RULES, *_ALL))
 def rules_all_findings(spark, d):
     return _findings(spark, d)
 
 
-@query("rules_with_profile", V.sql(f"SELECT doc_id, rule_id, CASE rule_id WHEN 'SEC-012' THEN 'High' ELSE severity END AS severity, message, node_id FROM ({_RULES}) WHERE rule_id IN ('SEC-001', 'SEC-012', 'STR-001') AND rule_id <> 'SEC-001'", "macros", "formulas", "links", "slots"))
+@query("rules_with_profile", V.sql(f"SELECT doc_id, rule_id, CASE rule_id WHEN 'SEC-012' THEN 'High' ELSE severity END AS severity, message, node_id FROM ({_RULES}) WHERE rule_id IN ('SEC-001', 'SEC-012', 'STR-001', 'STR-002') AND rule_id <> 'SEC-001'", *_ALL))
 def rules_with_profile(spark, d):
-    return security.with_profile(_findings(spark, d), ("SEC-001", "SEC-012", "STR-001"), ("SEC-001",), {"SEC-012": "High"})
+    return security.with_profile(_findings(spark, d), ("SEC-001", "SEC-012", "STR-001", "STR-002"), ("SEC-001",), {"SEC-012": "High"})
 
 
-@query("max_severity_by_rule", V.sql(f"SELECT rule_id, max(severity) AS severity, count(*) AS n, count(DISTINCT doc_id) AS documents FROM ({_RULES}) GROUP BY rule_id", "macros", "formulas", "links", "slots"))
+@query("max_severity_by_rule", V.sql(f"SELECT rule_id, list_extract(['None', 'Low', 'Medium', 'High', 'Critical'], max(CASE severity WHEN 'Critical' THEN 5 WHEN 'High' THEN 4 WHEN 'Medium' THEN 3 WHEN 'Low' THEN 2 ELSE 1 END)) AS severity, count(*) AS n, count(DISTINCT doc_id) AS documents FROM ({_RULES}) GROUP BY rule_id", *_ALL))
 def max_severity_by_rule(spark, d):
     worst = S.severity_label(F.max(S.severity_rank(F.col("severity"))))
     return _findings(spark, d).groupBy("rule_id").agg(worst.alias("severity"), F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"))
@@ -534,7 +542,7 @@ def structural_diff(spark, d):
 
 @query(
     "inventory_artifacts",
-    V.sql("SELECT doc_id, 'macro-module' AS kind, count(*) AS n FROM macros GROUP BY doc_id UNION ALL SELECT doc_id, 'dde-field', 1 FROM formulas WHERE regexp_matches(formula, '(?i)^\\s*(DDEAUTO|DDE)\\s') UNION ALL SELECT doc_id, lower(kind), count(*) FROM links GROUP BY doc_id, kind", "macros", "formulas", "links"),
+    V.sql("SELECT doc_id, 'macro-module' AS kind, count(*) AS n FROM macros GROUP BY doc_id UNION ALL SELECT doc_id, 'dde-field', 1 FROM formulas WHERE regexp_matches(formula, '(?i)^\\s*(DDEAUTO|DDE)(\\s|$)') UNION ALL SELECT doc_id, lower(kind), count(*) FROM links GROUP BY doc_id, kind", "macros", "formulas", "links"),
 )
 def inventory_artifacts(spark, d):
     counted = lambda rows, kind: rows.groupBy("doc_id", kind.alias("kind")).agg(F.count("*").alias("n"))
@@ -545,7 +553,7 @@ def inventory_artifacts(spark, d):
 @query(
     "indicator_scorecard",
     V.sql(rf"""+t AS (SELECT 'macros' AS key, (SELECT count(DISTINCT doc_id) FROM macros) AS n UNION ALL SELECT 'autoexec', (SELECT count(*) FROM macros WHERE lower({_PROCEDURE}) IN {_AUTO})
-        UNION ALL SELECT 'dde', (SELECT count(*) FROM formulas WHERE regexp_matches(formula, '(?i)^\s*(DDEAUTO|DDE)\s')) UNION ALL SELECT 'activex', 0)
+        UNION ALL SELECT 'dde', (SELECT count(*) FROM formulas WHERE regexp_matches(formula, '(?i)^\s*(DDEAUTO|DDE)(\s|$)')) UNION ALL SELECT 'activex', 0)
         SELECT key, n, CASE WHEN n > 0 THEN 'present' ELSE 'absent' END AS value FROM t""", "macros", "formulas"),
 )
 def indicator_scorecard(spark, d):
@@ -627,17 +635,6 @@ def reachability_counts(spark, d):
     return V.slots(spark, d).join(reached, "slot", "left").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query(
-    "directory_score",
-    V.sql("SELECT CASE WHEN bool_or(\"left\" = slot OR \"right\" = slot OR child = slot OR bad_refs > 0) THEN 'high' WHEN bool_or(state = 'orphaned' OR refs > 1) THEN 'medium' ELSE 'low' END AS score, count(*) AS entries FROM incoming WHERE state <> 'free'", "incoming"),
-)
-def directory_score(spark, d):
-    """The worst tag of the entries that are not free."""
-    rows = directory.tags(V.slots(spark, d)).filter("state <> 'free'")
-    worst = lambda level: F.bool_or(F.exists("tags", lambda t: directory.tag_severity(t) == level))
-    return rows.agg(F.when(worst("high"), "high").when(worst("medium"), "medium").otherwise("low").alias("score"), F.count("*").alias("entries"))
-
-
 @query(
     "stream_health",
     V.sql("""+n AS (SELECT stream, count(*) AS got, arg_min(sector, CAST(pos AS BIGINT) * 1000000000 + sector) AS start FROM chains GROUP BY stream),
@@ -756,9 +753,12 @@ def lengths_to_emu(spark, d):
 @query(
     "analyzer_levels",
     V.sql(f"""+f AS (SELECT doc_id, max(CASE severity WHEN 'Critical' THEN 4 WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 1 ELSE 0 END) AS rank, count(*) AS findings FROM ({_RULES}) GROUP BY doc_id)
-        SELECT d.doc_id, coalesce(findings, 0) AS findings, list_extract(['None', 'Low', 'Medium', 'High', 'Critical'], CAST(coalesce(rank, 0) + 1 AS INT)) AS level FROM documents d LEFT JOIN f USING (doc_id)""", "macros", "formulas", "links", "slots"),
+        SELECT d.doc_id, coalesce(findings, 0) AS findings, list_extract(['None', 'Low', 'Medium', 'High', 'Critical'], CAST(coalesce(rank, 0) + 1 AS INT)) AS level FROM documents d LEFT JOIN f USING (doc_id)""", *_ALL),
 )
 def analyzer_levels(spark, d):
     found = _findings(spark, d).groupBy("doc_id").agg(F.max(S.severity_rank(F.col("severity"))).alias("rank"), F.count("*").alias("findings"))
     rows = V.table(spark, d, "documents").select("doc_id").join(found, "doc_id", "left").na.fill(0)
     return rows.select("doc_id", "findings", S.severity_label(F.col("rank")).alias("level"))
+
+
+from docloom.plans import reports  # noqa: E402, F401  registers its queries beside these
