@@ -40,14 +40,38 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/docloom-checkpoints"
 
 
+#: Paths in the shared folder that this driver has made and not dropped yet, in order.
+_made: list[str] = []
+
+
+def _on(spark: SparkSession, path: str):
+    """The path and its file system, as Hadoop objects."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def shared_path(spark: SparkSession, kind: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver's JVM ends."""
+    """A fresh path in the shared folder, deleted when the driver's JVM ends if ``drop_all_but_last`` has not done so."""
     path = f"{shared_dir(spark)}/docloom-{kind}-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    hadoop, files = _on(spark, path)
+    files.deleteOnExit(hadoop)
+    _made.append(path)
     return path
 
 
+def made() -> int:
+    """How many paths there are now, for ``drop_all_but_last``."""
+    return len(_made)
+
+
+def drop_all_but_last(spark: SparkSession, since: int) -> None:
+    """Delete the tables written since ``made`` gave ``since``, but for the last one, which the others went into."""
+    for path in _made[since:-1]:
+        hadoop, files = _on(spark, path)
+        files.delete(hadoop, True)
+    _made[since:-1] = []
+
+
 def stored(df: DataFrame, kind: str = "table") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again: lineage is cut, and what
     is read later is the same rows even if executors are lost."""
