@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages, each of which works on all that the one before it kept."""
+"""The corpus pipeline: five stages, each of which works on all that the one before it kept.
+
+Nulls: a null text is an empty one and stays null, a null id stays null; neither makes a stage drop a row. Repeated rows
+score, match and are masked alike; near-dedup keeps one of them. Empty and very long texts are read whole. Further
+columns, whatever their names, pass all stages but the last. Empty tables give an empty result; without labels of both
+classes no document is toxic, and without benchmark items none is contaminated.
+"""
 
 from __future__ import annotations
 
@@ -46,8 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder before the next."""
-    docs = common.table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written to the shared folder before the next; what a stage wrote on its way
+    is dropped once its result is there, and that once the next one's is."""
+    docs, since = common.table(spark, sf_dir, "documents"), common.made()
     for name, stage in STAGES[:-1]:
         docs = common.stored(stage(spark, docs, sf_dir), name)
+        common.drop_all_but_last(spark, since)
     return STAGES[-1][1](spark, docs, sf_dir)
