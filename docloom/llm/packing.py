@@ -44,7 +44,8 @@ def encoder(name: str):
     """A function from a text to its ids (uint32) by the vocabulary file ``name``.
 
     The file's vocabulary is read as merge ranks for the faster of the installed BPE libraries; ids are
-    those of ``tokenizers`` with add_special_tokens=False, and special tokens' strings are ordinary text.
+    those of ``tokenizers`` with add_special_tokens=False: no token is added, and an added token's string in a text has
+    that token's id.
     """
     import os
 
@@ -56,22 +57,20 @@ def encoder(name: str):
     path = public_tokenizers.path(name)
     with open(path, encoding="utf-8") as f:  # a file of an installed package, present on each executor
         spec = json.load(f)
-    special = {t["content"] for t in spec.get("added_tokens", ())}
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
     plain = _plain_bytes()
     ranks = {bytes(plain[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     @functools.cache
     def whole() -> Tokenizer:
         """Loaded for the first very long text only, as it takes much memory."""
-        found = Tokenizer.from_file(path)
-        found.encode_special_tokens = True
-        return found
+        return Tokenizer.from_file(path)
 
     def encode(text: str) -> np.ndarray:
         if len(text) > FAST_CHARS:
             return np.array(whole().encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        return fast.encode_to_numpy(text, disallowed_special=())
+        return fast.encode_to_numpy(text, allowed_special="all")
 
     return encode
 
