@@ -119,6 +119,24 @@ def inventory(objects: DataFrame) -> DataFrame:
     return kept.groupBy("doc_id", container[F.col("format")].alias("container"), F.col("node_type").alias("kind"), label[F.col("node_type")].alias("export_kind")).agg(F.count("*").alias("n"))
 
 
+def project_details() -> Column:
+    """A macro project as one text, of (name, protected, modules, references, auto_exec, signed)."""
+    return F.concat_ws(
+        "; ", F.concat(F.lit("name="), F.coalesce("name", F.lit("macro project"))), F.concat(F.lit("protected="), F.col("protected").cast("string")),
+        F.concat(F.lit("modules="), F.col("modules").cast("string")), F.concat(F.lit("references="), F.col("references").cast("string")),
+        F.when(F.size("auto_exec") > 0, F.concat(F.lit("autoexec="), F.array_join("auto_exec", ","))), F.when(F.col("signed"), "signed=true"),
+    )
+
+
+def manifest(artifacts: DataFrame) -> DataFrame:
+    """``artifacts`` (node_id, node_type, path, output, errors) with ``id``, the export's ``kind``, ``status`` (extracted with
+    an output, partial with errors, else discovered) and ``path``, where it was found or written."""
+    label = F.create_map(*(F.lit(x) for kv in EXPORT_KINDS.items() for x in kv))
+    status = F.when(F.col("output").isNotNull(), "extracted").when(F.col("errors") > 0, "partial").otherwise("discovered")
+    kind = F.coalesce(F.try_element_at(label, F.col("node_type")), F.lit("other"))
+    return artifacts.withColumns({"id": F.col("node_id"), "kind": kind, "status": status, "path": F.coalesce("path", "output", F.lit("unknown"))})
+
+
 def auto_open(sheets: DataFrame, names: DataFrame, unresolved_marks_all: bool = False) -> DataFrame:
     """``sheets`` (doc_id, node_id, sheet, ...) with ``auto_open``: named by an Auto_Open name's target, whatever the case.
 

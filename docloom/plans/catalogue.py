@@ -761,4 +761,4 @@ def analyzer_levels(spark, d):
     return rows.select("doc_id", "findings", S.severity_label(F.col("rank")).alias("level"))
 
 
-from docloom.plans import reports  # noqa: E402, F401  registers its queries beside these
+from docloom.plans import nodes, reports  # noqa: E402, F401  register their queries beside these
