@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import random
+from collections import defaultdict
+
+import pytest
 
 import corpus_pipeline as cp
+from docloom.llm import common
 
 
 def test_stages_keep_and_drop(spark, tmp_path):
@@ -35,3 +40,37 @@ def test_stages_keep_and_drop(spark, tmp_path):
     packed = cp.run(spark, str(tmp_path)).toPandas()
     assert set(packed["doc_id"]) == set(seen["secrets"])
     assert [n for n, _ in cp.STAGES] == ["toxicity", "near_dedup", "decontamination", "secrets", "packing"]
+
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not on this machine")
+def test_near_dedup_keeps_one_of_each_true_group(spark):
+    """The stage over a whole table against the connected pairs of all texts at a Jaccard similarity of 0.8."""
+    docs = common.table(spark, SF, "documents")
+    sets, holders = {}, defaultdict(list)
+    for i, text in docs.select("doc_id", "text").collect():
+        words = (text or "").encode().lower().split()
+        sets[i] = {b" ".join(words[j : j + 5]) for j in range(max(1, len(words) - 4))}
+        for shingle in sets[i]:
+            holders[shingle].append(i)
+    group = {i: i for i in sets}
+
+    def first(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in sets:
+        shared = defaultdict(int)
+        for shingle in sets[i]:
+            for j in holders[shingle]:
+                shared[j] += 1
+        for j, n in shared.items():
+            if j < i and n >= 0.8 * (len(sets[i]) + len(sets[j]) - n):
+                a, b = first(i), first(j)
+                group[max(a, b)] = min(a, b)
+    expected = {first(i) for i in sets}
+    kept = [x["doc_id"] for x in cp.near_dedup_stage(spark, docs, SF).select("doc_id").collect()]
+    assert len(expected) < len(sets) and sorted(kept) == sorted(expected)
