@@ -32,6 +32,16 @@ def offsets(records: DataFrame, stream: str, size: str) -> DataFrame:
     return records.withColumn("offset", F.coalesce(F.sum(F.col(size) + HEADER).over(w), F.lit(0)).cast("long"))
 
 
+def anomalies(rows: DataFrame, size: str, kind: str, length: str) -> DataFrame:
+    """(kind, message) of the record at which a scan of ``length`` bytes stops, if it does not end with one: fewer bytes
+    than a header are left, or fewer than the record declares. ``rows`` has the offsets; a stream has one such at most."""
+    left = F.col(length) - F.col("offset")
+    trailing = F.concat(left.cast("string"), F.lit(" trailing byte(s) after last complete record header"))
+    cut = F.concat(F.lit("record 0x"), F.lpad(F.hex(kind), 4, "0"), F.lit(" declares "), F.col(size).cast("string"), F.lit(" byte(s) but stream ends after "), (left - HEADER).cast("string"))
+    found = F.when(left < HEADER, F.struct(F.lit("trailing-bytes").alias("anomaly"), trailing.alias("message"))).otherwise(F.struct(F.lit("truncated-record").alias("anomaly"), cut.alias("message")))
+    return rows.filter((left > 0) & (left < F.col(size) + HEADER)).select("*", found.alias("found")).select("*", "found.*").drop("found")
+
+
 def chain_steps(sectors: DataFrame, stream: str, sector: str, order: list) -> DataFrame:
     """``step``, ``next`` (``END_OF_CHAIN`` after the last) and ``is_terminal`` of each sector of a chain."""
     w = W.partitionBy(stream).orderBy(*order)

@@ -73,3 +73,13 @@ def score(streams: DataFrame) -> DataFrame:
     """The worst risk of all streams, one row."""
     has = lambda level: F.bool_or(F.col("risk") == level)
     return streams.agg(F.when(has("high"), "high").when(has("medium"), "medium").otherwise("none").alias("score"), F.count("*").alias("streams"))
+
+
+def structural_score(evidence: DataFrame) -> DataFrame:
+    """One row: high for shared sectors, short cycles or starts off their chain, medium for cut chains or live entries that
+    the root does not reach, low for any other ``evidence`` (evidence, n), else none."""
+    any_of = lambda *heads: F.coalesce(F.bool_or(F.col("evidence").rlike("^(" + "|".join(heads) + ")")), F.lit(False))
+    high = any_of("sector:shared-sector", "sector:structural-incoherence", "directory:cycle")
+    medium = any_of("sector:truncated-chain", "directory:reachability")
+    level = F.when(high, "high").when(medium, "medium").when(F.count("*") > 0, "low").otherwise("none")
+    return evidence.agg(level.alias("score"), F.count("*").alias("kinds"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"))

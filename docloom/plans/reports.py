@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import scalars as S
-from docloom.operators import coverage, directory, ir, objects, sectors
+from docloom.operators import coverage, directory, ir, objects, records, sectors
 from docloom.plans import views as V
 from docloom.plans.catalogue import query, reachable_slots
 from docloom.storage import stored
@@ -432,6 +432,56 @@ def media_path_links(spark, d):
     return pairs.groupBy("doc_id", "target").agg(F.min(F.struct((F.col("path") != F.col("target")).alias("other"), "node")).alias("x")).select("doc_id", "target", "x.node")
 
 
+_EVIDENCE = f"""{_TAGS}, {_HEALTH.removeprefix("+").rstrip()},
+evidence AS (SELECT 'directory:cycle:' || tag AS evidence, count(*) AS n FROM tags WHERE tag LIKE '%-cycle' GROUP BY tag
+  UNION ALL SELECT 'directory:reachability:live-unreachable', count(*) FROM tags WHERE tag = 'unreachable-live-entry' HAVING count(*) > 0
+  UNION ALL SELECT 'directory:invalid-start', count(*) FROM tags WHERE tag = 'invalid-start-sector' HAVING count(*) > 0
+  UNION ALL SELECT 'sector:shared-sector', count(*) FROM sh HAVING count(*) > 0
+  UNION ALL SELECT 'sector:truncated-chain:' || allocation || ':' || root, count(*) FROM h WHERE state = 'truncated' GROUP BY ALL
+  UNION ALL SELECT 'sector:structural-incoherence:start-sector-mismatch', count(*) FROM streams WHERE size > 0 AND start <> "first" HAVING count(*) > 0)"""
+
+
+def _evidence(spark, d) -> DataFrame:
+    tag = F.col("tag")
+    named = F.when(tag.endswith("-cycle"), F.concat(F.lit("directory:cycle:"), tag)).when(tag == "unreachable-live-entry", "directory:reachability:live-unreachable").when(tag == "invalid-start-sector", "directory:invalid-start")
+    entries = _tags(spark, d).select(named.alias("evidence")).filter("evidence is not null").groupBy("evidence").agg(F.count("*").alias("n"))
+    total = lambda rows, name: rows.agg(F.count("*").alias("n")).filter("n > 0").select(F.lit(name).alias("evidence"), "n")
+    streams, chains = V.streams(spark, d), V.chains(spark, d)
+    shared = total(records.shared_sectors(chains, "stream", "sector"), "sector:shared-sector")
+    cut = sectors.truncated_counts(_health(spark, d)).select(F.concat(F.lit("sector:truncated-chain:"), "bucket").alias("evidence"), "n")
+    wrong = total(streams.filter((F.col("size") > 0) & (F.col("start") != F.col("first"))), "sector:structural-incoherence:start-sector-mismatch")
+    return reduce(DataFrame.unionByName, (entries, shared, cut, wrong))
+
+
+@query("structural_evidence", V.sql(f"{_EVIDENCE} SELECT evidence, n FROM evidence", "incoming", "streams", recursive=True))
+def structural_evidence(spark, d):
+    """All evidence of the directory and the sectors, counted."""
+    return _evidence(spark, d)
+
+
+@query(
+    "structural_score",
+    V.sql(f"{_EVIDENCE} SELECT CASE WHEN bool_or(evidence LIKE 'sector:s%' OR evidence LIKE 'directory:cycle%') THEN 'high' WHEN bool_or(evidence LIKE 'sector:truncated%' OR evidence LIKE 'directory:reach%') THEN 'medium' WHEN count(*) > 0 THEN 'low' ELSE 'none' END AS score, count(*) AS kinds, CAST(sum(n) AS BIGINT) AS n FROM evidence", "incoming", "streams", recursive=True),
+)
+def structural_score(spark, d):
+    return sectors.structural_score(_evidence(spark, d))
+
+
+@query(
+    "record_anomalies",
+    V.sql("""+o AS (SELECT user_id, event_type, size, coalesce(sum(size + 4) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM stream),
+        x AS (SELECT o.*, len - off AS rest FROM o JOIN (SELECT user_id, max(off + 4 + size) - user_id % 9 AS len FROM o GROUP BY user_id) l ON l.user_id = o.user_id)
+        SELECT user_id, CAST(off AS BIGINT) AS "offset", CASE WHEN rest < 4 THEN 'trailing-bytes' ELSE 'truncated-record' END AS anomaly,
+        CASE WHEN rest < 4 THEN rest || ' trailing byte(s) after last complete record header' ELSE 'record 0x000' || length(event_type) || ' declares ' || size || ' byte(s) but stream ends after ' || (rest - 4) END AS message
+        FROM x WHERE rest > 0 AND rest < size + 4""", "stream"),
+)
+def record_anomalies(spark, d):
+    """Streams of events of which up to eight bytes are cut off; a record's type is the length of the event's."""
+    rows = records.offsets(V.stream(spark, d), "user_id", "size").withColumn("type", F.length("event_type"))
+    ends = rows.groupBy("user_id").agg((F.max(F.col("offset") + F.col("size") + records.HEADER) - F.col("user_id") % 9).alias("total"))
+    return records.anomalies(rows.join(ends, "user_id"), "size", "type", "total").select("user_id", "offset", "anomaly", "message")
+
+
 # Windows, scalars and keys
 
 

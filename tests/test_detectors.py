@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import scalars as S
-from docloom.operators import directory, ir, objects
+from docloom.operators import directory, ir, objects, records, sectors
 from docloom.storage import stored
 
 
@@ -148,3 +148,22 @@ def test_diamonds_are_walked_once(spark):
     assert len(rows) == 25 and [n for n, _ in sorted(rows, key=lambda x: x[1])][:5] == [0, 1, 3, 4, 6]
     pruned = ir.closure(frame, spark.createDataFrame([(0,)], "root long"), stored, skip=F.col("node") == 3)
     assert {r["node"] for r in pruned.collect()} == {0, 1, 2, 3}
+
+
+def test_structural_score(spark):
+    """The worst kind of evidence counts; none at all is a score too."""
+    levels = {("sector:shared-sector", "directory:invalid-start"): "high", ("directory:cycle:child-2-cycle",): "high", ("sector:truncated-chain:fat:VBA",): "medium", ("directory:invalid-start",): "low", (): "none"}
+    for found, level in levels.items():
+        rows = spark.createDataFrame([(e, 2) for e in found], "evidence string, n long")
+        assert [tuple(r) for r in sectors.structural_score(rows).collect()] == [(level, len(found), 2 * len(found))]
+
+
+def test_record_anomalies(spark):
+    """Streams of two records of 6 and 10 bytes that end early, or in time."""
+    rows = [(cut, seq, size, 0x809) for cut in range(12) for seq, size in ((0, 2), (1, 6))]
+    rows = records.offsets(spark.createDataFrame(rows, "cut int, seq int, size int, type int"), "cut", "size").withColumn("total", 16 - F.col("cut"))
+    got = {r.cut: (r.offset, r.anomaly, r.message) for r in records.anomalies(rows, "size", "type", "total").collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5, 6, 7, 8, 9, 11]
+    assert got[1] == (6, "truncated-record", "record 0x0809 declares 6 byte(s) but stream ends after 5")
+    assert got[7] == (6, "trailing-bytes", "3 trailing byte(s) after last complete record header")
+    assert got[11] == (0, "truncated-record", "record 0x0809 declares 2 byte(s) but stream ends after 1")
