@@ -292,8 +292,10 @@ def within_sheet(row: Column, column: Column) -> Column:
 
 
 def quoted_strings(text: Column) -> Column:
-    """Texts between single or double quotes."""
-    return F.transform(F.regexp_extract_all(text, F.lit("""("[^"]*"|'[^']*')"""), 1), lambda q: q.substr(F.lit(2), F.length(q) - 2))
+    """Texts between single or double quotes that are not empty; an unclosed one goes to the end."""
+    found = F.regexp_extract_all(text, F.lit(r"""("[^"]*(?:"|\z)|'[^']*(?:'|\z))"""), 1)
+    bare = F.transform(found, lambda q: F.when(q.startswith('"'), F.replace(q, F.lit('"'), F.lit(""))).otherwise(F.replace(q, F.lit("'"), F.lit(""))))
+    return F.filter(bare, lambda q: q != "")
 
 
 def cell_ref(ref: Column) -> tuple[Column, Column]:

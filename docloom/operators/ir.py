@@ -11,17 +11,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def paragraphs(documents: DataFrame) -> DataFrame:
-    """(doc_id, ord, text): a paragraph for each line."""
-    return documents.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("ord", "text"))
+def paragraphs(documents: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, ord, text): a paragraph for each line, with the columns of its document to ``keep``."""
+    return documents.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("ord", "text"), *keep)
 
 
-def text_nodes(documents: DataFrame) -> DataFrame:
-    """Document (id 0), and for each line a Paragraph and in it a Run."""
-    lines = paragraphs(documents)
+def text_nodes(documents: DataFrame, *keep: str) -> DataFrame:
+    """Document (id 0), and for each line a Paragraph and in it a Run, with the columns of their document to ``keep``."""
+    lines = paragraphs(documents, *keep)
     two = F.array(F.struct((1 + 2 * F.col("ord")).alias("node_id"), F.lit("Paragraph").alias("node_type")), F.struct((2 + 2 * F.col("ord")).alias("node_id"), F.lit("Run").alias("node_type")))
-    inner = lines.select("doc_id", F.explode(two).alias("n"), "text").select("doc_id", "n.node_id", "n.node_type", "text")
-    return documents.select("doc_id", F.lit(0).alias("node_id"), F.lit("Document").alias("node_type"), F.lit(None).cast("string").alias("text")).unionByName(inner)
+    inner = lines.select("doc_id", F.explode(two).alias("n"), "text", *keep).select("doc_id", "n.node_id", "n.node_type", "text", *keep)
+    return documents.select("doc_id", F.lit(0).alias("node_id"), F.lit("Document").alias("node_type"), F.lit(None).cast("string").alias("text"), *keep).unionByName(inner)
 
 
 def text_edges(documents: DataFrame) -> DataFrame:

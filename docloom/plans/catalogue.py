@@ -45,8 +45,7 @@ def grep_paragraph(spark, d):
     V.sql("SELECT doc_id, 0 AS node_id, 'Document' AS node_type FROM documents WHERE lang = 'de' UNION ALL SELECT doc_id, 1 + 2 * ord, 'Paragraph' FROM paragraphs UNION ALL SELECT doc_id, 2 + 2 * ord, 'Run' FROM paragraphs", "paragraphs"),
 )
 def query_document_passthrough(spark, d):
-    documents = V.table(spark, d, "documents")
-    nodes = ir.text_nodes(documents).join(documents.select("doc_id", "lang"), "doc_id")
+    nodes = ir.text_nodes(V.table(spark, d, "documents"), "lang")
     return ir.select_nodes(nodes, document=F.col("lang") == "de").select("doc_id", long("node_id", "node_id"), "node_type")
 
 
@@ -761,4 +760,4 @@ def analyzer_levels(spark, d):
     return rows.select("doc_id", "findings", S.severity_label(F.col("rank")).alias("level"))
 
 
-from docloom.plans import nodes, reports  # noqa: E402, F401  register their queries beside these
+from docloom.plans import nodes, packages, reports  # noqa: E402, F401  register their queries beside these
