@@ -115,13 +115,27 @@ def test_sinks(spark, found, tmp_path):
 
 @pytest.mark.parametrize(("text", "value"), [
     ("=SUM([.A1:.B1]) * 2", 10), ("of:=A1+B1*2", 8), ("=-(A1)/0", None), ("=AVERAGE(D9:D10)", None), ("=COUNT(A1;B1;D9)", 2), ("=MAX(A1;7)-MIN(B1,1)", 6),
-    ("=A2", None), ("=UNKNOWN(1)", None), ("=1+", None), ("=(1", None), ("=2*A3", 40),
+    ("=A2", None), ("=UNKNOWN(1)", None), ("=1+", None), ("=(1", None), ("=2*A3", 40), ("=SUM(A1:A3)", 22), ("=MIN()", 0), ("=A1:B1", None), ("=SUM(XFD1:A1048576)", None), ("=MAX(-A1,-$B$1)", -2),
 ])
 def test_formulas(text, value):
-    sheet = formula.Sheet({(0, 0): 2.0, (0, 1): 3.0}, {(1, 0): "=A2+1", (2, 0): "=SUM(A1:B1)*4"})
+    held = {(0, 0, 0, 0): (2.0, 1, 2.0, 2.0), (0, 1, 0, 1): (3.0, 1, 3.0, 3.0), (0, 0, 0, 1): (5.0, 2, 2.0, 3.0), (0, 0, 2, 0): (2.0, 1, 2.0, 2.0)}
+    sheet = formula.Sheet(held, {(1, 0): "=A2+1", (2, 0): "=SUM(A1:B1)*4"})
     assert sheet.evaluate(text) == value
 
 
+def test_formulas_over_blocks_of_rows(spark):
+    """Ranges across blocks, in either direction, over values, formulas and a cycle; nulls and an empty table."""
+    rows = [(1, "s", i, 0, float(i), None) for i in range(3000)] + [
+        (1, "s", 0, 1, None, "=SUM($A$1:A3000)"), (1, "s", 1, 1, None, "=COUNT(A2500:A1000;B1)"), (1, "s", 2, 1, None, "=MAX([.A10:.A20])+B1"), (1, "s", 3, 1, None, "=B5"), (1, "s", 4, 1, None, "=B4"),
+        (1, "t", 0, 1, None, "=SUM(A1:A3000)"), (None, "s", 0, 0, None, "=1"), (1, None, 0, 0, None, "=1"), (1, "s", 9, 9, None, None),
+    ]
+    cells = spark.createDataFrame(rows, "doc_id long, sheet string, row int, col int, value double, formula string")
+    got = {(r["sheet"], r["row"]): None if r["value"] is None or r["value"] != r["value"] else r["value"] for r in formula.evaluated(cells).collect()}
+    total = 3000 * 2999 / 2
+    assert got == {("s", 0): total, ("s", 1): 1502.0, ("s", 2): 19 + total, ("s", 3): None, ("s", 4): None, ("t", 0): 0.0}
+    assert formula.evaluated(cells.filter("false")).count() == 0
+
+
 def test_formulas_fill_empty_cells(spark):
     cells = spark.createDataFrame([(1, "s", 0, 0, 2.0, None), (1, "s", 0, 1, 3.0, "=9"), (1, "s", 0, 2, None, "=SUM(A1:B1)"), (2, "s", 0, 0, None, "=1/0")], "doc_id long, sheet string, row int, col int, value double, formula string")
     assert sorted((r["doc_id"], r["col"], r["value"]) for r in formula.evaluated(cells).collect() if r["value"] == r["value"] and r["value"] is not None) == [(1, 2, 5.0)]
