@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,7 +154,7 @@ def held_values(cells: DataFrame, references: DataFrame) -> DataFrame:
     """``references`` with total, count, least and greatest of the values in them. Joined by sheet and block of rows, so that
     a sheet with very many cells is in as many parts as it has blocks."""
     asked = references.withColumn("block", F.explode(F.sequence(F.floor(F.col("top") / BLOCK), F.floor(F.col("bottom") / BLOCK))))
-    values = cells.filter("value is not null").select("doc_id", "sheet", F.col("row").alias("r"), F.col("col").alias("c"), "value", F.floor(F.col("row") / BLOCK).alias("block"))
+    values = cells.filter("value is not null and not isnan(value)").select("doc_id", "sheet", F.col("row").alias("r"), F.col("col").alias("c"), "value", F.floor(F.col("row") / BLOCK).alias("block"))
     inside = F.col("r").between(F.col("top"), F.col("bottom")) & F.col("c").between(F.col("left"), F.col("right"))
     found = asked.join(values, ["doc_id", "sheet", "block"]).filter(inside)
     return found.groupBy(*references.columns).agg(F.sum("value").alias("total"), F.count("*").alias("count"), F.min("value").alias("least"), F.max("value").alias("greatest"))
@@ -167,14 +168,13 @@ def evaluated(cells: DataFrame) -> DataFrame:
     formulas = cells.filter("value is null and formula is not null").select("doc_id", "sheet", "row", "col", "formula")
     held = held_values(cells, references(formulas))
 
-    def each(pdf):
-        todo, ranges = pdf[pdf["formula"].notna()], pdf[pdf["formula"].isna()]
-        at = list(zip(todo["row"].astype(int), todo["col"].astype(int), strict=True))
-        places = zip(*(ranges[n].astype(int) for n in ("top", "left", "bottom", "right")), strict=True)
-        held = dict(zip(places, zip(ranges["total"], ranges["count"].astype(int), ranges["least"], ranges["greatest"], strict=True), strict=True))
-        sheet, out = Sheet(held, dict(zip(at, todo["formula"], strict=True))), todo[["doc_id", "sheet", "row", "col"]].copy()
-        out["value"] = [sheet.cell(p) for p in at]
-        return out
+    def each(table):
+        c = table.to_pydict()
+        texts = {(r, k): f for r, k, f in zip(c["row"], c["col"], c["formula"], strict=True) if f is not None}
+        places, values = zip(c["top"], c["left"], c["bottom"], c["right"], strict=True), zip(c["total"], c["count"], c["least"], c["greatest"], strict=True)
+        sheet = Sheet({at: v for at, v in zip(places, values, strict=True) if v[1] is not None}, texts)
+        out = [c["doc_id"][:1] * len(texts), c["sheet"][:1] * len(texts), [r for r, _ in texts], [k for _, k in texts], [sheet.cell(at) for at in texts]]
+        return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.float64()), strict=True)], ["doc_id", "sheet", "row", "col", "value"])
 
     rows = formulas.unionByName(held, allowMissingColumns=True)
-    return rows.groupBy("doc_id", "sheet").applyInPandas(each, "doc_id long, sheet string, row int, col int, value double")
+    return rows.groupBy("doc_id", "sheet").applyInArrow(each, "doc_id long, sheet string, row int, col int, value double")
