@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op9_pigeonhole_edits
 from .fingerprint import op2_multiset_hash
+from .lines import OP11_SQL, op11_line_dedup
 from .lm import op1_log_bilinear
 from .packing import op4_pack_ffd
 from .quotes import OP8_SQL, op8_quote_links
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_quote_links": op8_quote_links,
     "op9_pigeonhole_edits": op9_pigeonhole_edits,
     "op10_fixed_slots": op10_fixed_slots,
+    "op11_line_dedup": op11_line_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op8_quote_links": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_quote_links": OP8_SQL, "op11_line_dedup": OP11_SQL}
