@@ -7,6 +7,7 @@ from .fingerprint import op2_multiset_hash
 from .lines import OP11_SQL, op11_line_dedup
 from .lm import op1_log_bilinear
 from .packing import op4_pack_ffd
+from .periods import op12_periodic_runs
 from .quotes import OP8_SQL, op8_quote_links
 from .secrets import op7_secret_links
 from .sharding import op10_fixed_slots
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_pigeonhole_edits": op9_pigeonhole_edits,
     "op10_fixed_slots": op10_fixed_slots,
     "op11_line_dedup": op11_line_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = {"op8_quote_links": OP8_SQL, "op11_line_dedup": OP11_SQL}
