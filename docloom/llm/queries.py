@@ -13,6 +13,7 @@ from .secrets import op7_secret_links
 from .sharding import op10_fixed_slots
 from .simhash import op3_simhash_bitsliced
 from .toxicity import op6_subsequence_svm
+from .trie import OP13_SQL, op13_prefix_trie
 from .warc import op5_warc_merge
 
 QUERIES = {
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_fixed_slots": op10_fixed_slots,
     "op11_line_dedup": op11_line_dedup,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLE_SQL: dict[str, str] = {"op8_quote_links": OP8_SQL, "op11_line_dedup": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_quote_links": OP8_SQL, "op11_line_dedup": OP11_SQL, "op13_prefix_trie": OP13_SQL}
