@@ -6,10 +6,13 @@ they are broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import scalars as S
+from docloom.operators.ranks import ranked
 
 
 def counted_parts(parts: DataFrame) -> DataFrame:
@@ -24,18 +27,37 @@ def with_content_type(parts: DataFrame, overrides: dict[str, str], defaults: dic
     return parts.withColumn("content_type", F.coalesce(F.try_element_at(table(overrides), path), F.try_element_at(table(defaults), S.extension(path))))
 
 
+def _folder(head: Column) -> Column:
+    return F.concat(F.regexp_extract(head, "^(.*/)?", 0), F.lit("*"))
+
+
+def keys_of_path(path: Column) -> Column:
+    """The path, and each folder it lies in with a ``*``: what a pattern that matches it has as its key."""
+    names = F.split(path, "/")
+    folders = F.transform(F.sequence(F.lit(1), F.size(names)), lambda n: F.concat(F.array_join(F.slice(names, 1, n - 1), "/"), F.when(n > 1, "/*").otherwise("*")))
+    return F.array_distinct(F.array_append(folders, path))
+
+
+def specified(registry: DataFrame) -> DataFrame:
+    """``registry`` with the literal head and tail of each pattern and its key: the whole pattern, or the folder of its head."""
+    star = F.contains("pattern", F.lit("*"))
+    head, tail = (F.lower(F.split_part("pattern", F.lit("*"), F.lit(i))) for i in (1, 2))
+    return registry.select("*", head.alias("head"), F.when(star, tail).alias("tail"), F.when(star, _folder(head)).otherwise(F.lower("pattern")).alias("key"))
+
+
 def matched(parts: DataFrame, registry: DataFrame) -> DataFrame:
     """Each part with each pattern of ``registry`` (pattern, expected, parser) that it matches, and its status.
 
-    A pattern has one ``*`` at most. If both content types are known they must be equal.
+    A pattern has one ``*`` at most. If both content types are known they must be equal. Parts meet only the patterns of
+    their own name and folders. Where both tables have a ``format``, it must be the same.
     """
-    star = F.contains("pattern", F.lit("*"))
-    spec = registry.select("pattern", "expected", "parser", F.lower(F.split_part("pattern", F.lit("*"), F.lit(1))).alias("head"), F.when(star, F.lower(F.split_part("pattern", F.lit("*"), F.lit(2)))).alias("tail"))
+    on = ["key", "format"] if "format" in parts.columns and "format" in registry.columns else ["key"]
     path = F.lower("path")
     alike = F.when(F.col("tail").isNull(), path == F.col("head")).otherwise(path.startswith(F.col("head")) & path.endswith(F.col("tail")) & (F.length(path) >= F.length("head") + F.length("tail")))
     known = F.col("expected").isNull() | F.col("content_type").isNull() | (F.col("expected") == F.col("content_type"))
-    rows = parts.join(F.broadcast(spec), alike & known)
-    return rows.select("doc_id", "ord", "path", "pattern", "parser", "content_type", F.when(F.col("seen"), "complete").otherwise("pending").alias("status"))
+    rows = parts.withColumn("key", F.explode(keys_of_path(path))).join(F.broadcast(specified(registry)), on).filter(alike & known)
+    further = [c for c in ("format", "spec") if c in registry.columns]
+    return rows.select("doc_id", "ord", "path", "pattern", "parser", "content_type", F.when(F.col("seen"), "complete").otherwise("pending").alias("status"), *further)
 
 
 def counts(parts: DataFrame, registry: DataFrame, patterns: int) -> DataFrame:
@@ -54,3 +76,93 @@ def missing(parts: DataFrame, registry: DataFrame) -> DataFrame:
 def unparsed(parts: DataFrame, known: DataFrame) -> DataFrame:
     """Paths of each document that ``known`` (doc_id, path) lacks."""
     return parts.select("doc_id", "path").distinct().join(known, ["doc_id", "path"], "left_anti")
+
+
+# Reports
+
+SECTIONS = ("parts", "part_rows", "missing", "inventory", "unknown", "histogram", "summary")
+HEADER = "section,code,severity,message,path"
+
+
+def entries(parts: DataFrame, registry: DataFrame) -> DataFrame:
+    """(doc_id, section, k1, k2, code, severity, message, path): the entries of each document's report, a document's in the
+    order of (section, k1, k2). ``registry`` has ``format`` and ``spec``, the order of its patterns.
+
+    Every document meets the patterns of its own format, a fixed number, so the missing ones are found without a cross join.
+    """
+    text = lambda *cs: F.concat(*(F.lit(c) if not isinstance(c, Column) else c.cast("string") for c in cs))
+    none, zero, blank = F.lit(None).cast("string"), F.lit(0).cast("long"), F.lit("")
+    entry = lambda rows, section, k1, k2, code, severity, message, path: rows.select(
+        "doc_id", F.lit(SECTIONS.index(section)).alias("section"), k1.cast("long").alias("k1"), k2.alias("k2"), F.lit(code).alias("code"), severity.alias("severity"), message.alias("message"), path.alias("path")
+    )
+    info, warning, path = F.lit("Info"), F.lit("Warning"), F.col("path")
+    found = matched(parts, registry)
+    said = text(F.col("status"), " part: ", path, " (content-type=", F.coalesce("content_type", F.lit("unknown")), ", parser=", F.col("parser"), ")")
+    level = F.when(F.col("status") == "complete", "Info").otherwise("Warning")
+    order = (F.col("spec").cast("long") * (1 << 32)) + F.col("ord")
+    docs = parts.select("doc_id", "format").distinct()
+    lacking = docs.join(F.broadcast(registry), "format").join(found.select("doc_id", "spec").distinct(), ["doc_id", "spec"], "left_anti")
+    typed, untyped = parts.filter("content_type is not null"), parts.filter("content_type is null")
+    kinds = typed.groupBy("doc_id", "content_type").agg(F.count("*").alias("n"))
+    hits = found.groupBy("doc_id").agg(F.count("*").alias("matched"), F.count_if(F.col("status") == "complete").alias("complete"))
+    sums = docs.join(hits, "doc_id", "left").join(lacking.groupBy("doc_id").agg(F.count("*").alias("missing")), "doc_id", "left")
+    sums = sums.join(untyped.groupBy("doc_id").agg(F.count("*").alias("unknown")), "doc_id", "left").na.fill(0)
+    pending = F.col("matched") - F.col("complete")
+    whole = text("coverage summary: matched=", F.col("matched"), ", complete=", F.col("complete"), ", pending=", pending, ", missing_patterns=", F.col("missing"), ", unknown_content_types=", F.col("unknown"))
+    rows = (
+        entry(found, "parts", order, blank, "COVERAGE_PART", level, said, path),
+        entry(found, "part_rows", order, blank, "COVERAGE_PART_ROW", info, said, path),
+        entry(lacking, "missing", F.col("spec"), blank, "COVERAGE_MISSING", warning, text("missing part for pattern ", F.col("pattern"), " (expected parser=", F.col("parser"), ")"), F.col("pattern")),
+        entry(typed, "inventory", zero, path, "CONTENT_TYPE_INVENTORY", info, text("content-type: ", path, " => ", F.col("content_type")), path),
+        entry(untyped, "unknown", zero, path, "CONTENT_TYPE_UNKNOWN", warning, text("no content-type entry for path ", path), path),
+        entry(kinds, "histogram", zero, F.col("content_type"), "CONTENT_TYPE_HISTOGRAM", info, text("content-type-count: ", F.col("content_type"), " => ", F.col("n")), F.col("content_type")),
+        entry(sums, "summary", zero, blank, "COVERAGE_SUMMARY", info, whole, none),
+    )
+    return reduce(DataFrame.unionByName, rows)
+
+
+def csv_field(value: Column) -> Column:
+    quoted = F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(value.rlike('[,"\\n\\r]'), quoted).otherwise(F.coalesce(value, F.lit("")))
+
+
+def csv_lines(report: DataFrame, store) -> DataFrame:
+    """(doc_id, line_no, line): each document's report as CSV, line 0 its header."""
+    section = F.element_at(F.array(*(F.lit(s) for s in SECTIONS)), F.col("section") + 1)
+    fields = [section, *(csv_field(F.col(c)) for c in ("code", "severity", "message", "path"))]
+    line = fields[0]
+    for field in fields[1:]:
+        line = F.concat(line, F.lit(","), field)
+    numbered = ranked(report.withColumn("line", line), ["doc_id"], ["section", "k1", "k2"], store, "line_no")
+    heads = report.select("doc_id").distinct().select("doc_id", F.lit(0).cast("long").alias("line_no"), F.lit(HEADER).alias("line"))
+    return numbered.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line").unionByName(heads)
+
+
+def parts_csv(found: DataFrame) -> DataFrame:
+    """(doc_id, spec, ord, line): the matched parts as CSV lines of status, path, content type and reader."""
+    status, path, kind, parser = (csv_field(F.coalesce(c, F.lit("unknown"))) for c in ("status", "path", "content_type", "parser"))
+    comma = F.lit(",")
+    return found.select("doc_id", "spec", "ord", F.concat(status, comma, path, comma, kind, comma, parser).alias("line"))
+
+
+#: The sections of a text report, in its order, with their titles.
+TITLES = {"parts": "Matched Parts", "missing": "Missing Patterns", "inventory": "Content Types Inventory", "histogram": "Content Type Histogram", "unknown": "Unknown Content Types"}
+
+
+def text_lines(report: DataFrame, names: DataFrame, store) -> DataFrame:
+    """(doc_id, line_no, line): each document's report as text; ``names`` is (doc_id, file, display). Sections without entries are
+    left out; the entries of one are in the order of their paths."""
+    places = F.array(*(F.lit(i) for i in range(6)))
+    head = F.array(F.lit("Coverage Report"), F.lit("==============="), F.lit(""), F.concat(F.lit("File: "), "file"), F.concat(F.lit("Format: "), "display"), F.lit(""))
+    top = names.select("doc_id", F.explode(F.arrays_zip(places.alias("k1"), head.alias("line"))).alias("x")).select("doc_id", F.lit(-1).alias("at"), F.col("x.k1").cast("long").alias("k1"), F.lit("").alias("k2"), F.col("x.line").alias("line"))
+    summary = report.filter(F.col("section") == SECTIONS.index("summary")).select("doc_id", "message")
+    again = [F.regexp_replace("message", "^coverage summary: matched=[0-9]+, ", word) for word in ("counts: ", "parts: ")]
+    sums = summary.select("doc_id", F.posexplode(F.array(F.col("message"), *again)).alias("k1", "line")).select("doc_id", F.lit(0).alias("at"), F.col("k1").cast("long").alias("k1"), F.lit("").alias("k2"), "line")
+    place = {s: i + 1 for i, s in enumerate(TITLES)}
+    at = F.coalesce(*(F.when(F.col("section") == SECTIONS.index(s), i) for s, i in place.items()))
+    body = report.withColumn("at", at).filter("at is not null")
+    title = F.element_at(F.array(*(F.lit(t + ":") for t in TITLES.values())), F.col("at"))
+    heads = body.select("doc_id", "at").distinct().select("doc_id", "at", F.posexplode(F.array(F.lit(""), title)).alias("k1", "line")).select("doc_id", "at", (F.col("k1") - 2).cast("long").alias("k1"), F.lit("").alias("k2"), "line")
+    inner = body.select("doc_id", "at", F.lit(0).cast("long").alias("k1"), F.coalesce("path", F.lit("")).alias("k2"), "k1", F.concat(F.lit("  "), "message").alias("line")).toDF("doc_id", "at", "k1", "k2", "k3", "line")
+    rows = reduce(DataFrame.unionByName, (r.withColumn("k3", F.lit(0).cast("long")) for r in (top, sums, heads))).unionByName(inner)
+    return ranked(rows, ["doc_id"], ["at", "k1", "k2", "k3"], store, "line_no").select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
