@@ -44,19 +44,24 @@ def cycles_of_three(slots: DataFrame) -> DataFrame:
 
 
 def reached(start: DataFrame, hops: DataFrame, store, stride: int = 4) -> DataFrame:
-    """(slot) of all slots reached from ``start`` over ``hops`` (source, target). A round is a chain of ``stride`` joins,
-    each of which keeps the slots it starts from beside those they point at, and leaves out what earlier rounds saw;
-    ``store`` writes it before the next."""
-    seen = new = store(start.distinct())
+    """(slot) of all slots reached from ``start`` over ``hops`` (source, target).
+
+    A round is a chain of ``stride`` joins; each joins the slots of the hop before alone, whose exchange it shares. ``store``
+    writes what is new with the first hop that met it, and the next round begins with what only the last hop met.
+    """
+    seen = store(start.distinct())
+    front = seen
     while True:
-        step = new
-        for _ in range(stride):
-            both = F.explode(F.array_compact(F.array("slot", "target")))
-            step = step.join(hops, F.col("slot") == F.col("source"), "left").select(both.alias("slot")).distinct()
-        new = store(step.join(seen, "slot", "left_anti"))
-        if new.isEmpty():
+        steps = []
+        for n in range(1, stride + 1):
+            front = front.join(hops, F.col("slot") == F.col("source")).select(F.col("target").alias("slot")).distinct()
+            steps.append(front.withColumn("hop", F.lit(n)))
+        met = reduce(DataFrame.unionByName, steps).groupBy("slot").agg(F.min("hop").alias("hop"))
+        new = store(met.join(seen, "slot", "left_anti"))
+        seen = seen.unionByName(new.select("slot"))
+        front = new.filter(F.col("hop") == stride).select("slot")
+        if front.isEmpty():
             return seen
-        seen = seen.unionByName(new)
 
 
 def cycle_tags(slots: DataFrame) -> DataFrame:

@@ -7,9 +7,10 @@ node's place in document order, so ids are the same on every run.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docloom.operators.ranks import ranked
+
 
 def paragraphs(documents: DataFrame, *keep: str) -> DataFrame:
     """(doc_id, ord, text): a paragraph for each line, with the columns of its document to ``keep``."""
@@ -45,31 +46,31 @@ def select_nodes(nodes: DataFrame, types: tuple[str, ...] = (), contains: str |
 
 
 def closure(edges: DataFrame, roots: DataFrame, store, most: int = 100, skip: Column | None = None) -> DataFrame:
-    """(root, node, depth, place) of all nodes reached from ``roots`` (root), each once; ``place`` sorts a root's nodes in
-    pre-order. One join per level, without the nodes seen before: a node with several parents stands at its first
-    place of the highest level.
+    """(root, node, depth) of all nodes reached from ``roots`` (root), each once, at its least depth: one join per level.
 
-    ``edges`` is (parent, child, ord), siblings in the order of ord. Below nodes that meet ``skip`` (of ``node``) the walk
-    does not go on. ``store`` writes a level before the next.
+    ``edges`` is (parent, child). Where no child has two parents a level needs no more than the join, as only a cycle
+    through the root could meet a node again; else each level leaves out the nodes seen before. Below nodes that meet ``skip`` (of
+    ``node``) the walk does not go on. ``store`` writes a level before the next.
     """
-    level = store(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.array(F.lit(0).cast("long")).alias("place")).distinct())
+    edges = edges.select("parent", "child")
+    tree = edges.groupBy("child").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    level = store(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct())
     out = level
     for depth in range(1, most + 1):
         open_ = level if skip is None else level.filter(~skip)
-        step = open_.join(edges, F.col("node") == F.col("parent"))
-        step = step.select("root", F.col("child").alias("node"), F.concat("place", F.array(F.col("ord").cast("long"))).alias("place"))
-        step = step.groupBy("root", "node").agg(F.min("place").alias("place")).join(out.select("root", "node"), ["root", "node"], "left_anti")
-        level = store(step.select("root", "node", F.lit(depth).alias("depth"), "place"))
+        step = open_.join(edges, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node"))
+        step = step.filter(F.col("root") != F.col("node")) if tree else step.distinct().join(out.select("root", "node"), ["root", "node"], "left_anti")
+        level = store(step.select("root", "node", F.lit(depth).alias("depth")))
         if level.isEmpty():
             return out
         out = out.unionByName(level)
     raise ValueError(f"deeper than {most} levels")
 
 
-def sibling_keys(nodes: DataFrame, parent: str, kind: str, order: list) -> DataFrame:
+def sibling_keys(nodes: DataFrame, parent: str, kind: str, order: list[str], store) -> DataFrame:
     """``key``: the node's type and 1-based place among its parent's children of that type."""
-    place = F.row_number().over(W.partitionBy(parent, kind).orderBy(*order))
-    return nodes.withColumn("key", F.concat(F.col(kind), F.lit("["), place.cast("string"), F.lit("]")))
+    placed = ranked(nodes, [parent, kind], order, store, "_place")
+    return placed.withColumn("key", F.concat(F.col(kind), F.lit("["), F.col("_place").cast("string"), F.lit("]"))).drop("_place")
 
 
 def collected_text(lines: DataFrame) -> DataFrame:

@@ -6,12 +6,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import scalars as S
+from docloom.operators.ranks import ranked
 
 # A field is {attr}, a dash if it is missing; {a|b} the first that is there; {attr=x} x if it is missing;
 # {attr!} makes the whole text null if it is missing; {attr~80} keeps 80 characters and an ellipsis.
@@ -191,16 +193,57 @@ def snapshots(nodes: DataFrame) -> DataFrame:
     return nodes.select("*", own_key(kind, attrs).alias("own_key"), summary(kind, attrs).alias("summary"), content_signature(kind, attrs).alias("content_sig"), style_signature(kind, attrs).alias("style_sig"))
 
 
-def local_keys(snapshots: DataFrame, parent: list[str], order: list[str]) -> DataFrame:
+def local_keys(snapshots: DataFrame, parent: list[str], order: list[str], store) -> DataFrame:
     """``local_key``, unlike for all children of a parent: a node's own key, else its type with its place among the
-    siblings of that type (paragraphs, runs, and nodes without content) or with the hash of its content. The second
-    equal one gets ``#2``, and so on."""
-    place = F.row_number().over(W.partitionBy(*parent, "node_type").orderBy(*order)).cast("string")
+    siblings of that type (paragraphs, runs, and nodes without content) or with the hash of its content. A key that an
+    earlier sibling has gets the next free ``#n``, from ``#2`` on."""
+    placed = ranked(snapshots, [*parent, "node_type"], order, store, "_place")
     hashed = F.when(~F.col("node_type").isin("Paragraph", "Run"), S.short_hash(F.col("content_sig")))
-    base = F.coalesce("own_key", F.concat("node_type", F.lit("["), F.coalesce(hashed, place), F.lit("]")))
-    again = F.row_number().over(W.partitionBy(*parent, "base").orderBy(*order))
-    rows = snapshots.withColumn("base", base).withColumn("again", again)
-    return rows.withColumn("local_key", F.when(F.col("again") > 1, F.concat("base", F.lit("#"), F.col("again").cast("string"))).otherwise(F.col("base"))).drop("base", "again")
+    base = F.coalesce("own_key", F.concat("node_type", F.lit("["), F.coalesce(hashed, F.col("_place").cast("string")), F.lit("]")))
+    return allotted(placed.withColumn("local_key", base).drop("_place"), "local_key", parent, order, store)
+
+
+def allotted(rows: DataFrame, key: str, parent: list[str], order: list[str], store) -> DataFrame:
+    """``rows`` with ``key`` made unlike for all rows of a parent: in order, one that is taken gets the next free ``#n``.
+
+    Keys of one parent meet only where they are equal but for such endings. Where a parent has one key of a stem the n-th
+    equal one is ``#n``, numbered without a window over the parent. Rows of stems with several keys are sorted and passed through
+    once; what is kept of a stem is a number for each of its keys, however many rows there are.
+    """
+    stemmed = rows.withColumn("_stem", F.regexp_replace(key, "(#[0-9]+)+$", ""))
+    stem = [*parent, "_stem"]
+    mixed = store(stemmed.groupBy(*stem).agg(F.min(key).alias("a"), F.max(key).alias("b")).filter("a <> b").select(*stem))
+    alike = F.lit(True)
+    for c in stem:
+        alike = alike & F.col(f"r.{c}").eqNullSafe(F.col(f"m.{c}"))
+    plain = stemmed.alias("r").join(mixed.alias("m"), alike, "left_anti")
+    again = ranked(plain.drop("_stem"), [*parent, key], order, store, "_again")
+    out = again.withColumn(key, F.when(F.col("_again") > 1, F.concat(key, F.lit("#"), F.col("_again").cast("string"))).otherwise(F.col(key))).drop("_again")
+    names = rows.columns
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, taken, last = None, set(), {}  # of the stem at hand: keys that are taken as they are, and the last number given to each
+        for batch in batches:
+            bases, given = batch.column(key).to_pylist(), []
+            for base, *where in zip(bases, *(batch.column(c).to_pylist() for c in stem), strict=True):
+                if where != at:
+                    at, taken, last = where, set(), {}
+                head, _, tail = base.rpartition("#")
+                numbered = tail.isdigit() and not tail.startswith("0") and 2 <= int(tail) <= last.get(head, 1)
+                if base not in taken and not numbered:
+                    taken.add(base)
+                    given.append(base)
+                    continue
+                n = last.get(base, 1) + 1
+                while f"{base}#{n}" in taken:
+                    n += 1
+                last[base] = n
+                given.append(f"{base}#{n}")
+            columns = [pa.array(given, pa.string()) if c == key else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    sorted_ = stemmed.alias("r").join(mixed.alias("m"), alike, "left_semi").repartition(*stem).sortWithinPartitions(*stem, *order)
+    return out.select(names).unionByName(sorted_.mapInArrow(each, rows.schema))
 
 
 def path_keys(nodes: DataFrame, edges: DataFrame, store, most: int = 100) -> DataFrame:

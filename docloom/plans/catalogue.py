@@ -69,7 +69,6 @@ def extract_by_id_or_type(spark, d):
 def closure_preorder(spark, d):
     edges = V.tree(spark, d)
     roots = edges.filter("parent like 'R%'").select(F.col("parent").alias("root")).distinct()
-    edges = edges.select("parent", "child", F.substring("child", 2, 20).cast("long").alias("ord"))
     return ir.closure(edges, roots, stored).select("root", "node", long("depth", "depth"))
 
 
@@ -205,7 +204,7 @@ def record_type_counts(spark, d):
 
 @query("sibling_ordinal_keys", V.sql("SELECT parent, child, kind || '[' || row_number() OVER (PARTITION BY parent, kind ORDER BY child) || ']' AS key FROM tree", "tree"))
 def sibling_ordinal_keys(spark, d):
-    return ir.sibling_keys(V.tree(spark, d), "parent", "kind", ["child"]).select("parent", "child", "key")
+    return ir.sibling_keys(V.tree(spark, d), "parent", "kind", ["child"], stored).select("parent", "child", "key")
 
 
 @query(

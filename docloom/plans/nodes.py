@@ -87,7 +87,7 @@ _LOCAL = f"""SELECT doc_id, node_id, base || CASE WHEN again > 1 THEN '#' || aga
 @query("node_local_keys", V.sql(f"SELECT doc_id, node_id, local_key FROM ({_LOCAL % 'SELECT * FROM objects'})", "objects"))
 def node_local_keys(spark, d):
     """The nodes of a document as siblings in the order of their ids."""
-    return summaries.local_keys(summaries.snapshots(_nodes(V.objects(spark, d))), ["doc_id"], ["node_id"]).select("doc_id", "node_id", "local_key")
+    return summaries.local_keys(summaries.snapshots(_nodes(V.objects(spark, d))), ["doc_id"], ["node_id"], stored).select("doc_id", "node_id", "local_key")
 
 
 @query(
@@ -105,11 +105,31 @@ def node_index_diff(spark, d):
     later = rows.filter(k % 13 != 0).withColumns({
         "linked": (k % 7 == 0) & F.col("linked"), "hidden": F.when(k % 5 == 0, ~F.col("hidden")).otherwise(F.col("hidden")), "prog_id": F.when(k % 9 == 0, "Other").otherwise(F.col("prog_id")),
     })
-    index = lambda r: summaries.local_keys(summaries.snapshots(_nodes(r)), ["doc_id"], ["node_id"]).withColumn("key", F.struct("doc_id", "local_key"))
+    index = lambda r: summaries.local_keys(summaries.snapshots(_nodes(r)), ["doc_id"], ["node_id"], stored).withColumn("key", F.struct("doc_id", "local_key"))
     found = diff.diff(index(rows.filter(k % 11 != 0)), index(later))
     return found.select("key.doc_id", F.col("key.local_key").alias("key"), "change", "kind", "left_summary", "right_summary")
 
 
+#: Own keys of siblings, some of which look like the endings of others.
+OWN_KEYS = ("K", "K", "K#2", "M", "K#3", "K#2#2", "K#02", "M#2", "K#2", "N#")
+
+
+@query(
+    "reserved_sibling_keys",
+    f"""WITH RECURSIVE r AS (SELECT o_custkey AS doc_id, o_orderkey AS node_id, list_extract({V._list(OWN_KEYS)}, CAST((o_orderkey * 7 + o_custkey) % {len(OWN_KEYS)} + 1 AS INT)) AS base, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+    walk AS (SELECT doc_id, node_id, i, base AS key, [base] AS used FROM r WHERE i = 1
+      UNION ALL SELECT doc_id, node_id, i, key, list_append(used, key) FROM (SELECT r.doc_id, r.node_id, r.i, w.used,
+        list_extract(list_filter(list_concat([r.base], list_transform(generate_series(2, len(w.used) + 1), lambda n: r.base || '#' || n)), lambda c: NOT list_contains(w.used, c)), 1) AS key
+        FROM walk w JOIN r ON r.doc_id = w.doc_id AND r.i = w.i + 1))
+    SELECT doc_id, node_id, key FROM walk""",
+)
+def reserved_sibling_keys(spark, d):
+    """A customer's orders as siblings with keys of their own: each gets its key or the next free one."""
+    k, c = F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long")
+    rows = V.table(spark, d, "orders").select(c.alias("doc_id"), k.alias("node_id"), _chosen(OWN_KEYS, k * 7 + c).alias("key"))
+    return summaries.allotted(rows, "key", ["doc_id"], ["node_id"], stored)
+
+
 @query(
     "node_path_keys",
     V.sql("""+keyed AS (SELECT parent, child, kind || '[' || row_number() OVER (PARTITION BY parent, kind ORDER BY child) || ']' AS local FROM tree),
@@ -118,7 +138,7 @@ def node_index_diff(spark, d):
 )
 def node_path_keys(spark, d):
     roots = V.table(spark, d, "region").select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("node"), F.concat(F.lit("Region["), "r_name", F.lit("]")).alias("local_key"))
-    edges = ir.sibling_keys(V.tree(spark, d), "parent", "kind", ["child"]).select("parent", "child", F.col("key").alias("local_key"))
+    edges = ir.sibling_keys(V.tree(spark, d), "parent", "kind", ["child"], stored).select("parent", "child", F.col("key").alias("local_key"))
     return summaries.path_keys(roots, edges, stored)
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import scalars as S
-from docloom.operators import coverage, directory, ir, objects, records, sectors
+from docloom.operators import coverage, directory, objects, records, sectors, summaries, trees
+from docloom.operators.ranks import ranked
 from docloom.plans import views as V
 from docloom.plans.catalogue import query, reachable_slots
 from docloom.storage import stored
@@ -518,11 +519,11 @@ def index_path_keys(spark, d):
     """Path keys of a tree: a node's own key where its type has one (with ``#n`` from the second equal one on), else
     its type and place among its siblings."""
     region = V.table(spark, d, "region").select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("id"), F.concat(F.lit("Region["), "r_name", F.lit("]")).alias("key"))
-    base = F.concat(F.lit("Nation["), F.substring("n_name", 1, 3), F.lit("]"))
-    same = F.row_number().over(W.partitionBy("n_regionkey", F.substring("n_name", 1, 3)).orderBy("n_nationkey"))
-    nation = V.table(spark, d, "nation").select(F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("parent"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("id"), F.when(same > 1, F.concat(base, F.lit("#"), same.cast("string"))).otherwise(base).alias("local"))
-    place = F.row_number().over(W.partitionBy("c_nationkey").orderBy("c_custkey"))
-    customer = V.table(spark, d, "customer").select(F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("parent"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("id"), F.concat(F.lit("Customer["), place.cast("string"), F.lit("]")).alias("local"))
+    own = F.concat(F.lit("Nation["), F.substring("n_name", 1, 3), F.lit("]"))
+    nations = V.table(spark, d, "nation").select(F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("parent"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_nationkey").alias("ord"), own.alias("local"))
+    nation = summaries.allotted(nations, "local", ["parent"], ["ord"], stored).drop("ord")
+    placed = ranked(V.table(spark, d, "customer").select("c_nationkey", "c_custkey"), ["c_nationkey"], ["c_custkey"], stored)
+    customer = placed.select(F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("parent"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("id"), F.concat(F.lit("Customer["), F.col("place").cast("string"), F.lit("]")).alias("local"))
     below = lambda rows, above: rows.join(above.select(F.col("id").alias("parent"), "key"), "parent").select("id", F.concat_ws("/", "key", "local").alias("key"))
     second = below(nation, region)
     return reduce(DataFrame.unionByName, (region, second, below(customer, second)))
@@ -538,5 +539,4 @@ def preorder_walk(spark, d):
     """Regions, nations and customers in pre-order; the walk skips what lies below customers."""
     edges = V.tree(spark, d).select("parent", "child", F.substring("child", 2, 20).cast("long").alias("ord"))
     roots = V.table(spark, d, "region").select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("root"))
-    found = ir.closure(edges, roots, stored, skip=F.col("node").startswith("C"))
-    return found.select("root", "node", F.col("depth").cast("long").alias("depth"), F.row_number().over(W.partitionBy("root").orderBy("place")).cast("long").alias("visit"))
+    return trees.visits(edges, roots, stored, skip=F.col("node").startswith("C"))

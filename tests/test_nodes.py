@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,12 +46,34 @@ def test_every_template_renders(spark):
 def test_local_keys(spark):
     nodes = [("Paragraph", {"text": "x"}), ("Paragraph", {"text": "x"}), ("Slide", {"number": "1"}), ("Slide", {"number": "1"}), ("Slide", {"number": "1"}), ("Shape", {"text": "t"}), ("Shape", {"text": "t"}), ("Table", {})]
     rows = spark.createDataFrame([(1, i, *n) for i, n in enumerate(nodes)], "doc_id int, node_id int, node_type string, attrs map<string,string>")
-    got = [r.local_key for r in summaries.local_keys(summaries.snapshots(rows), ["doc_id"], ["node_id"]).orderBy("node_id").collect()]
+    got = [r.local_key for r in summaries.local_keys(summaries.snapshots(rows), ["doc_id"], ["node_id"], stored).orderBy("node_id").collect()]
     hashed = got[5]
     assert hashed.startswith("Shape[") and len(hashed) == 6 + 16 + 1
     assert got == ["Paragraph[1]", "Paragraph[2]", "Slide[1]", "Slide[1]#2", "Slide[1]#3", hashed, hashed + "#2", "Table[1]"]
 
 
+def by_hand(keys):
+    used, out = set(), []
+    for key in keys:
+        n, given = 1, key
+        while given in used:
+            n += 1
+            given = f"{key}#{n}"
+        used.add(given)
+        out.append(given)
+    return out
+
+
+def test_keys_that_look_like_endings_of_others(spark):
+    r = random.Random(2)
+    groups = [["K", "K", "K#2"], ["K#2", "K", "K"], ["K", "K#3", "K", "K", "K"], ["K#2"] * 3, ["K#02", "K", "K"], ["a", None and "b", "a#2", "a", "a#2#2", "a#2", "a"]]
+    groups = [[k for k in g if k] for g in groups] + [r.choices(["K", "K#2", "K#3", "K#2#2", "K#4", "L", "L#2", "#2", "#"], k=30) for _ in range(12)]
+    rows = [(p, i, k) for p, g in enumerate(groups) for i, k in enumerate(g)] + [(None, i, "K") for i in range(3)]
+    got = summaries.allotted(spark.createDataFrame(rows, "p int, i int, key string").repartition(3), "key", ["p"], ["i"], stored).collect()
+    want = [(p, i, k) for p, g in enumerate(groups) for i, k in enumerate(by_hand(g))] + [(None, 0, "K"), (None, 1, "K#2"), (None, 2, "K#3")]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_path_keys_of_shared_and_cyclic_nodes(spark):
     roots = spark.createDataFrame([("r", "Root")], "node string, local_key string")
     edges = spark.createDataFrame([("r", "a", "A"), ("r", "b", "B"), ("a", "c", "C"), ("b", "c", "C"), ("c", "a", "A"), ("x", "y", "Y")], "parent string, child string, local_key string")
