@@ -25,3 +25,18 @@ def ranked(rows: DataFrame, group: list[str], order: list[str], store, name: str
     inside = F.row_number().over(W.partitionBy("_range", "_group").orderBy(*(F.col(c).asc_nulls_first() for c in order)))
     placed = ranged.withColumn("_group", keys[0]).withColumn("_inside", inside)
     return placed.join(counts, ["_range", "_group"]).withColumn(name, F.col("_inside") + F.col("_before")).drop("_range", "_group", "_inside", "_before")
+
+
+def carried(rows: DataFrame, group: list[str], order: list[str], value: str, store, name: str) -> DataFrame:
+    """``rows`` with ``name``: the last ``value`` that is not null at or before a row in the order of its group, null before
+    the first. As with ``ranked`` a window is never wider than one sorted range; what goes from range to range is the last value of each."""
+    ranged = store(rows.repartitionByRange(*(F.col(c).asc_nulls_first() for c in [*group, *order])).withColumn("_range", F.spark_partition_id()))
+    key, by = F.struct(*(F.col(c) for c in group)), [F.col(c).asc_nulls_first() for c in order]
+    placed = ranged.withColumn("_group", key)
+    there = F.struct(*(F.col(c) for c in order))
+    ends = placed.groupBy("_range", "_group").agg(F.max_by(F.col(value), F.when(F.col(value).isNotNull(), there)).alias("_end"))
+    before = F.last("_end", ignorenulls=True).over(W.partitionBy("_group").orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    ends = ends.select("_range", "_group", before.alias("_before"))
+    own = F.last(F.col(value), ignorenulls=True).over(W.partitionBy("_range", "_group").orderBy(*by).rowsBetween(W.unboundedPreceding, 0))
+    found = placed.withColumn("_own", own).join(ends, ["_range", "_group"])
+    return found.withColumn(name, F.coalesce("_own", "_before")).drop("_range", "_group", "_own", "_before")
