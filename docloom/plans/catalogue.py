@@ -759,4 +759,4 @@ def analyzer_levels(spark, d):
     return rows.select("doc_id", "findings", S.severity_label(F.col("rank")).alias("level"))
 
 
-from docloom.plans import containers, coverage, formulas, nodes, packages, reports, trees  # noqa: E402, F401  register their queries beside these
+from docloom.plans import containers, coverage, formulas, nodes, overview, packages, reports, trees  # noqa: E402, F401  register their queries beside these
