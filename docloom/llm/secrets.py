@@ -15,7 +15,8 @@ code points, the end exclusive. Empty input gives an empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,18 @@ _HEX_RUNS = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256
 _LONG_RUNS = bytes(120 if re.match(r"[A-Za-z0-9+/=_-]", chr(b)) else 32 for b in range(256))
 
 
+def _union(spans: Iterable[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint stretches that ``spans`` cover, in order."""
+    starts, ends = [], []
+    for start, end in sorted(spans):
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
 def find(data: bytes) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all base finds and weak parts of a UTF-8 text, sorted.
 
@@ -60,10 +73,11 @@ def find(data: bytes) -> list[tuple[int, int, int]]:
     if hexes:
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if weak:
-        base = [(s, e) for s, _, e in found]
+        starts, ends = _union((s, e) for s, _, e in found)
         for m in WEAK_SECRET.finditer(text):
             mixed = re.search("[A-Z]", m[0]) and re.search("[a-z]", m[0]) and re.search("[0-9]", m[0])
-            if mixed and not any(s < m.end() and m.start() < e for s, e in base):
+            i = bisect_left(starts, m.end())  # the last stretch that begins before the token's end
+            if mixed and not (i and ends[i - 1] > m.start()):
                 found.append((m.start(), 3, m.end()))
     if ident:
         found += [(m.start(), 4, m.end()) for m in WEAK_ID.finditer(text)]
