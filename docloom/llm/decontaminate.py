@@ -4,7 +4,8 @@ Texts and items are normalised (A-Z lower-cased, ASCII punctuation and white spa
 item of n bytes allows ``RATE`` * n edits; it is split into one piece more than that, so that any passage
 within the budget holds a piece unchanged. A piece's first ``GRAM`` bytes are looked up at every place of a text, a
 batch of texts at a time: by a bit table, then in the sorted grams, then by the piece's last bytes. Myers'
-bit-parallel distance verifies the passage around each piece found.
+bit-parallel distance verifies the passages around the pieces found: those of an item that overlap in a text are one
+passage, verified in one pass, so that a text that repeats an item's words costs no more than its length.
 
 The index of pieces takes a few bytes for each byte of the items; one pass over the documents serves
 ``BLOCK_BYTES`` of distinct items, a larger benchmark takes a pass for each block. Items of equal normalised text are
@@ -32,6 +33,8 @@ RATE = 0.05
 GRAM = 10
 BITS = 22
 BLOCK_BYTES = 32 << 20
+#: Pieces found that are held at once, before those of one alignment become one.
+HITS = 1 << 20
 
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -134,49 +137,87 @@ class Index:
             tables.append(Table(size, bits, grams, item[own].astype(np.int32), start[own].astype(np.int32), length[own].astype(np.int32), tail))
         return Index(items, keys, tables)
 
-    def found(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(place, item, start, length) of all pieces found in normalised texts, which stand one after another, each with a
-        zero byte after it. A piece longer than its gram and last bytes may differ between them."""
-        eights = _eights(b"\x00".join([*texts, b""]))
+    def found(self, buffer: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place, item, start) of pieces found in ``buffer``, about ``HITS`` at a time. A piece longer than its gram and last
+        bytes may differ between them."""
+        eights = _eights(buffer)
         for table in self.tables:
             hashed = _grams(eights, slice(0, len(eights) - 8), table.size)
-            place = np.flatnonzero(table.bits[hashed >> np.uint64(64 - BITS)])
-            own = hashed[place]
-            low, high = np.searchsorted(table.grams, own, "left"), np.searchsorted(table.grams, own, "right")
-            count = high - low
-            row = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            place = np.repeat(place, count)
-            wide = min(8, table.size)
-            last = place + table.length[row] - wide
-            inside = last < len(eights)
-            row, place, last = row[inside], place[inside], last[inside]
-            same = eights[last] & np.uint64((1 << 8 * wide) - 1) == table.tail[row]
-            row, place = row[same], place[same]
-            yield place, table.item[row], table.start[row], table.length[row]
-
-    def matches(self, texts: list[bytes]) -> list[dict[int, int]]:
-        """For each normalised text the least edits by which each item was found, of those within their budget."""
-        out: list[dict[int, int]] = [{} for _ in texts]
+            places = np.flatnonzero(table.bits[hashed >> np.uint64(64 - BITS)])
+            lows, highs = np.searchsorted(table.grams, hashed[places], "left"), np.searchsorted(table.grams, hashed[places], "right")
+            hits = np.cumsum(highs - lows)
+            cuts = np.searchsorted(hits, np.arange(0, hits[-1] + HITS, HITS)) if len(hits) else []
+            for i, j in zip([0, *cuts], [*cuts, len(places)], strict=True):
+                low, count = lows[i:j], highs[i:j] - lows[i:j]
+                row = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                place = np.repeat(places[i:j], count)
+                wide = min(8, table.size)
+                last = place + table.length[row] - wide
+                inside = last < len(eights)
+                row, place, last = row[inside], place[inside], last[inside]
+                same = eights[last] & np.uint64((1 << 8 * wide) - 1) == table.tail[row]
+                row, place = row[same], place[same]
+                if len(row):
+                    yield place, table.item[row].astype(np.int64), table.start[row]
+
+    def windows(self, texts: list[bytes], buffer: bytes) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, from, to): the parts of ``buffer``, ``texts`` with a zero byte after each, in which a piece stands so that
+        the item could lie there within its budget. Those of one item that overlap are one, so a text is covered once by
+        the windows of an item, however often its pieces are found."""
         begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        failed: set[tuple[int, int]] = set()
-        for places, items, starts, lengths in self.found(texts):
-            owners = np.searchsorted(begin, places, "right") - 1
-            for at, i, start, n, owner in zip((places - begin[owners]).tolist(), items.tolist(), starts.tolist(), lengths.tolist(), owners.tolist(), strict=True):
-                found, text, item = out[owner], texts[owner], self.items[i]
-                if found.get(i) == 0 or text[at : at + n] != item[start : start + n]:
-                    continue
-                first, k = at - start, budget(len(item))
-                if (key := (i, first + int(begin[owner]))) in failed:
-                    continue
-                if first >= 0 and text.startswith(item, first):
-                    found[i] = 0
-                    continue
-                failed.add(key)  # each alignment is verified once
-                if k and (d := edit_distance_within(item, text[max(0, first - k) : first + len(item) + k], k)) is not None:
-                    found[i] = min(d, found.get(i, d))
+        size = np.array([len(t) for t in self.items], np.int64)
+        spare = np.array([budget(n) for n in size.tolist()], np.int64)
+        span = len(buffer) + 1
+        lows, highs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for place, item, start in self.found(buffer):
+            owner = np.searchsorted(begin, place, "right") - 1
+            first = place - start
+            low = np.maximum(first - spare[item], begin[owner]) + item * span
+            high = np.minimum(first + size[item] + spare[item], begin[owner + 1] - 1) + item * span
+            low, high = _spans(low, high)
+            lows.append(low)
+            highs.append(high)
+        low, high = _spans(np.concatenate(lows), np.concatenate(highs))
+        if not len(low):
+            return
+        reach = np.maximum.accumulate(high)
+        new = np.concatenate([[True], low[1:] > reach[:-1]])
+        head = np.flatnonzero(new)
+        low, high = low[head], np.maximum.reduceat(high, head)
+        item = low // span
+        low, high = low - item * span, high - item * span
+        owner = np.searchsorted(begin, low, "right") - 1
+        yield from zip(owner.tolist(), item.tolist(), low.tolist(), high.tolist(), strict=True)
+
+    def matches(self, texts: list[bytes], one: bool = False) -> list[dict[int, int]]:
+        """For each normalised text the least edits by which each item was found, of those within their budget; with ``one``
+        no more than one item of a text, and any edits within the budget.
+
+        An item's windows in a text are disjoint, and Myers' distance passes over each once: time grows with the text.
+        """
+        out: list[dict[int, int]] = [{} for _ in texts]
+        buffer = b"\x00".join([*texts, b""])
+        for owner, i, low, high in self.windows(texts, buffer):
+            found, item = out[owner], self.items[i]
+            if found.get(i) == 0 or (one and found):
+                continue
+            if buffer.find(item, low, high) >= 0:
+                found[i] = 0
+                continue
+            k = budget(len(item)) if i not in found else found[i] - 1
+            if k and (d := edit_distance_within(item, buffer[low:high], k)) is not None:
+                found[i] = d
         return out
 
 
+def _spans(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each different ``low`` in order, with its largest ``high``."""
+    order = np.argsort(low, kind="stable")
+    low, high = low[order], high[order]
+    head = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]])) if len(low) else np.zeros(0, np.int64)
+    return low[head], np.maximum.reduceat(high, head) if len(head) else high
+
+
 def items_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(item_id, key, item): each item's normalised text and its hash; items without a word are left out."""
 
@@ -226,7 +267,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLO
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = shared.value
             for batch in common.slices(batches, "text"):
-                yield batch.filter(pa.array([not x for x in own.matches([normalised(t) for t in common.as_bytes(batch, "text")])], pa.bool_()))
+                yield batch.filter(pa.array([not x for x in own.matches([normalised(t) for t in common.as_bytes(batch, "text")], one=True)], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs
