@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Bytes hashed at once. A longer text is divided between words, or inside a word longer than this.
+#: Bytes hashed at once. A longer text is divided between words; a word longer than this is hashed part by part.
 CHUNK = 4 << 20
 _BASE = 0x100000001B3
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -31,18 +31,45 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
-def _chunks(texts: list[bytes]) -> Iterator[tuple[list[bytes], list[int]]]:
+def _cut(text: bytes, at: int) -> int:
+    """Where to end the bytes hashed from ``at`` on: behind the last blank of the next ``CHUNK``; ``at`` if there is none."""
+    if len(text) - at <= CHUNK:
+        return len(text)
+    blank = _SPACE[np.frombuffer(text, np.uint8, CHUNK, at)][::-1]
+    back = int(blank.argmax())
+    return at + CHUNK - back if blank[back] else at
+
+
+def _long_word(text: bytes, start: int) -> tuple[int, int]:
+    """The hash, not mixed yet, and the end of the word that begins at ``start``, a part of it at a time."""
+    h, at = 0, start
+    while at < len(text):
+        part = np.frombuffer(text, np.uint8, min(CHUNK, len(text) - at), at)
+        blank = _SPACE[part]
+        n = int(blank.argmax()) if blank.any() else len(part)
+        sum_ = int(((part[:n] + np.uint64(1)) * _power(_BASE, n)).sum(dtype=np.uint64)) if n else 0
+        h = (h + sum_ * pow(_BASE, at - start, 1 << 64)) % (1 << 64)
+        at += n
+        if n < len(part):
+            break
+    return (h + at - start) % (1 << 64), at
+
+
+def _chunks(texts: list[bytes]) -> Iterator[tuple[list[bytes], list[int]] | tuple[int, int]]:
+    """Parts of texts, divided between words, with the indexes of their texts, about ``CHUNK`` bytes at a time; and the
+    hash and text of each word that is longer than that."""
     parts, owners, held = [], [], 0
     for owner, text in enumerate(texts):
         at = 0
         while at < len(text):
-            end = min(len(text), at + CHUNK)
-            if end < len(text):
-                end = max(text.rfind(b" ", at, end), text.rfind(b"\n", at, end), 0) + 1 or end
-                end = end if end > at else at + CHUNK
-            if held and held + end - at > CHUNK:
+            end = _cut(text, at)
+            if parts and (held + end - at > CHUNK or end == at):
                 yield parts, owners
                 parts, owners, held = [], [], 0
+            if end == at:
+                h, at = _long_word(text, at)
+                yield h, owner
+                continue
             parts.append(text[at:end])
             owners.append(owner)
             held += end - at
@@ -55,6 +82,10 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word (bytes between 0x20, 0x09-0x0D) and the index of its text, in order."""
     hashes, units = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for parts, owners in _chunks(texts):
+        if isinstance(parts, int):
+            hashes.append(mixed(np.array([parts], np.uint64)))
+            units.append(np.array([owners]))
+            continue
         buffer = np.frombuffer(b"\n".join([*parts, b""]), np.uint8)
         word = np.concatenate([[False], ~_SPACE[buffer], [False]])
         edge = np.flatnonzero(word[1:] != word[:-1])
