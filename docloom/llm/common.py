@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -40,8 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/docloom-checkpoints"
 
 
-#: Paths in the shared folder that this driver has made and not dropped yet, in order.
-_made: list[str] = []
+#: The paths in the shared folder that the run at hand has made and not dropped yet, in order; a run is a thread's own.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def _on(spark: SparkSession, path: str):
@@ -55,21 +56,29 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     path = f"{shared_dir(spark)}/docloom-{kind}-{uuid.uuid4().hex}"
     hadoop, files = _on(spark, path)
     files.deleteOnExit(hadoop)
-    _made.append(path)
+    if (run := _made.get()) is not None:
+        run.append(path)
     return path
 
 
-def made() -> int:
-    """How many paths there are now, for ``drop_all_but_last``."""
-    return len(_made)
+def made() -> list[str]:
+    """Begin a run in this thread: the list that its paths will be put on, for ``drop_all_but_last``."""
+    run: list[str] = []
+    _made.set(run)
+    return run
 
 
-def drop_all_but_last(spark: SparkSession, since: int) -> None:
-    """Delete the tables written since ``made`` gave ``since``, but for the last one, which the others went into."""
-    for path in _made[since:-1]:
+def drop_all_but_last(spark: SparkSession, run: list[str]) -> None:
+    """Delete the tables that ``run`` has written, but for the last one, which the others went into."""
+    for path in run[:-1]:
         hadoop, files = _on(spark, path)
         files.delete(hadoop, True)
-    _made[since:-1] = []
+    run[:-1] = []
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop, files = _on(spark, path)
+    return files.exists(hadoop)
 
 
 def stored(df: DataFrame, kind: str = "table") -> DataFrame:

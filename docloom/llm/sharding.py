@@ -2,7 +2,8 @@
 
 A record's slot depends on its id, its text and, of repeated rows, on which copy it is; it never changes. Only the
 slot-to-shard map is edited: ``rebalanced`` moves the fewest slots it can to even out bytes, ``grown`` moves slots
-into a new shard alone. Every edit gives a new version; ``save`` keeps all versions as one table.
+into a new shard alone. Every edit gives a new version. A map is kept as a table with a folder for each version: a run that
+is given its path loads it, edits it for the bytes it finds, and adds a version if that moved any slot.
 
 The law is ``bytes``: sizes alone decide, so documents of equal text may lie in different shards, and a hot id or text
 is spread over all slots. Nulls: a null id is an id like any other, a null text has no bytes. Repeated rows each get a
@@ -94,8 +95,9 @@ class SlotMap:
                 shards[slot] = new
         return self.edited(shards, new + 1)
 
-    def save(self, spark: SparkSession, path: str) -> None:
-        self.frame(spark).write.parquet(path)
+    def save(self, spark: SparkSession, path: str, known: int = 0) -> None:
+        """Add all versions but the first ``known``, which are there already."""
+        self.frame(spark).filter(F.col("version") >= known).coalesce(1).write.partitionBy("version").mode("append").parquet(path)
 
     def frame(self, spark: SparkSession) -> DataFrame:
         rows = [(v, s, shard) for v, version in enumerate(self.versions) for s, shard in enumerate(version)]
@@ -103,9 +105,9 @@ class SlotMap:
 
 
 def load_map(spark: SparkSession, path: str) -> SlotMap:
-    rows = sorted(tuple(r) for r in spark.read.parquet(path).collect())  # slots x versions rows
+    rows = spark.read.parquet(path).select("version", "vslot", "shard").collect()  # slots x versions rows
     versions: dict[int, list[int]] = {}
-    for v, _, shard in rows:
+    for v, _, shard in sorted(tuple(r) for r in rows):
         versions.setdefault(v, []).append(shard)
     kept = tuple(tuple(versions[v]) for v in sorted(versions))
     return SlotMap(max(kept[-1]) + 1, kept)
@@ -158,18 +160,27 @@ def place(rows: DataFrame, slot_map: SlotMap, counts: dict[int, int]) -> DataFra
     return rows.withColumn("rank", rank).join(where, "vslot").withColumn("slot", F.col("before") + F.col("rank") - 1).drop("before", "rank")
 
 
-def shard_by_bytes(docs: DataFrame, shard_count: int = 40, slots: int = SLOTS) -> tuple[DataFrame, SlotMap]:
-    """Rows placed by an even map edited once for bytes, and the map with both versions."""
+def shard_by_bytes(docs: DataFrame, shard_count: int = 40, slots: int = SLOTS, map_path: str | None = None) -> tuple[DataFrame, SlotMap]:
+    """Rows placed by the map kept at ``map_path`` (an even one if there is none yet) edited for bytes, and the map with all
+    its versions; the edit is kept there."""
+    spark = docs.sparkSession
     rows = common.stored(slotted(docs, slots), "slotted")
     sizes = slot_sizes(rows)
-    slot_map = SlotMap.even(shard_count, slots).rebalanced({s: b for s, (b, _) in sizes.items()})
+    kept = map_path is not None and common.exists(spark, map_path)
+    old = load_map(spark, map_path) if kept else SlotMap.even(shard_count, slots)
+    if len(old.current) != slots or old.shard_count != shard_count:
+        raise ValueError(f"the map at {map_path} has {len(old.current)} slots and {old.shard_count} shards")
+    new = old.rebalanced({s: b for s, (b, _) in sizes.items()})
+    slot_map = new if new.current != old.current else old
+    if map_path is not None and (not kept or slot_map is not old):
+        slot_map.save(spark, map_path, len(old.versions) if kept else 0)
     return place(rows, slot_map, {s: n for s, (_, n) in sizes.items()}), slot_map
 
 
 def op10_fixed_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in shards 0 to 39 under the law ``bytes``; vslot is the fixed virtual slot."""
-    placed, slot_map = shard_by_bytes(common.table(spark, sf_dir, "documents"))
-    slot_map.save(spark, common.shared_path(spark, "slotmap"))
+    """All documents in shards 0 to 39 under the law ``bytes``; vslot is the fixed virtual slot. The map is kept where
+    ``spark.docloom.slotmap`` names a path, so that the next run edits it; else it ends with the run."""
+    placed, slot_map = shard_by_bytes(common.table(spark, sf_dir, "documents"), map_path=spark.conf.get("spark.docloom.slotmap", None))
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
         F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot",
