@@ -93,9 +93,8 @@ def threat_levels(objects: DataFrame) -> DataFrame:
     return counted.select("doc_id", ole.alias("ole"), activex.alias("activex"), refs.alias("refs"), ((ole + activex + refs) > 0).alias("has_content"), level.alias("threat_level"))
 
 
-def scorecard(objects: DataFrame) -> DataFrame:
-    """(doc_id, key, value, risk, evidence): embedded objects, controls, references, native payloads and suspicious
-    relationships of each document; a count or "absent"."""
+def _evidence(objects: DataFrame) -> DataFrame:
+    """(doc_id, key, risk, e): five rows for each node, ``e`` what it is evidence of, null if it is none."""
     where = F.coalesce("path", "name")
     native = TYPE("OleObject") & F.coalesce(F.col("path").rlike("(Ole10Native|Package)$"), F.lit(False))
     specs = [
@@ -106,7 +105,17 @@ def scorecard(objects: DataFrame) -> DataFrame:
         ("suspicious-relationships", "Medium", F.when(~F.col("format").isin("docx", "xlsx", "pptx") & TYPE("ExternalReference") & S.is_remote(F.col("target")), F.concat_ws(": ", "path", F.concat(F.lit("Remote resource: "), "target")))),
     ]
     each = F.inline(F.array(*(F.struct(F.lit(k).alias("key"), F.lit(risk).alias("risk"), e.alias("e")) for k, risk, e in specs)))
-    rows = objects.select("doc_id", each).groupBy("doc_id", "key", "risk").agg(F.count("e").alias("n"), F.array_join(F.array_sort(F.collect_list("e")), "; ").alias("evidence"))
+    return objects.select("doc_id", each)
+
+
+def evidence(objects: DataFrame) -> DataFrame:
+    """(doc_id, key, e): embedded objects, controls, references, native payloads and suspicious relationships."""
+    return _evidence(objects).filter("e is not null").select("doc_id", "key", "e")
+
+
+def scorecard(objects: DataFrame) -> DataFrame:
+    """(doc_id, key, value, risk, evidence): of each document the number of finds of each kind, or "absent"."""
+    rows = _evidence(objects).groupBy("doc_id", "key", "risk").agg(F.count("e").alias("n"), F.array_join(F.array_sort(F.collect_list("e")), "; ").alias("evidence"))
     present = F.col("n") > 0
     return rows.select("doc_id", "key", F.when(present, F.col("n").cast("string")).otherwise("absent").alias("value"), F.when(present, F.col("risk")).otherwise("None").alias("risk"), "evidence")
 

@@ -45,6 +45,13 @@ def json_parts(nodes: DataFrame, without: tuple[str, ...] = (), key: str = "node
     return nodes.select(key, join([f for f in fields if f.name < "children"]).alias("head"), join([f for f in fields if f.name > "children"]).alias("tail"))
 
 
+def node_json(nodes: DataFrame, without: tuple[str, ...] = (), key: str = "node") -> DataFrame:
+    """(node, json): each node as one JSON object, its keys in order, without its children."""
+    parts = json_parts(nodes, without, key)
+    comma = F.when((F.col("head") != "") & (F.col("tail") != ""), ",").otherwise("")
+    return parts.select(key, F.concat(F.lit("{"), "head", comma, "tail", F.lit("}")).alias("json"))
+
+
 def paths(edges: DataFrame, roots: DataFrame, store, most: int = 100) -> tuple[DataFrame, DataFrame]:
     """(root, node, place) for each path from a root, ``place`` the ords on it; and the roots (root) whose paths are longer
     than ``most``, such as those of a cycle. ``store`` writes a level before the next is joined."""

@@ -191,6 +191,22 @@ def substream_index_and_kind(spark, d):
     return records.substreams(rows, "user_id", F.col("event_type") == "signup", "kind").select("user_id", long("seq", "seq"), "substream", "substream_kind")
 
 
+_SUBSTREAMS = """+r AS (SELECT user_id, sum(CASE WHEN event_type = 'signup' AND seq > 0 THEN 1 ELSE 0 END) OVER w AS i, coalesce(last_value(CASE WHEN event_type = 'signup' THEN 'kind' || event_id % 4 END IGNORE NULLS) OVER w, 'unknown') AS kind
+        FROM stream WINDOW w AS (PARTITION BY user_id ORDER BY seq ROWS UNBOUNDED PRECEDING))"""
+
+
+@query("substream_counts", V.sql(f"{_SUBSTREAMS} SELECT user_id, i || ':' || kind AS bucket, count(*) AS n FROM r GROUP BY ALL", "stream"))
+def substream_counts(spark, d):
+    """Records of each substream, under its number and kind."""
+    key = F.concat_ws(":", F.col("substream").cast("string"), "substream_kind")
+    return substream_index_and_kind(spark, d).groupBy("user_id", key.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("substream_totals", V.sql(f"{_SUBSTREAMS} SELECT user_id, CAST(max(i) + 1 AS BIGINT) AS substreams FROM r GROUP BY user_id", "stream"))
+def substream_totals(spark, d):
+    return substream_index_and_kind(spark, d).groupBy("user_id").agg((F.max("substream") + 1).alias("substreams"))
+
+
 @query("record_offsets", V.sql("SELECT user_id, seq, CAST(coalesce(sum(size + 4) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM stream", "stream"))
 def record_offsets(spark, d):
     return records.offsets(V.stream(spark, d), "user_id", "size").select("user_id", long("seq", "seq"), "offset")
@@ -759,4 +775,4 @@ def analyzer_levels(spark, d):
     return rows.select("doc_id", "findings", S.severity_label(F.col("rank")).alias("level"))
 
 
-from docloom.plans import containers, coverage, formulas, nodes, overview, packages, reports, trees  # noqa: E402, F401  register their queries beside these
+from docloom.plans import containers, coverage, formulas, nodes, reports, overview, indicators, packages, trees  # noqa: E402, F401  register their queries beside these

@@ -10,7 +10,8 @@ from docloom.operators import containers
 from docloom.plans import views as V
 from docloom.plans.catalogue import query
 from docloom.plans.trees import _LINES, lines
-from docloom.storage import stored
+from docloom.sources import artifacts
+from docloom.storage import fresh, stored
 
 _pick = lambda values, i: F.element_at(F.array(*(F.lit(v) for v in values)), (i % len(values) + 1).cast("int"))
 _ord = lambda: F.col("l_linenumber").cast("long") * (1 << 32) + F.col("l_partkey") * 4096 + F.col("l_suppkey")
@@ -198,3 +199,18 @@ def sector_chains(spark, d) -> DataFrame:
 )
 def shared_chain_runs(spark, d):
     return containers.shared_runs(sector_chains(spark, d), stored).withColumn("owners", F.array_join("owners", "|"))
+
+
+# Payload files
+
+
+@query("macro_source_files", V.sql("SELECT doc_id, 'vba-source' AS kind, 'project ' || doc_id || '.bas' AS name, sha256(string_agg(line, chr(10) ORDER BY line_no)) AS sha256, strlen(string_agg(line, chr(10) ORDER BY line_no)) AS size FROM macros GROUP BY doc_id", "macros"))
+def macro_source_files(spark, d):
+    """The source of each project written as a file, and what the manifests say of the files."""
+    text = F.array_join(F.array_sort(F.collect_list(F.struct("line_no", "line")))["line"], "\n")
+    found = V.macros(spark, d).groupBy("doc_id").agg(text.cast("binary").alias("payload"))
+    rows = found.select("doc_id", F.concat(F.lit("project "), F.col("doc_id").cast("string"), F.lit(".bas")).alias("name"), F.lit("vba-source").alias("kind"), "payload")
+    path = fresh(spark, "artifacts")
+    artifacts.register(spark)
+    rows.write.format("artifacts").mode("append").save(path)
+    return artifacts.manifests(spark, path).select("doc_id", "kind", "name", "sha256", "size")

@@ -77,6 +77,17 @@ def document_json_trees(spark, d):
     return found.select(F.split_part("root", F.lit(":"), F.lit(1)).cast("long").alias("doc_id"), "json")
 
 
+@query(
+    "node_dumps",
+    """SELECT 'O' || o_orderkey AS node, '{"attrs":{"cents":' || CAST(round(o_totalprice * 100) AS BIGINT) || ',"label":"' || o_orderpriority || '"},"name":null,"span":{"file_path":"orders","line":' || o_orderkey || '},"type":"Order"}' AS json
+    FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""",
+)
+def node_dumps(spark, d):
+    """The nodes whose ids are asked for, those of the orders that have lines, as JSON with their spans."""
+    ids = V.table(spark, d, "lineitem").select(_id("O", "l_orderkey").alias("node")).distinct()
+    return trees.node_json(order_nodes(spark, d).join(ids, "node", "left_semi"))
+
+
 # Walks over shared nodes
 
 BLOCK = 12

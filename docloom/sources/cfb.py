@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 MAGIC = bytes.fromhex("d0cf11e0a1b11ae1")
 END, FREE, NONE = 0xFFFFFFFE, 0xFFFFFFFF, 0xFFFFFFFF
 MOST_ENTRIES, MOST_RECORDS = 65_536, 1_000_000
+#: Powers of two of the sector sizes there are.
+SHIFTS = (9, 12)
 TYPES = {0: "unknown", 1: "storage", 2: "stream", 5: "root"}
 SLOTS = "path string, slot long, name string, entry_type string, left long, right long, child long, start_sector long, size long, created long, modified long"
 
@@ -22,12 +24,17 @@ class Compound:
     def __init__(self, data: bytes) -> None:
         if data[:8] != MAGIC or len(data) < 512:
             raise ValueError("no compound file")
-        self.data, self.size = data, 1 << struct.unpack_from("<H", data, 30)[0]
+        shift, = struct.unpack_from("<H", data, 30)
+        if shift not in SHIFTS:
+            raise ValueError(f"sectors of 2^{shift} bytes")
+        self.data, self.size = data, 1 << shift
         self.directory_start, = struct.unpack_from("<I", data, 48)
         difat = list(struct.unpack_from("<109I", data, 76))
         at, left = struct.unpack_from("<II", data, 68)
         while at not in (END, FREE) and left:
-            more = struct.unpack(f"<{self.size // 4}I", self.sector(at))
+            if len(block := self.sector(at)) < self.size:
+                raise ValueError("a sector of the allocation list is cut off")
+            more = struct.unpack(f"<{self.size // 4}I", block)
             difat, at, left = [*difat, *more[:-1]], more[-1], left - 1
         self.fat: list[int] = []
         for s in difat:
@@ -65,7 +72,10 @@ def _table(files: DataFrame, schema: str, kinds: tuple, rows_of) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                rows = [(path, *r) for r in rows_of(Compound(content.as_py()))]
+                try:
+                    rows = [(path, *r) for r in rows_of(Compound(content.as_py()))]
+                except (ValueError, struct.error):  # reported by ``faults``
+                    rows = []
                 columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
@@ -79,6 +89,23 @@ def slots(files: DataFrame) -> DataFrame:
     return _table(files, SLOTS, (pa.string(), i, pa.string(), pa.string(), i, i, i, i, i, i, i), lambda c: c.slots())
 
 
+def faults(files: DataFrame) -> DataFrame:
+    """(path, error) of the compound files among (path, content) whose tables cannot be read; they have no rows elsewhere."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                try:
+                    list(Compound(content.as_py()).slots())
+                except (ValueError, struct.error) as error:
+                    found.append((path, str(error)))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in (0, 1)], ["path", "error"])
+
+    cfb = files.filter(F.hex(F.substring("content", 1, 8)) == MAGIC.hex().upper()).select("path", "content")
+    return cfb.mapInArrow(each, "path string, error string")
+
+
 def chains(files: DataFrame) -> DataFrame:
     """(path, slot, pos, sector): the sectors of each stream in the FAT."""
     i = pa.int64()

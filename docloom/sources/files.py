@@ -9,10 +9,13 @@ MOST_BYTES = 512 << 20
 
 
 def scan(spark: SparkSession, path: str, most: int = MOST_BYTES) -> DataFrame:
-    """(path, length, content, error): content is null, and error says why, for files over ``most`` bytes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
-    large = F.col("length") > most
-    return files.select("path", "length", F.when(~large, F.col("content")).alias("content"), F.when(large, F.lit("input-too-large")).alias("error"))
+    """(path, length, content, error): content is null, and error says why, for files over ``most`` bytes, which are never read:
+    their rows come from the listing alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    none = F.lit(None)
+    small = files.filter(F.col("length") <= most).select("path", "length", "content", none.cast("string").alias("error"))
+    large = files.filter(F.col("length") > most).select("path", "length", none.cast("binary").alias("content"), F.lit("input-too-large").alias("error"))
+    return small.unionByName(large)
 
 
 def sniffed(content: Column) -> Column:

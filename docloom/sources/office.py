@@ -29,6 +29,8 @@ TYPES = {
     "pptx": {"sp": "Shape", "p": "Paragraph", "r": "Run"},
     "xlsx": {"c": "Cell", "hyperlink": "Hyperlink", "row": "Row"},
 }
+#: Elements nested deeper than this are refused.
+MOST_DEPTH = 512
 MAIN = {"docx": r"word/(document|header\d*|footer\d*|comments|footnotes|endnotes)\.xml", "odt": r"content\.xml", "ods": r"content\.xml", "odp": r"content\.xml", "hwpx": r"Contents/section\d+\.xml", "pptx": r"ppt/slides/slide\d+\.xml", "xlsx": r"xl/worksheets/[^/]+\.xml"}
 
 
@@ -37,7 +39,11 @@ def xml_nodes(kind: str, data: bytes, shared: list[str]) -> list[tuple[int | Non
     types = TYPES["odt" if kind in ("ods", "odp") else kind]
     out: list[tuple[int | None, str, str | None, str | None]] = []
 
-    def walk(element, parent):
+    stack = [(ElementTree.fromstring(data), None, 1)]
+    while stack:
+        element, parent, depth = stack.pop()
+        if depth > MOST_DEPTH:
+            raise ValueError(f"nested deeper than {MOST_DEPTH}")
         kind_of = types.get(_name(element.tag))
         if kind_of:
             attributes = {_name(k): v for k, v in element.attrib.items()}
@@ -51,10 +57,7 @@ def xml_nodes(kind: str, data: bytes, shared: list[str]) -> list[tuple[int | Non
                 text = "=" + formula if formula else shared[int(raw)] if known else raw
             out.append((parent, kind_of, text, attributes.get("href") or attributes.get("id") if kind_of == "Hyperlink" else attributes.get("r") if kind_of == "Cell" else None))
             parent = len(out) - 1
-        for child in element:
-            walk(child, parent)
-
-    walk(ElementTree.fromstring(data), None)
+        stack += [(child, parent, depth + 1) for child in reversed(element)]
     return out
 
 
@@ -151,14 +154,17 @@ def package_documents(parts_of: DataFrame, formats_of: DataFrame) -> DataFrame:
         pdf = pdf.sort_values("part")
         kind, path = pdf["format"].iloc[0], pdf["path"].iloc[0]
         shared: list[str] = []
-        for data in pdf["content"][pdf["part"] == "xl/sharedStrings.xml"]:
-            shared = ["".join(t.text or "" for t in si.iter() if _name(t.tag) == "t") for si in ElementTree.fromstring(data)]
         rows = [(path, 0, None, "Document", None, None)]
+        for data in pdf["content"][pdf["part"] == "xl/sharedStrings.xml"]:
+            try:
+                shared = ["".join(t.text or "" for t in si.iter() if _name(t.tag) == "t") for si in ElementTree.fromstring(data)]
+            except ElementTree.ParseError as error:
+                rows += _rows(path, [(None, "Diagnostic", f"xl/sharedStrings.xml: {error}", None)], len(rows))
         for part, data in zip(pdf["part"], pdf["content"], strict=True):
             if part != "xl/sharedStrings.xml":
                 try:
                     nodes = xml_nodes(kind, data, shared)
-                except ElementTree.ParseError as error:
+                except (ElementTree.ParseError, ValueError) as error:
                     nodes = [(None, "Diagnostic", f"{part}: {error}", None)]
                 rows += _rows(path, nodes, len(rows))
         return pd.DataFrame(rows, columns=[x.split()[0] for x in NODES.split(", ")]).astype({"parent_id": "Int64"})

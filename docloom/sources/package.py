@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import io
+import lzma
 import re
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,13 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_TOTAL, MOST_FILE, MOST_FILES, MOST_RATIO, MOST_DEPTH = 100 << 20, 50 << 20, 10_000, 100, 20
+_BROKEN = (zipfile.BadZipFile, zlib.error, lzma.LZMAError, struct.error, EOFError, OSError, RuntimeError, ValueError)
 PARTS = "path string, part string, size long, content binary, error string"
 
 
 def entry_error(name: str, size: int, packed: int) -> str | None:
     """Why an archive entry is refused, or None."""
     low = name.lower()
-    if "\0" in name or "\\" in name or name.startswith("/") or re.match("[A-Za-z]:", name) or ".." in name.split("/") or re.search("%2e|%2f|%5c", low):
+    if "\0" in name or "\\" in name or name.startswith("/") or re.match("[A-Za-z]:", name) or ".." in name or re.search("%2e|%2f|%5c", low):
         return "path-traversal"
     if name.count("/") > MOST_DEPTH:
         return "too-deep"
@@ -31,17 +35,22 @@ def read_parts(data: bytes) -> Iterator[tuple[str | None, int, bytes | None, str
     """(part, size, content, error) of each entry; one row with an error for an archive refused as a whole."""
     try:
         archive = zipfile.ZipFile(io.BytesIO(data))
-    except zipfile.BadZipFile:
+        entries = [e for e in archive.infolist() if not e.is_dir()]
+    except _BROKEN:
         yield None, 0, None, "bad-archive"
         return
-    entries = [e for e in archive.infolist() if not e.is_dir()]
     names = [e.filename.lower() for e in entries]
     if len(set(names)) < len(names) or len(names) > MOST_FILES or sum(e.file_size for e in entries) > MOST_TOTAL:
         yield None, 0, None, "duplicate-names" if len(set(names)) < len(names) else "too-many-files" if len(names) > MOST_FILES else "archive-too-large"
         return
     for e in entries:
-        error = entry_error(e.filename, e.file_size, e.compress_size)
-        yield e.filename, e.file_size, None if error else archive.read(e), error
+        error, content = entry_error(e.filename, e.file_size, e.compress_size) or ("encrypted" if e.flag_bits & 1 else None), None
+        if not error:
+            try:
+                content = archive.read(e)
+            except _BROKEN:  # a wrong checksum, cut data, an unknown method
+                error = "bad-entry"
+        yield e.filename, e.file_size, content, error
 
 
 def parts(files: DataFrame) -> DataFrame:

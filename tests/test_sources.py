@@ -12,8 +12,8 @@ from docloom.operators import formula
 from docloom.sources import cfb, files, office, package, sinks
 from docloom.streaming import ingest
 
-RTF = rb"""{\rtf1\ansi{\colortbl;\red255\green0\blue0;}\pard First\~line \'e9\par Second {\b bold}\par
-{\field{\fldinst HYPERLINK "https://example.com"}{\fldrslt Link}}{\object\objclass Package\objdata 01020304}}"""
+RTF = rb"""{\rtf1\ansi\ansicpg1252{\fonttbl{\f0 Arial;}}\pard First\~line \'e9\par Second {\i slanted}\par
+{\field{\*\fldinst{HYPERLINK "ftp://files.test/list.txt"}}{\fldrslt{the list}}}\par {\object\objemb{\*\objclass Paint.Picture}{\*\objdata 4142}}}"""
 
 
 def zipped(**parts):
@@ -71,9 +71,9 @@ def test_sniff_and_size_guard(spark, found, tmp_path):
 def test_rtf(found):
     rows = office.rtf_documents(found).toPandas()
     good = rows[rows["path"].str.endswith("a.rtf")]
-    assert good[good["node_type"] == "Paragraph"]["text"].tolist()[:2] == ["First line é", "Second bold"]
-    assert good[good["node_type"] == "Hyperlink"]["target"].tolist() == ["https://example.com"]
-    assert good[good["node_type"] == "OleObject"]["text"].tolist() == ["Package"]
+    assert good[good["node_type"] == "Paragraph"]["text"].tolist()[:2] == ["First line é", "Second slanted"]
+    assert good[good["node_type"] == "Hyperlink"]["target"].tolist() == ["ftp://files.test/list.txt"]
+    assert good[good["node_type"] == "OleObject"]["text"].tolist() == ["Paint.Picture"]
     assert "Diagnostic" in rows[rows["path"].str.endswith("f.rtf")]["node_type"].tolist()
 
 
@@ -103,6 +103,51 @@ def test_compound(found):
     assert [(r["offset"], r["record_type"], r["size"]) for r in cfb.sheet_records(found).orderBy("seq").limit(2).collect()] == [(0, 0x809, 4), (8, 10, 0)]
 
 
+def test_broken_files_leave_the_others_whole(spark, found, tmp_path):
+    """A cut allocation list, a wrong checksum, an encrypted entry, deep nesting, and bad shared strings in one folder."""
+    whole = found.filter("path not like '%h.zip' and path not like '%f.rtf'")
+    cut = bytearray(compound())
+    struct.pack_into("<II", cut, 68, 5000, 1)
+    wide = bytearray(compound())
+    struct.pack_into("<H", wide, 30, 60)
+    crc = bytearray(zipped(**{"a.xml": "<a/>" * 50, "b.xml": "<b/>"}))
+    crc[14:18] = b"\1\2\3\4"
+    at = crc.index(b"PK\1\2")
+    crc[at + 16 : at + 20] = b"\1\2\3\4"
+    locked = bytearray(zipped(**{"a.xml": "<a/>"}))
+    for at, n in ((0, 6), (locked.index(b"PK\1\2"), 8)):
+        locked[at + n] |= 1
+    types = '<Types><Override ContentType="x.wordprocessingml.document.main+xml"/></Types>'
+    deep = zipped(**{"[Content_Types].xml": types, "word/document.xml": "".join(f"<p i='{i * 7919 % 10007}'>" for i in range(3000)) + "</p>" * 3000, "word/footnotes.xml": f"<w:d {W}><w:p><w:r><w:t>note</w:t></w:r></w:p></w:d>"})
+    shared = zipped(**{"[Content_Types].xml": types.replace("wordprocessingml.document", "spreadsheetml.sheet"), "xl/sharedStrings.xml": "<sst><si>", "xl/worksheets/s.xml": '<s><c r="A1" t="s"><v>0</v></c></s>'})
+    for name, data in {"1.doc": cut, "2.zip": crc, "3.zip": locked, "4.docx": deep, "5.xlsx": shared, "6.doc": wide}.items():
+        (tmp_path / name).write_bytes(data)
+    both = whole.unionByName(files.scan(spark, str(tmp_path)))
+    rows = lambda df: sorted(map(repr, df.collect()))
+    name = lambda p: p.rpartition("/")[2]
+    assert rows(cfb.slots(both)) == rows(cfb.slots(whole)) and rows(cfb.chains(both)) == rows(cfb.chains(whole)) and rows(cfb.sheet_records(both)) == rows(cfb.sheet_records(whole))
+    assert {name(r["path"]): r["error"] for r in cfb.faults(both).collect()} == {"1.doc": "a sector of the allocation list is cut off", "6.doc": "sectors of 2^60 bytes"}
+    parts = package.parts(both)
+    assert {(name(r["path"]), r["part"], r["error"]) for r in parts.filter("error is not null").collect()} == {("2.zip", "a.xml", "bad-entry"), ("3.zip", "a.xml", "encrypted")}
+    assert parts.filter("path like '%2.zip' and part = 'b.xml'").first()["content"] == b"<b/>"
+    nodes, good = (office.package_documents(p, package.formats(p)) for p in (parts, package.parts(whole)))
+    fresh = nodes.filter("path like '%.docx' and path like '%4.docx' or path like '%5.xlsx'").collect()
+    assert sorted((name(r["path"]), r["node_type"]) for r in fresh if r["node_type"] in ("Diagnostic", "Run", "Cell")) == [("4.docx", "Diagnostic"), ("4.docx", "Run"), ("5.xlsx", "Cell"), ("5.xlsx", "Diagnostic")]
+    assert rows(nodes.filter("path not like '%4.docx' and path not like '%5.xlsx'")) == rows(good)
+
+
+def test_files_over_the_guard_are_not_read(spark, tmp_path):
+    (tmp_path / "small").write_bytes(b"x" * 10)
+    (tmp_path / "large").write_bytes(b"x" * 5000)
+    before = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")  # reading a longer one fails the job
+    try:
+        got = {r["path"].rpartition("/")[2]: (r["content"], r["error"]) for r in files.scan(spark, str(tmp_path), most=100).collect()}
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", before)
+    assert got == {"small": (bytearray(b"x" * 10), None), "large": (None, "input-too-large")}
+
+
 def test_sinks(spark, found, tmp_path):
     nodes = office.rtf_documents(found)
     sinks.write_json(nodes, f"{tmp_path}/j", without=("target",))
