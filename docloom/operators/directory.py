@@ -84,6 +84,7 @@ def cycle_tags(slots: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found).distinct()
 
 
+# The tags of high and of low severity; all others are medium.
 SEVERITY = {
     "high": (
         "sibling-2-cycle", "child-2-cycle", "sibling-3-cycle", "child-3-cycle", "mixed-2-cycle", "mixed-3-cycle", "incoming-from-anomalous-entry",

@@ -48,19 +48,27 @@ def select_nodes(nodes: DataFrame, types: tuple[str, ...] = (), contains: str |
 def closure(edges: DataFrame, roots: DataFrame, store, most: int = 100, skip: Column | None = None) -> DataFrame:
     """(root, node, depth) of all nodes reached from ``roots`` (root), each once, at its least depth: one join per level.
 
-    ``edges`` is (parent, child). Where no child has two parents a level needs no more than the join, as only a cycle
-    through the root could meet a node again; else each level leaves out the nodes seen before. Below nodes that meet ``skip`` (of
-    ``node``) the walk does not go on. ``store`` writes a level before the next.
+    ``edges`` is (parent, child), with ``ord`` for the ``place`` too: the ords that lead to a node, the least ones of its level
+    (``trees.first_places`` gives those of a depth-first walk). Where no child has two parents a level needs no more than
+    the join, as only a cycle through the root could meet a node again; else each level leaves out the nodes seen before.
+    Below nodes that meet ``skip`` (of ``node``) the walk does not go on. ``store`` writes a level before the next.
     """
-    edges = edges.select("parent", "child")
+    placed = "ord" in edges.columns
+    edges = edges.select("parent", "child", *(["ord"] if placed else []))
     tree = edges.groupBy("child").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
-    level = store(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct())
+    place = [F.array(F.lit(0).cast("long")).alias("place")] if placed else []
+    level = store(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), *place).distinct())
     out = level
     for depth in range(1, most + 1):
         open_ = level if skip is None else level.filter(~skip)
-        step = open_.join(edges, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node"))
-        step = step.filter(F.col("root") != F.col("node")) if tree else step.distinct().join(out.select("root", "node"), ["root", "node"], "left_anti")
-        level = store(step.select("root", "node", F.lit(depth).alias("depth")))
+        way = [F.concat("place", F.array(F.col("ord").cast("long"))).alias("place")] if placed else []
+        step = open_.join(edges, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node"), *way)
+        if tree:
+            step = step.filter(F.col("root") != F.col("node"))
+        else:
+            step = step.groupBy("root", "node").agg(F.min("place").alias("place")) if placed else step.distinct()
+            step = step.join(out.select("root", "node"), ["root", "node"], "left_anti")
+        level = store(step.select("root", "node", F.lit(depth).alias("depth"), *(["place"] if placed else [])))
         if level.isEmpty():
             return out
         out = out.unionByName(level)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import scalars as S
 from docloom.operators.ranks import ranked
+from docloom.storage import stored
 
 # A field is {attr}, a dash if it is missing; {a|b} the first that is there; {attr=x} x if it is missing;
 # {attr!} makes the whole text null if it is missing; {attr~80} keeps 80 characters and an ellipsis.
@@ -193,7 +194,7 @@ def snapshots(nodes: DataFrame) -> DataFrame:
     return nodes.select("*", own_key(kind, attrs).alias("own_key"), summary(kind, attrs).alias("summary"), content_signature(kind, attrs).alias("content_sig"), style_signature(kind, attrs).alias("style_sig"))
 
 
-def local_keys(snapshots: DataFrame, parent: list[str], order: list[str], store) -> DataFrame:
+def local_keys(snapshots: DataFrame, parent: list[str], order: list[str], store=stored) -> DataFrame:
     """``local_key``, unlike for all children of a parent: a node's own key, else its type with its place among the
     siblings of that type (paragraphs, runs, and nodes without content) or with the hash of its content. A key that an
     earlier sibling has gets the next free ``#n``, from ``#2`` on."""

@@ -332,7 +332,8 @@ _RISK = "CASE WHEN shared OR invalid THEN 'high' WHEN reused OR state = 'truncat
 
 
 def _health(spark, d) -> DataFrame:
-    return sectors.tagged(V.streams(spark, d), V.chains(spark, d))
+    rows = stored(V.chains(spark, d))  # read three times
+    return sectors.tagged(V.streams(spark, d, rows), rows)
 
 
 @query("stream_risks", V.sql(f"{_HEALTH} SELECT stream, path, CASE WHEN invalid THEN 'invalid-start' WHEN shared THEN 'shared' WHEN state = 'complete' AND reused THEN 'start-reused' ELSE state END AS health, {_RISK} AS risk FROM h", "streams"))

@@ -190,9 +190,10 @@ def defined_names(spark, d):
     return table(spark, d, "nation").select(k.alias("doc_id"), name.alias("name"), F.when(k % 5 != 0, F.concat(F.lit("MACRO"), (k % 9).cast("string"))).alias("target"))
 
 
-def streams(spark, d):
-    """(stream, path, root, allocation, size, start, expected, got): an order as a stream over its chain of sectors."""
-    chain = chains(spark, d).groupBy("stream").agg(F.count("*").alias("got"), F.min(F.struct("pos", "sector")).getField("sector").cast("long").alias("first"))
+def streams(spark, d, rows=None):
+    """(stream, path, root, allocation, size, start, expected, got): an order as a stream over its chain of sectors (``rows``,
+    if they are at hand)."""
+    chain = (chains(spark, d) if rows is None else rows).groupBy("stream").agg(F.count("*").alias("got"), F.min(F.struct("pos", "sector")).getField("sector").cast("long").alias("first"))
     size = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("stream")).agg(F.sum("l_quantity").cast("long").alias("size"))
     k = F.col("stream").cast("long")
     path = F.concat(F.element_at(F.array(*(F.lit(x) for x in ("WordDocument", "VBA", "ObjectPool", "Workbook"))), (k % 4 + 1).cast("int")), F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("/"), k.cast("string"))))

@@ -143,7 +143,7 @@ def rtf_documents(files: DataFrame) -> DataFrame:
 
 def package_documents(parts_of: DataFrame, formats_of: DataFrame) -> DataFrame:
     """Nodes of OOXML, ODF and HWPX packages from their parts. A task holds one document's parts."""
-    wanted = parts_of.join(formats_of, "path").filter("content is not null and format <> 'zip'")
+    wanted = parts_of.join(formats_of.select("path", "format"), "path").filter("content is not null and format <> 'zip'")
     used = F.lit(False)
     for kind, pattern in MAIN.items():
         used |= (F.col("format") == kind) & (F.col("part").rlike(f"^{pattern}$") | (F.col("part") == "xl/sharedStrings.xml"))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.operators import containers
+
 MOST_TOTAL, MOST_FILE, MOST_FILES, MOST_RATIO, MOST_DEPTH = 100 << 20, 50 << 20, 10_000, 100, 20
 _BROKEN = (zipfile.BadZipFile, zlib.error, lzma.LZMAError, struct.error, EOFError, OSError, RuntimeError, ValueError)
 PARTS = "path string, part string, size long, content binary, error string"
@@ -67,27 +69,60 @@ def parts(files: DataFrame) -> DataFrame:
     return zips.mapInArrow(each, PARTS)
 
 
-def package_format(part_names: Column, types: Column) -> Column:
-    """The format of a package by its part names and its content-type or mimetype text."""
-    has = lambda s: F.contains(F.coalesce(types, F.lit("")), F.lit(s))
-    ooxml = F.array_contains(part_names, "[Content_Types].xml")
-    return (
-        F.when(ooxml & has("wordprocessingml"), "docx").when(ooxml & has("sheet.binary"), "xlsb").when(ooxml & has("spreadsheetml"), "xlsx").when(ooxml & has("presentationml"), "pptx")
-        .when(has("hwp+zip"), "hwpx").when(has("opendocument.text"), "odt").when(has("opendocument.spreadsheet"), "ods").when(has("opendocument.presentation"), "odp").otherwise("zip")
-    )
+# The content types of main parts, and the formats they mean; main parts in the order in which they are asked.
+MAIN_TYPES = {
+    "application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml": "docx",
+    "application/vnd.ms-word.document.macroEnabled.main+xml": "docx",
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml": "xlsx",
+    "application/vnd.ms-excel.sheet.macroEnabled.main+xml": "xlsx",
+    "application/vnd.ms-excel.sheet.binary.macroEnabled.main": "xlsb",
+    "application/vnd.openxmlformats-officedocument.presentationml.presentation.main+xml": "pptx",
+    "application/vnd.ms-powerpoint.presentation.macroEnabled.main+xml": "pptx",
+}
+MAIN_PARTS = ("word/document.xml", "xl/workbook.xml", "xl/workbook.bin", "ppt/presentation.xml")
+MIMETYPES = {"hwp+zip": "hwpx", "opendocument.text": "odt", "opendocument.spreadsheet": "ods", "opendocument.presentation": "odp"}
+
+
+def _files(parts_of: DataFrame, which: Column) -> DataFrame:
+    return parts_of.filter(which & F.col("content").isNotNull()).select(F.col("path").alias("doc_id"), F.col("part").alias("path"), F.decode("content", "UTF-8").alias("xml"))
+
+
+def content_types(parts_of: DataFrame) -> DataFrame:
+    """(path, ord, kind, key, content_type, error): the entries of each package's content types; one with an error refuses them."""
+    return containers.content_type_entries(_files(parts_of, F.col("part") == "[Content_Types].xml")).withColumnRenamed("doc_id", "path")
 
 
 def formats(parts_of: DataFrame) -> DataFrame:
-    """(path, format) of each package."""
-    types = F.max(F.when(F.col("part").isin("[Content_Types].xml", "mimetype"), F.decode("content", "UTF-8")))
-    found = parts_of.filter("part is not null").groupBy("path").agg(F.collect_set(F.when(F.col("part").isin("[Content_Types].xml", "mimetype"), F.col("part"))).alias("names"), types.alias("types"))
-    return found.select("path", package_format(F.col("names"), F.col("types")).alias("format"))
+    """(path, format, error) of each package: by the content type of its first main part (an override, else the default of its
+    extension), or by its mimetype, else ``zip``; so too, with the first error, where an entry of the content types has one."""
+    entries = content_types(parts_of)
+    held = lambda kind, key: F.max(F.when((F.col("kind") == kind) & (F.col("key") == key), F.col("content_type")))
+    chosen = F.lit(None).cast("string")
+    known = F.create_map(*(F.lit(x) for kv in MAIN_TYPES.items() for x in kv))
+    for part in reversed(MAIN_PARTS):
+        form = F.try_element_at(known, F.coalesce(held("Override", part), held("Default", part.rpartition(".")[2])))
+        chosen = F.coalesce(form, chosen)
+    typed = entries.groupBy("path").agg(chosen.alias("main"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("ord"))).alias("error"))
+    mime = F.max(F.when(F.col("part") == "mimetype", F.decode("content", "UTF-8")))
+    named = parts_of.filter("part is not null").groupBy("path").agg(mime.alias("mime")).join(typed, "path", "left")
+    by_mime = F.coalesce(*(F.when(F.contains("mime", F.lit(m)), f) for m, f in MIMETYPES.items()))
+    return named.select("path", F.coalesce(F.when(F.col("error").isNull(), F.col("main")), by_mime, F.lit("zip")).alias("format"), "error")
+
+
+def relationship_faults(parts_of: DataFrame) -> DataFrame:
+    """(path, part, error): the first error of each .rels part that has one; it gives no relationships."""
+    bad = _relationships(parts_of).filter("error is not null")
+    return bad.groupBy("path", "part").agg(F.min_by("error", "ord").alias("error"))
+
+
+def _relationships(parts_of: DataFrame) -> DataFrame:
+    rows = containers.relationship_entries(_files(parts_of, F.endswith("part", F.lit(".rels"))))
+    return rows.withColumnsRenamed({"path": "part", "doc_id": "path"})
 
 
 def relationships(parts_of: DataFrame) -> DataFrame:
-    """(path, source, rel_id, rel_type, target, external) of all .rels parts, read as XML text by expressions."""
-    xml = F.decode("content", "UTF-8")
-    rels = parts_of.filter(F.endswith("part", F.lit(".rels")) & F.col("content").isNotNull())
-    tags = rels.select("path", F.regexp_replace("part", r"_rels/([^/]*)\.rels$", "$1").alias("source"), F.explode(F.regexp_extract_all(xml, F.lit(r"<Relationship\s[^>]*>"), F.lit(0))).alias("tag"))
-    value = lambda name: F.regexp_extract("tag", rf'\s{name}="([^"]*)"', 1)
-    return tags.select("path", "source", value("Id").alias("rel_id"), F.regexp_extract(value("Type"), "[^/]*$", 0).alias("rel_type"), value("Target").alias("target"), (value("TargetMode") == "External").alias("external"))
+    """(path, source, rel_id, rel_type, target, external) of all .rels parts without errors, read as XML text by expressions."""
+    rows = _relationships(parts_of)
+    good = rows.join(rows.filter("error is not null").select("path", "part").distinct(), ["path", "part"], "left_anti")
+    source = F.regexp_replace("part", r"_rels/([^/]*)\.rels$", "$1")
+    return good.select("path", source.alias("source"), F.col("id").alias("rel_id"), F.regexp_extract("type", "[^/]*$", 0).alias("rel_type"), "target", (F.col("mode") == "External").alias("external"))
