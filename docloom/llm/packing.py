@@ -6,7 +6,8 @@ sequence with room, found in a tournament tree over the sequences' free capacity
 so a task holds one group's lengths only, never texts.
 
 Nulls: a null text is an empty one (the end id alone), a null id stays null. Repeated rows are packed each
-on its own. A text of any length is cut into full sequences. Empty input gives an empty result.
+on its own. A text of any length is cut into full sequences. Further columns are not looked at, whatever their names. Ties:
+remainders of equal length are taken in the order in which they were cut. Empty input gives an empty result.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ message its root and depth. Everything is DataFrame expressions and joins; no gr
 are reduced to one row per hash before they are joined, so a common passage costs one row.
 
 Nulls: a null text is an empty one; a message with a null conv_id or turn neither links nor is linked to.
-Repeated rows each get a result, and count as one message in the reply order. Empty input gives an empty result.
+Repeated rows each get a result, and count as one message in the reply order. Texts of any length are parsed whole. Ties: of
+several messages that a passage links to, the earliest counts; of several that a message quotes, the latest. Further columns are
+not looked at, whatever their names. Empty input gives an empty result.
 """
 
 from __future__ import annotations
