@@ -55,8 +55,7 @@ def _inside(rest: Column) -> Column:
         at = s["at"] + F.when(done | (depth == 0), 0).otherwise(F.length(t))
         return F.struct(depth.alias("depth"), at.alias("at"), (s["lost"] | (~done & t.isin('"', "'"))).alias("lost"))
 
-    end = F.aggregate(tokens, start, step)
-    return F.when((end["depth"] == 0) & (end["at"] > 0), F.substring(rest, F.lit(1), end["at"]))
+    return S.bound(F.aggregate(tokens, start, step), lambda end: F.when((end["depth"] == 0) & (end["at"] > 0), F.substring(rest, F.lit(1), end["at"])))
 
 
 def _arguments(inside: Column) -> Column:
@@ -64,8 +63,8 @@ def _arguments(inside: Column) -> Column:
     mark = "\x01"
     bare = lambda t: F.when(t.isin(";", ","), mark).when(t.startswith('"'), F.replace(t, F.lit('"'), F.lit(""))).when(t.startswith("'"), F.replace(t, F.lit("'"), F.lit(""))).otherwise(t)
     joined = F.array_join(F.transform(F.regexp_extract_all(inside, F.lit(_TOKEN), 1), bare), "")
-    trimmed = F.transform(F.split(joined, mark), lambda a: F.btrim(F.btrim(F.btrim(a, F.lit(_BLANKS)), F.lit('"')), F.lit("'")))
-    return F.when(F.btrim(joined, F.lit(_BLANKS)) != "", trimmed)
+    trimmed = lambda text: F.transform(F.split(text, mark), lambda a: F.btrim(F.btrim(F.btrim(a, F.lit(_BLANKS)), F.lit('"')), F.lit("'")))
+    return S.bound(joined, lambda text: F.when(F.btrim(text, F.lit(_BLANKS)) != "", trimmed(text)))
 
 
 def dde_call(formula: Column, anywhere: bool = True) -> Column:
@@ -73,12 +72,12 @@ def dde_call(formula: Column, anywhere: bool = True) -> Column:
 
     ``anywhere``: the call may stand behind an operator, a blank or a separator; else only at the beginning.
     """
-    text = F.btrim(formula, F.lit(_BLANKS))
     lead = r"(?:.*?[=(,; \t+*/-])??" if anywhere else ""
     called = lambda name: rf"(?is)^{lead}{name}\((.*)$"
     auto, plain = called("DDEAUTO"), called("DDE")
-    rest = F.when(text.rlike(auto), F.regexp_extract(text, auto, 1)).when(text.rlike(plain), F.regexp_extract(text, plain, 1))
-    given = _arguments(_inside(rest))
-    more = lambda i: F.nullif(F.get(given, i), F.lit(""))
-    kind = F.when(text.rlike(auto), "DdeAuto").otherwise("Dde")
-    return F.when(given.isNotNull(), F.struct(kind.alias("kind"), F.get(given, 0).alias("application"), more(1).alias("topic"), more(2).alias("item")))
+    rest = lambda kind, text, form: F.when(text.rlike(form), F.struct(F.lit(kind).alias("kind"), F.regexp_extract(text, form, 1).alias("rest")))
+    more = lambda given, i: F.nullif(F.get(given, F.lit(i)), F.lit(""))
+    parts = lambda kind, given: F.when(given.isNotNull(), F.struct(kind.alias("kind"), F.get(given, F.lit(0)).alias("application"), more(given, 1).alias("topic"), more(given, 2).alias("item")))
+    read = lambda at: S.bound(_inside(at["rest"]), lambda inside: S.bound(_arguments(inside), lambda given: parts(at["kind"], given)))
+    first = lambda text: F.coalesce(rest("DdeAuto", text, auto), rest("Dde", text, plain))
+    return S.bound(F.btrim(formula, F.lit(_BLANKS)), lambda text: S.bound(first(text), read))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -40,6 +41,11 @@ OFFICE_EXTENSIONS = ("docx", "docm", "xlsx", "xlsm", "pptx", "pptm")
 SEVERITIES = ("None", "Low", "Medium", "High", "Critical")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is computed once however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def short_hash(text: Column) -> Column:
     """The first 16 hex digits of SHA-256."""
     return F.substring(F.sha2(text.cast("binary"), 256), 1, 16)

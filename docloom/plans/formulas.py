@@ -38,7 +38,7 @@ def odf_formulas(spark, d) -> DataFrame:
     """(doc_id, ord, formula): eight formulas a document, one for each part."""
     k = F.col("p_partkey").cast("long")
     text = F.element_at(F.array(*(F.lit(f) for f in FORMULAS)), (k * 5 % len(FORMULAS) + 1).cast("int"))
-    return V.table(spark, d, "part").select(F.floor(k / 8).alias("doc_id"), k.alias("ord"), F.replace(text, F.lit("@"), k.cast("string")).alias("formula"))
+    return V.spread(V.table(spark, d, "part").select("p_partkey")).select(F.floor(k / 8).alias("doc_id"), k.alias("ord"), F.replace(text, F.lit("@"), k.cast("string")).alias("formula"))
 
 
 @query("odf_formula_scan", V.sql("SELECT p_partkey AS ord, replace(dde, '@', CAST(p_partkey AS VARCHAR)) AS dde, is_array, unsupported, replace(refs, '@', CAST(p_partkey AS VARCHAR)) AS refs FROM odf_formulas", "odf_formulas"))
@@ -71,6 +71,6 @@ CELLS = {
 def dde_cell_formulas(spark, d):
     k = F.col("p_partkey").cast("long")
     text = F.replace(F.element_at(F.array(*(F.lit(f) for f in CELLS)), (k % len(CELLS) + 1).cast("int")), F.lit("@"), k.cast("string"))
-    call = X.dde_call(text, anywhere=False)
-    parts = F.array(*(F.coalesce(call[c], F.lit("-")) for c in ("kind", "application", "topic", "item")))
-    return V.table(spark, d, "part").select("p_partkey", F.when(call.isNotNull(), F.array_join(parts, "|")).alias("dde"))
+    found = V.spread(V.table(spark, d, "part").select("p_partkey")).select("p_partkey", X.dde_call(text, anywhere=False).alias("call"))
+    parts = F.array(*(F.coalesce(F.col(f"call.{c}"), F.lit("-")) for c in ("kind", "application", "topic", "item")))
+    return found.select("p_partkey", F.when(F.col("call").isNotNull(), F.array_join(parts, "|")).alias("dde"))

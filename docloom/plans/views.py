@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Narrow ``rows`` dealt to all cores, ahead of work that takes long for each: few bytes of a file are one task's else."""
+    return rows.repartition(max(2, rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def paragraphs(spark, d):
     return ir.paragraphs(table(spark, d, "documents"))
 
