@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docloom.functions import scalars as S
+
 # Keywords of field instructions and the kinds that they name.
 FIELD_KINDS = {
     "HYPERLINK": "Hyperlink", "INCLUDETEXT": "IncludeText", "INCLUDEPICTURE": "IncludePicture", "MERGEFIELD": "MergeField", "DATE": "Date", "REF": "Ref", "PAGEREF": "PageRef",
@@ -44,18 +46,22 @@ def word_field(instruction: Column) -> tuple[Column, Column, Column]:
     text = instruction
     for entity, plain in ENTITIES.items():
         text = F.replace(text, F.lit(entity), F.lit(plain))
-    tokens = _tokens(F.split(_masked(text), r"[ \t\r\n]+"))
-    kind, words = _kind(tokens), _rest(tokens)
     one = lambda s: F.regexp_replace(s, r"^\\+", r"\\")
-    switches = F.transform(F.filter(words, lambda t: t.startswith("\\")), one)
+    switch = lambda t: t.startswith("\\")
     outside = F.regexp_replace(text, r'"[^"]*("|$)', '"')
     inner = F.transform(F.filter(F.regexp_extract_all(outside, F.lit(r"(\\\S+)"), 1), lambda s: ~F.contains(s, F.lit('"'))), one)
     tab = F.when(F.contains(text, F.lit("\t")), F.array(F.lit("\\t"))).otherwise(F.array().cast("array<string>"))
-    plain = F.filter(words, lambda t: ~t.startswith("\\"))
-    letter = lambda t: (kind == "Hyperlink") & t.rlike("^[A-Za-z]$")
-    letters = F.transform(F.filter(plain, letter), lambda t: F.concat(F.lit("\\"), t))
-    more = F.array_distinct(F.concat(inner, tab, letters))
-    return kind, F.filter(plain, lambda t: ~letter(t)), F.concat(switches, F.filter(more, lambda s: ~F.array_contains(switches, s)))
+
+    def read(kind, words):
+        letter = lambda t: (kind == "Hyperlink") & t.rlike("^[A-Za-z]$")
+        plain = F.filter(words, lambda t: ~switch(t))
+        more = F.array_distinct(F.concat(inner, tab, F.transform(F.filter(plain, letter), lambda t: F.concat(F.lit("\\"), t))))
+        switches = S.bound(F.transform(F.filter(words, switch), one), lambda given: F.concat(given, F.filter(more, lambda s: ~F.array_contains(given, s))))
+        return F.struct(kind.alias("kind"), F.filter(plain, lambda t: ~letter(t)).alias("args"), switches.alias("switches"))
+
+    tokens = _tokens(F.split(_masked(text), r"[ \t\r\n]+"))
+    found = S.bound(tokens, lambda t: S.bound(F.struct(_kind(t).alias("kind"), _rest(t).alias("words")), lambda f: read(f["kind"], f["words"])))
+    return found["kind"], found["args"], found["switches"]
 
 
 def rtf_field(instruction: Column) -> tuple[Column, Column, Column]:

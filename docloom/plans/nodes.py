@@ -176,7 +176,7 @@ def _fields(name, parse, at):
     @query(name, f"SELECT p_partkey, kind, args, switches FROM part JOIN (VALUES {_expected(v[at] for v in FIELDS.values())}) e(i, kind, args, switches) ON p_partkey % {len(FIELDS)} = i")
     def run(spark, d):
         kind, args, switches = parse(F.col("instruction"))
-        rows = V.table(spark, d, "part").select("p_partkey", _chosen(FIELDS, F.col("p_partkey")).alias("instruction"))
+        rows = V.spread(V.table(spark, d, "part").select("p_partkey")).select("p_partkey", _chosen(FIELDS, F.col("p_partkey")).alias("instruction"))
         return rows.select("p_partkey", kind.alias("kind"), F.array_join(args, "|").alias("args"), F.array_join(switches, "|").alias("switches"))
 
     return run
