@@ -78,4 +78,7 @@ def module_status(state: Column, errors: Column, with_source: Column) -> Column:
 
 def core_properties(xml: Column) -> list[Column]:
     """Title, creator, subject, keywords and modification time of a core-properties part; null if absent or empty."""
-    return [F.nullif(F.xpath_string(xml, F.lit(f"/*/*[name()='{tag}']")), F.lit("")).alias(name) for name, tag in CORE_PROPERTIES.items()]
+    mark = "\uffff"  # no XML text can hold it, so that one pass over the part gives all of them
+    paths = f", '{mark}', ".join(f"/*/*[name()='{tag}']" for tag in CORE_PROPERTIES.values())
+    values = F.split(F.xpath_string(xml, F.lit(f"concat({paths})")), mark)
+    return [F.nullif(F.get(values, F.lit(i)), F.lit("")).alias(name) for i, name in enumerate(CORE_PROPERTIES)]

@@ -211,4 +211,5 @@ def core_properties(spark, d):
         F.lit('<cp:coreProperties xmlns:cp="c" xmlns:dc="d" xmlns:dcterms="t">'), tag("dc:title", F.col("p_name")), tag("dc:creator", F.col("p_brand")), tag("dc:subject", F.when(size % 3 != 0, F.col("p_type")).otherwise("")),
         F.when(size % 2 == 0, tag("dcterms:modified", F.concat(F.lit("2024-01-0"), (size % 9 + 1).cast("string")))).otherwise(""), F.lit("</cp:coreProperties>"),
     )
-    return V.table(spark, d, "part").select("p_partkey", *P.core_properties(xml))
+    rows = V.spread(V.table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
+    return rows.select("p_partkey", *P.core_properties(xml))
