@@ -9,6 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import scalars as S
@@ -31,11 +32,16 @@ def _folder(head: Column) -> Column:
     return F.concat(F.regexp_extract(head, "^(.*/)?", 0), F.lit("*"))
 
 
-def keys_of_path(path: Column) -> Column:
-    """The path, and each folder it lies in with a ``*``: what a pattern that matches it has as its key."""
-    names = F.split(path, "/")
-    folders = F.transform(F.sequence(F.lit(1), F.size(names)), lambda n: F.concat(F.array_join(F.slice(names, 1, n - 1), "/"), F.when(n > 1, "/*").otherwise("*")))
-    return F.array_distinct(F.array_append(folders, path))
+def keyed(parts: DataFrame, alone: bool = False) -> DataFrame:
+    """``parts`` with ``key``: a row for the path, and one for each folder it lies in with a ``*``, what a pattern that matches it
+    has as its key; if ``alone`` also one without a key."""
+    path, n = F.lower("path"), F.col("_n")
+    slashes = F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
+    rows = parts.select("*", F.explode(F.sequence(F.lit(0), slashes + (2 if alone else 1))).alias("_n"), slashes.alias("_depth"))
+    own = F.when(F.substring_index(path, "/", -1) != "*", path)  # else it is the key of its folder
+    folder = F.when(n == 0, "*").otherwise(F.concat(F.call_function("substring_index", path, F.lit("/"), n), F.lit("/*")))
+    key = F.when(n <= F.col("_depth"), folder).when(n == F.col("_depth") + 1, own)
+    return rows.withColumn("key", key).filter(F.col("key").isNotNull() | (n == F.col("_depth") + 2)).drop("_n", "_depth")
 
 
 def specified(registry: DataFrame) -> DataFrame:
@@ -51,13 +57,20 @@ def matched(parts: DataFrame, registry: DataFrame) -> DataFrame:
     A pattern has one ``*`` at most. If both content types are known they must be equal. Parts meet only the patterns of
     their own name and folders. Where both tables have a ``format``, it must be the same.
     """
-    on = ["key", "format"] if "format" in parts.columns and "format" in registry.columns else ["key"]
-    path = F.lower("path")
-    alike = F.when(F.col("tail").isNull(), path == F.col("head")).otherwise(path.startswith(F.col("head")) & path.endswith(F.col("tail")) & (F.length(path) >= F.length("head") + F.length("tail")))
-    known = F.col("expected").isNull() | F.col("content_type").isNull() | (F.col("expected") == F.col("content_type"))
-    rows = parts.withColumn("key", F.explode(keys_of_path(path))).join(F.broadcast(specified(registry)), on).filter(alike & known)
     further = [c for c in ("format", "spec") if c in registry.columns]
-    return rows.select("doc_id", "ord", "path", "pattern", "parser", "content_type", F.when(F.col("seen"), "complete").otherwise("pending").alias("status"), *further)
+    return _met(parts, registry, "inner").select("doc_id", "ord", "path", "pattern", "parser", "content_type", F.when(F.col("seen"), "complete").otherwise("pending").alias("status"), *further)
+
+
+def _met(parts: DataFrame, registry: DataFrame, how: str) -> DataFrame:
+    """Each part with each pattern that it matches; if ``how`` is ``left`` also each part once without any (null pattern)."""
+    on = ["key", "format"] if "format" in parts.columns and "format" in registry.columns else ["key"]
+    path, known = F.lower("path"), specified(registry)
+    alike = F.when(F.col("k.tail").isNull(), path == F.col("k.head")).otherwise(path.startswith(F.col("k.head")) & path.endswith(F.col("k.tail")) & (F.length(path) >= F.length("k.head") + F.length("k.tail")))
+    fits = F.col("k.expected").isNull() | F.col("p.content_type").isNull() | (F.col("k.expected") == F.col("p.content_type"))
+    same = reduce(lambda a, b: a & b, (F.col(f"p.{c}") == F.col(f"k.{c}") for c in on))
+    rows = keyed(parts, alone=how == "left").alias("p").join(F.broadcast(known).alias("k"), same & alike & fits, how)
+    met = rows.select("p.*", *(F.col(f"k.{c}") for c in registry.columns if c not in parts.columns))
+    return met.filter("key is null or pattern is not null").drop("key")
 
 
 def counts(parts: DataFrame, registry: DataFrame, patterns: int) -> DataFrame:
@@ -80,45 +93,90 @@ def unparsed(parts: DataFrame, known: DataFrame) -> DataFrame:
 
 # Reports
 
+#: Patterns to a word of a document's set of those that it has.
+_BITS = 63
 SECTIONS = ("parts", "part_rows", "missing", "inventory", "unknown", "histogram", "summary")
 HEADER = "section,code,severity,message,path"
+_text = lambda *cs: F.concat(*(F.lit(c) if not isinstance(c, Column) else c.cast("string") for c in cs))
 
 
-def entries(parts: DataFrame, registry: DataFrame) -> DataFrame:
-    """(doc_id, section, k1, k2, code, severity, message, path): the entries of each document's report, a document's in the
-    order of (section, k1, k2). ``registry`` has ``format`` and ``spec``, the order of its patterns.
+class Report:
+    """The report of each document, from ``parts`` (doc_id, format, ord, path, seen, content_type; a document has one format) and
+    ``registry``, which has ``format`` and ``spec``, the order of its patterns.
 
-    Every document meets the patterns of its own format, a fixed number, so the missing ones are found without a cross join.
+    Every document is reduced to one row with its counts and the patterns that it lacks, at most those of its format; whatever
+    follows from these is made of that row where it lies. Parts dealt by document are dealt once.
     """
-    text = lambda *cs: F.concat(*(F.lit(c) if not isinstance(c, Column) else c.cast("string") for c in cs))
-    none, zero, blank = F.lit(None).cast("string"), F.lit(0).cast("long"), F.lit("")
-    entry = lambda rows, section, k1, k2, code, severity, message, path: rows.select(
-        "doc_id", F.lit(SECTIONS.index(section)).alias("section"), k1.cast("long").alias("k1"), k2.alias("k2"), F.lit(code).alias("code"), severity.alias("severity"), message.alias("message"), path.alias("path")
-    )
-    info, warning, path = F.lit("Info"), F.lit("Warning"), F.col("path")
-    found = matched(parts, registry)
-    said = text(F.col("status"), " part: ", path, " (content-type=", F.coalesce("content_type", F.lit("unknown")), ", parser=", F.col("parser"), ")")
-    level = F.when(F.col("status") == "complete", "Info").otherwise("Warning")
-    order = (F.col("spec").cast("long") * (1 << 32)) + F.col("ord")
-    docs = parts.select("doc_id", "format").distinct()
-    lacking = docs.join(F.broadcast(registry), "format").join(found.select("doc_id", "spec").distinct(), ["doc_id", "spec"], "left_anti")
-    typed, untyped = parts.filter("content_type is not null"), parts.filter("content_type is null")
-    kinds = typed.groupBy("doc_id", "content_type").agg(F.count("*").alias("n"))
-    hits = found.groupBy("doc_id").agg(F.count("*").alias("matched"), F.count_if(F.col("status") == "complete").alias("complete"))
-    sums = docs.join(hits, "doc_id", "left").join(lacking.groupBy("doc_id").agg(F.count("*").alias("missing")), "doc_id", "left")
-    sums = sums.join(untyped.groupBy("doc_id").agg(F.count("*").alias("unknown")), "doc_id", "left").na.fill(0)
-    pending = F.col("matched") - F.col("complete")
-    whole = text("coverage summary: matched=", F.col("matched"), ", complete=", F.col("complete"), ", pending=", pending, ", missing_patterns=", F.col("missing"), ", unknown_content_types=", F.col("unknown"))
-    rows = (
-        entry(found, "parts", order, blank, "COVERAGE_PART", level, said, path),
-        entry(found, "part_rows", order, blank, "COVERAGE_PART_ROW", info, said, path),
-        entry(lacking, "missing", F.col("spec"), blank, "COVERAGE_MISSING", warning, text("missing part for pattern ", F.col("pattern"), " (expected parser=", F.col("parser"), ")"), F.col("pattern")),
-        entry(typed, "inventory", zero, path, "CONTENT_TYPE_INVENTORY", info, text("content-type: ", path, " => ", F.col("content_type")), path),
-        entry(untyped, "unknown", zero, path, "CONTENT_TYPE_UNKNOWN", warning, text("no content-type entry for path ", path), path),
-        entry(kinds, "histogram", zero, F.col("content_type"), "CONTENT_TYPE_HISTOGRAM", info, text("content-type-count: ", F.col("content_type"), " => ", F.col("n")), F.col("content_type")),
-        entry(sums, "summary", zero, blank, "COVERAGE_SUMMARY", info, whole, none),
-    )
-    return reduce(DataFrame.unionByName, rows)
+
+    def __init__(self, parts: DataFrame, registry: DataFrame):
+        place = F.row_number().over(W.partitionBy("format").orderBy("spec")) - 1  # of a list that is fixed
+        registry = registry.withColumns({"word": F.floor(place / _BITS).cast("int"), "bit": (place % _BITS).cast("int")})
+        words = range((registry.agg(F.max("word")).first()[0] or 0) + 1)
+        met = _met(parts, registry, "left").withColumn("hit", F.col("spec").isNotNull())
+        own, typed = ~F.col("hit"), F.col("content_type").isNotNull()
+        bits = lambda i: F.bit_or(F.when(F.col("word") == i, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).otherwise(0).cast("long"))
+        self.met = met
+        #: (doc_id, format, content_type, n, ...): the parts of each content type, null for none.
+        self.kinds = met.groupBy("doc_id", "format", "content_type").agg(
+            F.count_if(own).alias("n"), F.count_if("hit").alias("matched"), F.count_if(F.col("hit") & F.coalesce("seen", F.lit(False))).alias("complete"), *(bits(i).alias(f"bits{i}") for i in words)
+        )
+        known = registry.groupBy("format").agg(F.array_sort(F.collect_list(F.struct("spec", "pattern", "parser", "word", "bit"))).alias("known"), F.count("*").alias("listed"))
+        docs = self.kinds.groupBy("doc_id", "format").agg(
+            F.sum("matched").alias("matched"), F.sum("complete").alias("complete"), F.coalesce(F.sum(F.when(typed, F.col("n"))), F.lit(0)).alias("typed"),
+            F.coalesce(F.sum(F.when(~typed, F.col("n"))), F.lit(0)).alias("unknown"), F.count("content_type").alias("kinds"), *(F.bit_or(f"bits{i}").alias(f"bits{i}") for i in words),
+        )
+        none = F.array().cast(known.schema["known"].dataType)
+        lacks = F.coalesce("listed", F.lit(0)) - sum((F.bit_count(f"bits{i}") for i in words), F.lit(0))
+        #: (doc_id, format, matched, complete, typed, unknown, kinds, lacks, known, bits): one row for each document.
+        self.docs = docs.join(F.broadcast(known), "format", "left").withColumns({"known": F.coalesce("known", none), "lacks": lacks, "bits": F.array(*(f"bits{i}" for i in words))}).drop("listed", *(f"bits{i}" for i in words))
+
+    def lacks(self) -> DataFrame:
+        """(doc_id, spec, pattern, message) of each pattern that a document lacks."""
+        rows = self.docs.select("doc_id", "bits", F.explode("known").alias("x")).filter(_unset(F.col("x"))).select("doc_id", "x.*")
+        return rows.select("doc_id", F.col("spec").cast("long").alias("spec"), "pattern", _lack(F.col("pattern"), F.col("parser")).alias("message"))
+
+    def summaries(self) -> DataFrame:
+        """(doc_id, message) of each document."""
+        return self.docs.select("doc_id", _summary().alias("message"))
+
+    def items(self, bases: DataFrame) -> DataFrame:
+        """(doc_id, section, k1, k2, path, content_type, parser, complete, n, base): what a report has of parts, matches (both sections as
+        ``parts``) and content types; with ``base``, the array of ``bases`` (doc_id, bases) at its section."""
+        met, kinds, hit, typed = self.met, self.kinds.filter("content_type is not null"), F.col("hit"), F.col("content_type").isNotNull()
+        at = lambda s: F.lit(SECTIONS.index(s))
+        none = F.lit(None).cast("string")
+        order = F.when(hit, F.col("spec").cast("long") * (1 << 32) + F.col("ord")).otherwise(0)
+        seen = F.coalesce("seen", F.lit(False)).alias("complete")
+        rows = met.select("doc_id", F.when(hit, at("parts")).when(typed, at("inventory")).otherwise(at("unknown")).alias("section"), order.alias("k1"), F.when(hit, "").otherwise(F.col("path")).alias("k2"), "path", "content_type", F.when(hit, F.col("parser")).alias("parser"), seen, F.lit(0).cast("long").alias("n"))
+        more = kinds.select("doc_id", at("histogram").alias("section"), F.lit(0).cast("long").alias("k1"), F.col("content_type").alias("k2"), none.alias("path"), "content_type", none.alias("parser"), F.lit(False).alias("complete"), "n")
+        based = lambda r: r.join(bases, "doc_id").withColumn("base", F.get("bases", F.col("section"))).drop("bases")
+        return based(rows).unionByName(based(more))
+
+
+def _unset(x: Column) -> Column:
+    """Whether a document's ``bits`` lack a pattern."""
+    return F.getbit(F.get("bits", x["word"]), x["bit"]) == 0
+
+
+def _lacking() -> Column:
+    """The patterns that a document lacks, in their order."""
+    return F.filter("known", _unset)
+
+
+def _lack(pattern: Column, parser: Column) -> Column:
+    return _text("missing part for pattern ", pattern, " (expected parser=", parser, ")")
+
+
+def _summary() -> Column:
+    return _text("coverage summary: matched=", F.col("matched"), ", complete=", F.col("complete"), ", pending=", F.col("matched") - F.col("complete"), ", missing_patterns=", F.col("lacks"), ", unknown_content_types=", F.col("unknown"))
+
+
+def _said() -> Column:
+    """The message of an item."""
+    is_ = lambda s: F.col("section") == SECTIONS.index(s)
+    path, kind = F.col("path"), F.col("content_type")
+    part = _text(F.when(F.col("complete"), "complete").otherwise("pending"), " part: ", path, " (content-type=", F.coalesce(kind, F.lit("unknown")), ", parser=", F.col("parser"), ")")
+    return F.when(is_("parts"), part).when(is_("inventory"), _text("content-type: ", path, " => ", kind)).when(is_("unknown"), _text("no content-type entry for path ", path)).otherwise(_text("content-type-count: ", kind, " => ", F.col("n")))
 
 
 def csv_field(value: Column) -> Column:
@@ -126,16 +184,36 @@ def csv_field(value: Column) -> Column:
     return F.when(value.rlike('[,"\\n\\r]'), quoted).otherwise(F.coalesce(value, F.lit("")))
 
 
-def csv_lines(report: DataFrame, store) -> DataFrame:
-    """(doc_id, line_no, line): each document's report as CSV, line 0 its header."""
-    section = F.element_at(F.array(*(F.lit(s) for s in SECTIONS)), F.col("section") + 1)
-    fields = [section, *(csv_field(F.col(c)) for c in ("code", "severity", "message", "path"))]
-    line = fields[0]
-    for field in fields[1:]:
-        line = F.concat(line, F.lit(","), field)
-    numbered = ranked(report.withColumn("line", line), ["doc_id"], ["section", "k1", "k2"], store, "line_no")
-    heads = report.select("doc_id").distinct().select("doc_id", F.lit(0).cast("long").alias("line_no"), F.lit(HEADER).alias("line"))
-    return numbered.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line").unionByName(heads)
+def _csv(section: Column, code: Column, severity: Column, message: Column, path: Column) -> Column:
+    comma = F.lit(",")
+    return F.concat(section, comma, code, comma, severity, comma, csv_field(message), comma, csv_field(path))
+
+
+def csv_lines(report: Report, store) -> DataFrame:
+    """(doc_id, line_no, line): each document's report as CSV, line 0 its header.
+
+    Only what parts give is sorted; the place of a section, the missing patterns and the summary follow from a document's row.
+    """
+    docs, lit = report.docs, F.lit
+    matched, lacking = F.col("matched"), F.col("lacks")
+    sizes = {"parts": matched, "part_rows": matched, "missing": lacking, "inventory": F.col("typed"), "unknown": F.col("unknown"), "histogram": F.col("kinds"), "summary": lit(1)}
+    starts = [reduce(lambda a, b: a + b, [*sizes.values()][:i], lit(0)).cast("long") for i in range(len(SECTIONS))]
+    start = lambda s: starts[SECTIONS.index(s)]
+    line = lambda no, text: F.struct(no.cast("long").alias("line_no"), text.alias("line"))
+    gone = F.transform(_lacking(), lambda x, i: line(start("missing") + i + 1, _csv(lit("missing"), lit("COVERAGE_MISSING"), lit("Warning"), _lack(x["pattern"], x["parser"]), x["pattern"])))
+    ends = F.array(line(lit(0), lit(HEADER)), line(start("summary") + 1, _csv(lit("summary"), lit("COVERAGE_SUMMARY"), lit("Info"), _summary(), lit(None).cast("string"))))
+    out = docs.select("doc_id", F.explode(F.concat(ends, gone)).alias("x")).select("doc_id", "x.*")
+    bases = docs.select("doc_id", F.array(*starts).alias("bases"), matched.alias("_matched"))
+    items = report.items(bases).withColumn("_matched", F.when(F.col("section") == SECTIONS.index("parts"), F.col("_matched")))
+    placed = ranked(items, ["doc_id", "section"], ["k1", "k2"], store, "line_no").withColumn("line_no", F.col("line_no") + F.col("base")).withColumn("message", _said())
+    pick = lambda values: F.element_at(F.array(*(lit(v) for v in values)), F.col("section") + 1)
+    code = pick(("COVERAGE_PART", "", "", "CONTENT_TYPE_INVENTORY", "CONTENT_TYPE_UNKNOWN", "CONTENT_TYPE_HISTOGRAM"))
+    level = F.when(F.col("section").isin(SECTIONS.index("inventory"), SECTIONS.index("histogram")) | ((F.col("section") == 0) & F.col("complete")), "Info").otherwise("Warning")
+    shown = F.coalesce("path", "content_type")
+    own = line(F.col("line_no"), _csv(pick(SECTIONS), code, level, F.col("message"), shown))
+    again = line(F.col("line_no") + F.col("_matched"), _csv(lit("part_rows"), lit("COVERAGE_PART_ROW"), lit("Info"), F.col("message"), shown))
+    body = placed.select("doc_id", F.explode(F.when(F.col("section") == 0, F.array(own, again)).otherwise(F.array(own))).alias("x")).select("doc_id", "x.*")
+    return body.unionByName(out)
 
 
 def parts_csv(found: DataFrame) -> DataFrame:
@@ -149,20 +227,27 @@ def parts_csv(found: DataFrame) -> DataFrame:
 TITLES = {"parts": "Matched Parts", "missing": "Missing Patterns", "inventory": "Content Types Inventory", "histogram": "Content Type Histogram", "unknown": "Unknown Content Types"}
 
 
-def text_lines(report: DataFrame, names: DataFrame, store) -> DataFrame:
+def text_lines(report: Report, names: DataFrame, store) -> DataFrame:
     """(doc_id, line_no, line): each document's report as text; ``names`` is (doc_id, file, display). Sections without entries are
-    left out; the entries of one are in the order of their paths."""
-    places = F.array(*(F.lit(i) for i in range(6)))
-    head = F.array(F.lit("Coverage Report"), F.lit("==============="), F.lit(""), F.concat(F.lit("File: "), "file"), F.concat(F.lit("Format: "), "display"), F.lit(""))
-    top = names.select("doc_id", F.explode(F.arrays_zip(places.alias("k1"), head.alias("line"))).alias("x")).select("doc_id", F.lit(-1).alias("at"), F.col("x.k1").cast("long").alias("k1"), F.lit("").alias("k2"), F.col("x.line").alias("line"))
-    summary = report.filter(F.col("section") == SECTIONS.index("summary")).select("doc_id", "message")
-    again = [F.regexp_replace("message", "^coverage summary: matched=[0-9]+, ", word) for word in ("counts: ", "parts: ")]
-    sums = summary.select("doc_id", F.posexplode(F.array(F.col("message"), *again)).alias("k1", "line")).select("doc_id", F.lit(0).alias("at"), F.col("k1").cast("long").alias("k1"), F.lit("").alias("k2"), "line")
-    place = {s: i + 1 for i, s in enumerate(TITLES)}
-    at = F.coalesce(*(F.when(F.col("section") == SECTIONS.index(s), i) for s, i in place.items()))
-    body = report.withColumn("at", at).filter("at is not null")
-    title = F.element_at(F.array(*(F.lit(t + ":") for t in TITLES.values())), F.col("at"))
-    heads = body.select("doc_id", "at").distinct().select("doc_id", "at", F.posexplode(F.array(F.lit(""), title)).alias("k1", "line")).select("doc_id", "at", (F.col("k1") - 2).cast("long").alias("k1"), F.lit("").alias("k2"), "line")
-    inner = body.select("doc_id", "at", F.lit(0).cast("long").alias("k1"), F.coalesce("path", F.lit("")).alias("k2"), "k1", F.concat(F.lit("  "), "message").alias("line")).toDF("doc_id", "at", "k1", "k2", "k3", "line")
-    rows = reduce(DataFrame.unionByName, (r.withColumn("k3", F.lit(0).cast("long")) for r in (top, sums, heads))).unionByName(inner)
-    return ranked(rows, ["doc_id"], ["at", "k1", "k2", "k3"], store, "line_no").select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
+    left out; the entries of one are in the order of their paths. As with ``csv_lines`` only what parts give is sorted."""
+    lit, col = F.lit, F.col
+    line = lambda no, text: F.struct(no.cast("long").alias("line_no"), text.alias("line"))
+    top = F.array(lit("Coverage Report"), lit("==============="), lit(""), F.concat(lit("File: "), "file"), F.concat(lit("Format: "), "display"), lit(""))
+    sums = F.array(_summary(), *(F.regexp_replace(_summary(), "^coverage summary: matched=[0-9]+, ", word) for word in ("counts: ", "parts: ")))
+    empty = F.array().cast("array<string>")
+    heads = F.concat(F.when(col("named"), top).otherwise(empty), F.when(col("there"), sums).otherwise(empty))
+    docs = report.docs.withColumn("there", lit(True)).join(names.withColumn("named", lit(True)), "doc_id", "full").withColumn("heads", heads)
+    sizes = {"parts": "matched", "missing": "lacks", "inventory": "typed", "histogram": "kinds", "unknown": "unknown"}
+    at, starts = F.size("heads").cast("long"), {}
+    for section in TITLES:
+        starts[section] = at + 2  # a blank line and the title are ahead
+        at = at + F.when(col(sizes[section]) > 0, col(sizes[section]) + 2).otherwise(0)
+    titles = [F.when(col(sizes[s]) > 0, F.array(line(starts[s] - 1, lit("")), line(starts[s], lit(TITLES[s] + ":")))).otherwise(F.array().cast("array<struct<line_no:bigint,line:string>>")) for s in TITLES]
+    by_path = F.array_sort(F.transform(_lacking(), lambda x: F.struct(F.coalesce(x["pattern"], lit("")).alias("path"), x["spec"].alias("spec"), _lack(x["pattern"], x["parser"]).alias("message"))))
+    gone = F.transform(by_path, lambda x, i: line(starts["missing"] + i + 1, F.concat(lit("  "), x["message"])))
+    whole = F.concat(F.transform("heads", lambda x, i: line(i + 1, x)), F.when(col("there"), F.concat(*titles, gone)).otherwise(F.array().cast("array<struct<line_no:bigint,line:string>>")))
+    out = docs.select("doc_id", F.explode(whole).alias("x")).select("doc_id", "x.*")
+    bases = docs.filter("there").select("doc_id", F.array(*(starts[s] if s in starts else lit(None).cast("long") for s in SECTIONS)).alias("bases"))
+    items = report.items(bases).withColumn("k2", F.coalesce("path", "content_type", lit("")))
+    placed = ranked(items, ["doc_id", "section"], ["k2", "k1"], store, "line_no")
+    return placed.select("doc_id", (col("line_no") + col("base")).alias("line_no"), F.concat(lit("  "), _said()).alias("line")).unionByName(out)
