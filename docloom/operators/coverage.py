@@ -226,7 +226,8 @@ def _said() -> Column:
 
 def csv_field(value: Column) -> Column:
     quoted = F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
-    return F.when(value.rlike('[,"\\n\\r]'), quoted).otherwise(F.coalesce(value, F.lit("")))
+    special = reduce(lambda a, b: a | b, (F.contains(value, F.lit(c)) for c in ',"\n\r'))
+    return F.when(special, quoted).otherwise(F.coalesce(value, F.lit("")))
 
 
 def _csv(head: Column | str, message: Column, path: Column) -> Column:
